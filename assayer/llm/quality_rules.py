@@ -85,6 +85,15 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return settled(df, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
 
+def bounded_sample(df: DataFrame, rows: int, text: str = "text", longest: int = 100_000) -> DataFrame:
+    """At most ``rows`` of the first rows of ``df`` whose text has at most ``longest`` characters.
+
+    ``take`` reads as few partitions as it needs, so the cost doesn't grow with the table.
+    """
+    short = df.where(F.coalesce(F.length(text), F.lit(0)) <= longest)
+    return df.sparkSession.createDataFrame(short.take(rows), df.schema)
+
+
 def plan(sample: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[tuple[Rule, float, float]]:
     """(rule, seconds, share rejected) of each rule on a sample, most rejections per cost first.
 
@@ -111,14 +120,15 @@ def cascade(df: DataFrame, rules: list[Rule], alive: Column, kept: str = "kept")
     return settled(df, [kept])
 
 
-def quality_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, id_column: str = "doc_id") -> DataFrame:
+def quality_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 300, id_column: str = "doc_id") -> DataFrame:
     """One row per row of ``df``: ``doc_id``, the counts, ``base_failed`` and ``kept``.
 
-    ``sample_rows``: texts on which costs and selectivities are estimated.  They only order the rules.
+    ``sample_rows``: texts, of 100,000 characters at most, on which costs and selectivities are estimated.
+    They only order the rules.
     """
-    base = base_counts(df.select(F.col(id_column).alias("doc_id"), F.col("text")))
-    base = base.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
-    sample = base.where(~F.col("base_failed")).limit(sample_rows).checkpoint()
+    docs = df.select(F.col(id_column).alias("doc_id"), F.col("text"))
+    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+    sample = base_counts(bounded_sample(docs, sample_rows)).checkpoint().where(~failed)
     order = [rule for rule, _, _ in plan(sample, rules)]
-    done = cascade(base, order, ~F.col("base_failed"))
+    done = cascade(base_counts(docs).withColumn("base_failed", failed), order, ~F.col("base_failed"))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -5,7 +5,8 @@ noisy-or of its sentences, one minus the product of their complements.  Weights
 alone, by gradient steps with an L1 step that leaves words without evidence at zero; afterwards the sentence
 scores point at the offending sentences.
 
-Words are runs of letters and digits with A-Z lower-cased; sentences end at . ! ? or a line break.  Null,
+Words are runs of letters and digits with A-Z lower-cased; a word's features are itself and its beginnings of
+four to eight letters, so that inflected forms share evidence.  Sentences end at . ! ? or a line break.  Null,
 empty and blank texts count as one sentence without words.  Repeated rows get equal scores.  Without labels of
 both kinds every score is 0.  Only id and text are read, never language, source or other columns.
 """
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import by_hash
 
-#: Labelled documents of each label to fit on, at most; words considered, at most; documents a word must occur in.
+#: Labelled documents of each label to fit on, at most; features considered, at most; documents a feature must occur in.
 FIT_ROWS, FEATURES, LEAST = 4000, 1500, 3
+#: Words whose weight a worker keeps.
+KEPT_WORDS = 300_000
 THRESHOLD = 0.3
 
 _TABLE = bytes(
@@ -38,29 +41,62 @@ def sentences(text: str | None) -> list[bytes]:
     return [s for s in found if s.strip()] or [b""]
 
 
+def features(word: bytes) -> list[bytes]:
+    """The word, and its beginnings marked by a hyphen, which no word has."""
+    letters = word.decode("utf-8", "replace")
+    return [word, *(letters[:n].encode() + b"-" for n in (4, 5, 6, 7, 8) if len(letters) > n)]
+
+
+class _Weights(dict):
+    """Weight of each word seen so far, the sum of its features' weights."""
+
+    def __init__(self, weights: dict[bytes, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = found = sum(self.weights.get(f, 0.0) for f in features(word))
+        return found
+
+
 @dataclass(frozen=True)
 class Model:
-    """Word weights and the bias of a sentence."""
+    """Feature weights and the bias of a sentence."""
 
     weights: dict[bytes, float]
     bias: float
 
-    def sentence_scores(self, text: str | None) -> np.ndarray:
-        weights = self.weights
-        z = [self.bias + sum(weights[w] for w in set(s.split()) if w in weights) for s in sentences(text)]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def scorer(self) -> Scorer:
+        return Scorer(self)
 
-    def score(self, text: str | None) -> float:
+
+class Scorer:
+    """Scores texts in one task."""
+
+    def __init__(self, model: Model):
+        self.bias, self.words = model.bias, _Weights(model.weights)
+
+    def sentences(self, text: str | None) -> np.ndarray:
+        z = [self.bias + sum(map(self.words.__getitem__, set(s.split()))) for s in sentences(text)]
+        return 1 / (1 + np.exp(-np.clip(z, -40, 30)))
+
+    def document(self, text: str | None) -> float:
         """Noisy-or; documents without any weighted word need no look at single sentences."""
-        bare, weights = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE), self.weights
-        if any(w in weights for w in bare.split()):
-            return float(-np.expm1(np.log1p(-np.minimum(self.sentence_scores(text), 1 - 1e-12)).sum()))
+        bare = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE)
+        if any(map(self.words.__getitem__, bare.split())):
+            return float(-np.expm1(np.log1p(-np.minimum(self.sentences(text), 1 - 1e-12)).sum()))
         plain = sum(1 for s in bare.split(b"\n") if s.strip()) or 1
-        return float(-np.expm1(-plain * np.log1p(np.exp(min(self.bias, 30)))))
+        return float(-np.expm1(-plain * np.log1p(np.exp(self.bias))))
+
 
+def train(bags: list[tuple[int, int, list[list[int]]]], words: int, share: float, steps: int = 600, rate: float = 0.2, l1: float = 2e-6) -> tuple[np.ndarray, float]:
+    """Weights and bias from bags (label, plain sentences, feature numbers of the others); ``share``: of label 1.
 
-def train(bags: list[tuple[int, int, list[list[int]]]], words: int, share: float, steps: int = 400, rate: float = 0.2, l1: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias from bags (label, plain sentences, word numbers of the others); ``share``: of label 1."""
+    The bias stays between -9 and -3: a sentence without evidence is never certain, and hundreds of them still
+    make an unlikely document.
+    """
     y = np.array([b[0] for b in bags], float)
     plain = np.array([b[1] for b in bags], float)
     doc = np.repeat(np.arange(len(bags)), [len(b[2]) for b in bags])
@@ -83,7 +119,7 @@ def train(bags: list[tuple[int, int, list[list[int]]]], words: int, share: float
         theta -= move
         shrink = rate * l1 / (np.sqrt(v[:-1] / (1 - 0.999**step)) + 1e-6)
         theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - shrink, 0)
-        theta[-1] = min(theta[-1], -3.0)
+        theta[-1] = np.clip(theta[-1], -9.0, -3.0)
     return theta[:-1], float(theta[-1])
 
 
@@ -103,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, features: int
         for batch in batches:
             seen: dict[bytes, list[int]] = {}
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in set(b" ".join(sentences(text)).split()):
+                for w in {f for w in set(b" ".join(sentences(text)).split()) for f in features(w)}:
                     seen.setdefault(w, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *(pa.array([c[i] for c in seen.values()], pa.int64()) for i in (0, 1))], ["word", "n0", "n1"])
 
@@ -118,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, features: int
         for batch in batches:
             plain, held = [], []
             for text in batch.column(0).to_pylist():
-                rows = [sorted({number[w] for w in s.split() if w in number}) for s in sentences(text)]
+                rows = [sorted(number[f] for w in set(s.split()) for f in features(w) if f in number) for s in sentences(text)]
                 held.append([r for r in rows if r])
                 plain.append(len(rows) - len(held[-1]))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(plain, pa.int64()), pa.array(held, pa.list_(pa.list_(pa.int32())))], ["y", "plain", "held"])
@@ -136,8 +172,9 @@ def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score = model.scorer().document
         for texts in batches:
-            yield pd.Series([model.score(t) for t in texts], dtype="float64")
+            yield pd.Series([score(t) for t in texts], dtype="float64")
 
     rows = docs.select("doc_id", run("text").alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -147,11 +184,12 @@ def offending(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
     """(doc_id, sentence, score, words): sentences, numbered from 0, whose own score reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = model.scorer()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = sentences(text)
-                rows += [(doc_id, int(i), float(p), found[i].decode("utf-8", "replace").strip()) for i, p in enumerate(model.sentence_scores(text)) if p >= threshold]
+                rows += [(doc_id, int(i), float(p), found[i].decode("utf-8", "replace").strip()) for i, p in enumerate(scorer.sentences(text)) if p >= threshold]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "sentence", "score", "words"])
 
