@@ -123,11 +123,11 @@ def train(bags: list[tuple[int, int, list[list[int]]]], words: int, share: float
     return theta[:-1], float(theta[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, features: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, most_features: int = FEATURES) -> Model:
     """Fits on at most ``most`` documents of each label, taken by a hash of the id; ``labels``: (doc_id, y).
 
-    Executors count words per label and turn sentences to word numbers; the driver gets at most ``features``
-    words and the numbers that the sampled documents hold.
+    Executors count words per label and turn sentences to word numbers; the driver gets at most ``most_features``
+    features and the numbers that the sampled documents hold.
     """
     shares = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(shares) < 2:
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, features: int
     counts = sample.select("text", "y").mapInArrow(count, "word binary, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     odds = F.log((F.col("n1") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("n0") + 0.5) / (totals[0] + 1.0))
     strength = F.abs(odds) / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    best = counts.where(F.col("n0") + F.col("n1") >= LEAST).select("word", strength.alias("s")).orderBy(F.desc("s"), "word").limit(features).collect()
+    best = counts.where(F.col("n0") + F.col("n1") >= LEAST).select("word", strength.alias("s")).orderBy(F.desc("s"), "word").limit(most_features).collect()
     number = {bytes(r["word"]): i for i, r in enumerate(best)}
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
