@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("text", "relational")
+FAMILIES = ("text", "relational", "matching", "review")
 
 
 def load() -> None:
