@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = "[ \\t\\n\\r]+"
 MARK = "\x1f"
@@ -17,7 +18,7 @@ def normalise(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, SPACE, " ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKC, blanks collapsed, case-folded: the exact rule, which no built-in function covers."""
     import unicodedata

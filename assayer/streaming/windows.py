@@ -8,16 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(rows: DataFrame, late: str) -> DataFrame:
+    """Event time as a timestamp, which watermarks need; a watermark on streams."""
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.withWatermark("ts", late) if rows.isStreaming else rows
+
+
 def tumbling(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, event_type, events, total) per window; rows later than ``late`` are left out of a stream."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _timed(events, late)
     out = rows.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "events", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """(user_id, start, stop, events) per run of events with no gap that long."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _timed(events, late)
     out = rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("events"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "events")
 
@@ -25,7 +31,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
 def once(requests: DataFrame, fingerprint: list[str], late: str = "1 day") -> DataFrame:
     """Requests whose fingerprint hasn't been seen within the watermark: equal ones are served from the cache."""
     if requests.isStreaming:
-        return requests.withWatermark("ts", late).dropDuplicatesWithinWatermark(fingerprint)
+        return _timed(requests, late).dropDuplicatesWithinWatermark(fingerprint)
     return requests.dropDuplicates(fingerprint)
 
 
