@@ -1,7 +1,7 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-A vector's code has one bit per dimension, set where the value is above 0.  Codes are cut into segments of 16
-bits, each an index (segment, value) to distinct codes.  A query probes all segments with every value within
+A vector's code has one bit per dimension, set where the value is above 0.  Codes are cut into segments of 8 or
+16 bits, each an index (segment, value) to distinct codes.  A query probes all segments with every value within
 radius r of its own; whatever isn't found then differs in more than r bits of each of m segments, so its
 distance is m * (r + 1) at least.  The radius grows by one until a query's k-th verified distance is below
 that.  From the second round on, probes only pass on codes that aren't farther than the k-th distance so far.
@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENT = 16
+#: Bits of a segment: near the logarithm of the number of codes, and a divisor of 64.
+WIDE, NARROW, FEW_CODES = 16, 8, 4096
 
 
 def code_of(vector: Column, words: int) -> Column:
@@ -35,13 +36,14 @@ def distance(a: str, b: str, words: int) -> str:
     return "(" + " + ".join(f"bit_count({a}[{w}] ^ {b}[{w}])" for w in range(words)) + ")"
 
 
-def segments_of(code: str, segments: int) -> Column:
+def segments_of(code: str, segments: int, bits: int) -> Column:
     """array of (segment, value) of a code."""
-    parts = [f"struct({s} as segment, cast(shiftrightunsigned({code}[{s // 4}], {SEGMENT * (s % 4)}) & 65535 as int) as value)" for s in range(segments)]
+    at = [divmod(bits * s, 64) for s in range(segments)]
+    parts = [f"struct({s} as segment, cast(shiftrightunsigned({code}[{w}], {b}) & {(1 << bits) - 1} as int) as value)" for s, (w, b) in enumerate(at)]
     return F.expr(f"array({', '.join(parts)})")
 
 
-def masks(radius: int, bits: int = SEGMENT) -> list[int]:
+def masks(radius: int, bits: int) -> list[int]:
     """Values of ``bits`` bits of which ``radius`` are set."""
     return [x for x in range(1 << bits) if x.bit_count() == radius]
 
@@ -50,21 +52,22 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "ve
     """(query_id, rank, neighbour_id, distance): the k nearest rows of each query, ties by the smaller id."""
     dims = base.agg(F.max(F.size(vector))).first()[0]
     words = max(1, -(-max(dims or 0, 0) // 64))
-    segments = max(1, -(-max(dims or 1, 1) // SEGMENT))
     coded = lambda df: df.select(F.col(id_column).alias("id"), code_of(F.col(vector), words).alias("code")).where("code is not null and id is not null")
 
     order = Window.partitionBy("code").orderBy("id")
     ids = coded(base).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).checkpoint()
-    sizes = ids.groupBy("code").agg(F.count("*").alias("n"))
-    index = ids.select("code").distinct().select("code", F.explode(segments_of("code", segments)).alias("x")).select(F.col("x.segment"), F.col("x.value"), "code").checkpoint()
+    sizes = ids.groupBy("code").agg(F.count("*").alias("n")).checkpoint()
+    bits = WIDE if sizes.count() >= FEW_CODES else NARROW
+    segments = max(1, -(-max(dims or 1, 1) // bits))
+    index = sizes.select("code", F.explode(segments_of("code", segments, bits)).alias("x")).select(F.col("x.segment"), F.col("x.value"), "code").checkpoint()
 
     asked = coded(queries)
     pending = asked.select("code").distinct().select(F.col("code").alias("q"), F.lit(None).cast("int").alias("bound")).checkpoint()
     found = ids.sparkSession.createDataFrame([], "q array<bigint>, code array<bigint>, far int")
     done = found
-    for radius in range(SEGMENT + 1):
-        probe = pending.select("q", "bound", F.explode(segments_of("q", segments)).alias("x"))
-        probe = probe.select("q", "bound", F.col("x.segment").alias("segment"), F.explode(F.transform(F.lit(masks(radius)), lambda m: F.col("x.value").bitwiseXOR(m))).alias("value"))
+    for radius in range(bits + 1):
+        probe = pending.select("q", "bound", F.explode(segments_of("q", segments, bits)).alias("x"))
+        probe = probe.select("q", "bound", F.col("x.segment").alias("segment"), F.explode(F.transform(F.lit(masks(radius, bits)), lambda m: F.col("x.value").bitwiseXOR(m))).alias("value"))
         near = F.expr(f"bound is null or {distance('q', 'code', words)} <= bound")
         new = probe.join(index, ["segment", "value"]).where(near).select("q", "code", F.expr(distance("q", "code", words)).cast("int").alias("far"))
         found = found.unionByName(new).distinct()
@@ -76,7 +79,7 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "ve
         sized = sized.withColumn("kth", F.min(F.when(F.col("upto") >= k + 1, F.col("far"))).over(reached))
         found = sized.where("kth is null or far <= kth").select("q", "code", "far", "kth").checkpoint()
         state = pending.join(found.groupBy("q").agg(F.max("kth").alias("kth")), "q", "left")
-        last = radius == SEGMENT
+        last = radius == bits
         covered = F.lit(True) if last else F.coalesce(F.col("kth") < segments * (radius + 1), F.lit(False))
         settled = state.withColumn("over", covered).select("q", "kth", "over").checkpoint()
         done = done.unionByName(found.join(settled.where("over").select("q"), "q").select("q", "code", "far")).checkpoint()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import hamming_search, licenses, mixing, packing, quality_model, quality_rules, secrets, simhash, toxicity, url_filter
+from assayer.llm import hamming_search, licenses, mixing, oracles, packing, quality_model, quality_rules, secrets, simhash, toxicity, url_filter
 from assayer.llm.common import labels_of, ready, table
 
 
@@ -72,4 +72,4 @@ QUERIES = {
         op9_licenses, op10_quality_model,
     )
 }
-SQL: dict[str, str] = {}
+SQL = oracles.SQL
