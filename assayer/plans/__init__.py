@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("text", "relational", "matching", "review")
+FAMILIES = ("text", "relational", "matching", "review", "records")
 
 
 def load() -> None:
