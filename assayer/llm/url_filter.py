@@ -70,7 +70,8 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_column: str
     """(page_id, host, path, rule, verdict, is_listed) of every row of ``pages``.
 
     ``rules``: (host, path, verdict); ``listed``: (key, verdict) of canonical URLs.  Distinct (host, path) are
-    looked up once.  Rules' distinct path lengths decide which beginnings of a path are keys.
+    looked up once; their results are checkpointed, so that a (host, path) of very many rows is split in the last
+    join.  Rules' distinct path lengths decide which beginnings of a path are keys.
     """
     # One column per part, taken once; a null url has empty parts.
     rows = pages.select(F.col(id_column).alias("page_id"), F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.coalesce(path_of(F.col(url)), F.lit("")).alias("path"))
@@ -90,7 +91,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_column: str
     best = hits.groupBy("host", "path").agg(
         F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.col("verdict"), "rule"))).alias("r"),
         F.max(F.when(F.col("rule").isNull(), F.col("verdict"))).alias("listed"),
-    )
+    ).checkpoint()
     found = rows.join(best, ["host", "path"], "left")
     verdict = F.coalesce(F.col("r.verdict"), F.col("listed"), F.lit("allow"))
     return found.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), F.col("listed").isNotNull().alias("is_listed"))
