@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from assayer.functions import text
 from assayer.operators import dedup, match, pack, relate, retrieve, validate
-from assayer.sources import parse, sinks, tables
+from assayer.sources import corpus, parse, schemas, sinks, tables
 from assayer.streaming import windows
 
 
@@ -199,3 +199,38 @@ def test_streams(spark, tmp_path, sf):
     query.awaitTermination()
     assert {tuple(r) for r in spark.table("w").select("start", "event_type", "events").collect()} == {tuple(r) for r in windows.tumbling(spark.read.parquet(source)).select("start", "event_type", "events").collect()}
     assert windows.sessions(spark.read.parquet(source)).agg(F.sum("events")).first()[0] == spark.read.parquet(source).count()
+
+
+def test_structured_elements():
+    page = {"pages": [{"page_id": 0, "others": ["7"], "content": [
+        {"type": "heading", "text": "A", "heading_level": 1}, {"type": "text", "text": "one"}, {"type": "text", "text": "one"}, {"type": "heading", "text": "B", "heading_level": 2},
+        {"type": "table", "text": "<table><tr><td>x</td><td>1</td></tr></table>", "text_format": "html", "annotations": [{"text": "Table 1"}]},
+        {"type": "heading", "text": "C", "heading_level": 1}, {"type": "image", "annotations": [{"text": "Figure 1"}]}]}]}
+    assert parse.elements(json.dumps(page), "S") == [
+        ("heading", "S", "A"), ("paragraph", "S > A", "one"), ("heading", "S > A", "B"), ("table", "S > A > B", "x | 1"), ("table_row", "S > A > B", "x | 1"),
+        ("caption", "S > A > B", "Table 1"), ("heading", "S", "C"), ("figure", "S > C", "Figure 1"),
+    ]
+    assert parse.elements(None) == [] and parse.elements("[1") == [] and parse.elements("[]") == []
+
+
+def test_degradation_and_ledger(spark):
+    structured, dump = spark.createDataFrame([("a", "x")], "k string, t string"), spark.createDataFrame([("a", "d"), ("b", "e")], "k string, t string")
+    blocks, warnings = corpus.degrade(structured, dump, spark.createDataFrame([("a",), ("b",), ("c",)], "k string"), "k")
+    assert {tuple(r) for r in blocks.collect()} == {("a", "x", False), ("b", "e", True)}
+    assert {tuple(r) for r in warnings.collect()} == {("b", "page dump used"), ("c", "no text")}
+    pages = spark.createDataFrame([("q", 1, "d", "d", 2), ("q", 2, "e", "e", 2), ("r", 1, "d", None, 1), ("s", 1, "d", "d", 2)], "g string, p long, d string, m string, n long")
+    got = {r["g"]: r["complete"] for r in corpus.fetch_ledger(pages, ["g"], "p", "d", "m", "n").collect()}
+    assert got == {"q": True, "r": False, "s": False}
+
+
+def test_manifest_flags_and_schemas():
+    assert corpus.manifest_problems({"queries": {"a": "x"}, "page_size": 10}, ["queries", "page_size"]) == []
+    assert corpus.manifest_problems({"queries": {"a": " "}, "page_size": 0, "zz": 1}, ["queries", "page_size", "cap"]) == ["missing cap", "unknown zz", "empty query a", "page_size is not positive"]
+    flags = [corpus.Flag("ids", False, ("IDS", "OLD_IDS"), ("P0-a",))]
+    assert not corpus.enabled(flags, "ids", env={}) and corpus.enabled(flags, "P0-a", env={"OLD_IDS": "on"}) and not corpus.enabled(flags, "ids", env={"IDS": "0", "OLD_IDS": "1"})
+    assert corpus.enabled(flags, "other", default=True, env={})
+    with pytest.raises(KeyError):
+        corpus.enabled(flags, "other", env={})
+    with pytest.raises(ValueError):
+        corpus.enabled(flags, "ids", env={"IDS": "maybe"})
+    assert all(T.StructType.fromJson(json.loads(s)) == schemas.ALL[n] for n, s in schemas.export().items())
