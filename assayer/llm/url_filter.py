@@ -3,8 +3,8 @@
 Two lists are looked up the same way: rules (host, path, verdict), which fit a host with all its subdomains
 where the path starts with the rule's, and listed canonical URLs.  Every url gives its possible keys; the
 filter, a relation of 512-bit blocks of fixed number, drops nearly all that aren't listed; what passes goes to an
-exact join on the key's text, which removes false positives.  The longest fitting rule wins (of equal length the
-smaller rule string, block before allow); without one, a listed canonical URL has ``listed``'s verdict and others
+exact join on the key's text, which removes false positives.  The longest fitting rule wins (of equal length
+block before allow); without one, a listed canonical URL has ``listed``'s verdict and others
 are allowed.
 
 The filter has at most ``MOST_BLOCKS`` blocks of 64 bytes, whatever the lists' length, so it may be broadcast;
