@@ -14,6 +14,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 #: A side of a join is broadcast only if it was counted and has at most so many narrow rows.
 BROADCAST_ROWS = 200_000
+#: Rows of an Arrow batch where the cluster sets no number: texts are long, and a task holds several batches.
+ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package and gives the session a checkpoint folder.
+    """Lets Python workers import this package, bounds Arrow batches and gives the session a checkpoint folder.
 
     The folder is the one that ``spark.checkpoint.dir`` names; only where that is unset (tests on one
     machine) a temporary folder takes its place.
@@ -30,6 +32,9 @@ def ready(spark: SparkSession) -> SparkSession:
     paths = [x for x in context.environment.get("PYTHONPATH", "").split(os.pathsep) if x]
     if root not in paths:
         context.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not context.getConf().contains(rows):
+        spark.conf.set(rows, str(ARROW_ROWS))
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="assayer-checkpoint-"))

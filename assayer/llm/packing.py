@@ -12,7 +12,7 @@ cut at window borders, so a partition pads one window at most.
 Tokens: the text's ids, then the end id.  Null texts count as empty.  No column but id and text is read,
 repeated rows are packed each by itself, and an empty table gives an empty result.  A text's ids are those
 of the tokenizer over the whole text: it drops blanks and never joins across them, so parts between blanks
-are encoded once per worker and kept in a bounded table (``CACHE`` entries).
+are encoded once per worker and kept in bounded tables.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW, END = 4096, 2
-#: Entries of each of a worker's two tables of encoded parts.
-CACHE = 300_000
+#: Entries of each of two generations of a worker's tables: runs between blanks, and words, which cost more to encode.
+CHUNKS, PARTS = 160_000, 200_000
 
 PIECES = T.StructType(
     [
@@ -55,6 +55,24 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Table(dict):
+    """Encoded parts by text.  A full table becomes the old one; what is used again moves back from there."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most, self.old = encode, most, {}
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.old.get(text)
+        if found is None:
+            found = self.encode(text)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[text] = found
+        return found
+
+
 class Encoder:
     """Little-endian 32-bit ids of whole texts under a lower-casing, blank-dropping word tokenizer."""
 
@@ -62,34 +80,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.letters = Tokenizer.from_file(path), byte_letters()
-        self.model = self.tokenizer.model
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.split = self.tokenizer.model.tokenize
+        self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.chunks, self.parts = _Table(self.chunk, CHUNKS), _Table(self.part, PARTS)
 
     def part(self, text: str) -> bytes:
-        found = self.parts.get(text)
-        if found is None:
-            raw = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
-            found = np.array([x.id for x in self.model.tokenize(raw)], "<u4").tobytes()
-            if len(self.parts) >= CACHE:
-                self.parts.clear()
-            self.parts[text] = found
-        return found
+        raw, ids = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode())), self.bytes
+        return b"".join([ids[x.id] for x in self.split(raw)])
 
     def chunk(self, text: str) -> bytes:
+        if text.isascii() and text.isalpha():
+            return self.parts[text.lower()]
         if _PLAIN.fullmatch(text) and "<|" not in text:
-            found = b"".join(map(self.part, _PART.findall(text.lower())))
-        else:
-            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.chunks) >= CACHE:
-            self.chunks.clear()
-            self.chunks[""] = b""
-        self.chunks[text] = found
-        return found
+            return b"".join(map(self.parts.__getitem__, _PART.findall(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        chunks = self.chunks
-        return b"".join([chunks[x] if x in chunks else self.chunk(x) for x in text.replace("\n", " ").split(" ")])
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -199,11 +206,11 @@ def pack(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "
                     for done in packer.add((key, whole), total - whole):
                         emit(done)
                 key += 1
-                if held > 1 << 23:
+                if held > 1 << 21:
                     yield flush()
         for done in packer.close():
             emit(done)
-            if held > 1 << 23:
+            if held > 1 << 21:
                 yield flush()
         yield flush()
 
