@@ -53,7 +53,7 @@ def op7_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.digest(simhash.near_duplicates(table(ready(spark), sf_dir, "documents")))
+    return simhash.digest(simhash.near_duplicates(table(ready(spark), sf_dir, "documents"), similarity=None))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,13 @@ are shipped to the tasks that need them by the shuffle on buckets, not to every
 trees would grow with the corpus.  A bucket's links come back as a star to its smallest member; alternating
 large-star and small-star steps join the stars to components.
 
+That is the contract of the op8 query (``similarity=None``).  By default texts are linked whose sets of five-word
+shingles have a Jaccard similarity of 0.8 at least, which is about ten bits and beyond any radius that buckets
+of bits can serve.  Twenty bands of three minima of the sets propose pairs (all pairs of buckets of up to ``ALL_PAIRS``
+texts, the next ``AHEAD`` in hashed order in larger ones, so pairs grow with the rows); minima that agree in too few
+places drop a pair, and what remains is decided by the whole sets.  Texts equal but for blanks and the case of
+ASCII letters are one node.
+
 Null or blank texts have fingerprint 0 and link like any other.  Rows with a null id take part and never name
 a component unless all its ids are null.  Repeated rows keep one row each in ``near_duplicates``;
 ``keep_one`` keeps one row per component.  Only id and text are read; an empty table gives an empty result.
@@ -22,24 +29,35 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import small
+from assayer.llm.common import BLANK_RUN, BLANKS, small
 
 SEED, RADIUS = 42, 2
 #: Rows of a shard of buckets, and of a bucket before it is divided once more.
 SHARD_ROWS, BUCKET_ROWS = 100_000, 20_000
+#: Jaccard similarity that links texts, words of its shingles, bands of minima and minima of a band.
+SIMILAR, WORDS, BANDS, BAND = 0.8, 5, 20, 3
+#: Members of a bucket that are all compared, members ahead that each is compared with in larger ones, and the share
+#: of equal minima under which a pair is dropped: five standard deviations below SIMILAR.
+ALL_PAIRS, AHEAD, LEAST_SHARE = 16, 3, 0.55
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def hashes_of(text: str | None, shingle: int) -> np.ndarray:
+    """64-bit hashes of a text's shingles in order; a shorter text is one shingle, a blank one has none."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    parts = zip(*(found[i:] for i in range(shingle))) if len(found) >= shingle else [found] if found else []
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    return np.array([digest(join(x), SEED) for x in parts], "<u8")
 
 
 def fingerprint_of(text: str | None, shingle: int = 3) -> int:
     """The unsigned fingerprint of one whole text."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
+    hashes = hashes_of(text, shingle)
+    if not len(hashes):
         return 0
-    parts = zip(*(found[i:] for i in range(shingle))) if len(found) >= shingle else [found]
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.array([digest(join(x), SEED) for x in parts], "<u8")
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         block = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -165,16 +183,95 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(doc_id, code, component_id) of every row; ``code`` is the signed fingerprint."""
-    docs = df.select(F.col(id_column).alias("doc_id"), fingerprint(F.col(text)).alias("code")).checkpoint()
-    firsts = docs.groupBy("code").agg(F.min("doc_id").alias("first")).checkpoint()
-    joined = components(links(firsts.select("code"), radius))
-    named = firsts.join(joined.select(F.col("a").alias("code"), F.col("b").alias("root")), "code", "left")
-    named = named.select("code", "first", F.coalesce("root", "code").alias("root"))
+def sketch_of(text: str | None) -> bytes:
+    """The minima of a text's set of shingles under BANDS * BAND orders, four bytes each; empty for a blank text."""
+    hashes = np.unique(hashes_of(text, WORDS))
+    if not len(hashes):
+        return b""
+    low = np.full(BANDS * BAND, ~np.uint64(0), np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        low = np.minimum(low, (hashes[None, at : at + (1 << 12)] * _ODD[0] + _ODD[1]).min(axis=1))
+    return (low >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def jaccard_of(a: str | None, b: str | None) -> float:
+    """Similarity of the whole sets of two texts."""
+    a, b = np.unique(hashes_of(a, WORDS)), np.unique(hashes_of(b, WORDS))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def sketch(text: Column) -> Column:
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([sketch_of(x) for x in batch], dtype=object)
+
+    return run(text)
+
+
+def content(text: Column) -> Column:
+    """One key for texts equal but for blanks and the case of A-Z."""
+    bare = F.regexp_replace(F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS)), BLANK_RUN, " ")
+    return F.xxhash64(F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def similar_links(texts: DataFrame, nodes: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """(a, b) of nodes whose texts are similar; ``texts`` has (node, text), ``nodes`` one (node, sketch) each."""
+    width = 4 * BAND
+    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 1 + width * i, width)) for i in range(BANDS)])
+    keyed = nodes.where("length(sketch) > 0").select("node", F.explode(bands).alias("bucket"))
+    counts = keyed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    ahead = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "node"), "node").rowsBetween(1, ALL_PAIRS - 1)
+    found = keyed.join(counts, "bucket").withColumn("others", F.collect_list("node").over(ahead))
+    found = found.select("node", F.explode(F.expr(f"if(members <= {ALL_PAIRS}, others, slice(others, 1, {AHEAD}))")).alias("other"))
+    pairs = found.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+    @F.pandas_udf("double")
+    def share(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([float(np.mean(np.frombuffer(i, "<u4") == np.frombuffer(j, "<u4"))) for i, j in zip(x, y)], dtype=float)
+
+    @F.pandas_udf("double")
+    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([jaccard_of(i, j) for i, j in zip(x, y)], dtype=float)
+
+    side = lambda rows, column, name: rows.select(F.col("node").alias(name), F.col(column).alias(f"{name}_{column}"))
+    pairs = pairs.join(side(nodes, "sketch", "a"), "a").join(side(nodes, "sketch", "b"), "b")
+    pairs = pairs.where(share("a_sketch", "b_sketch") >= LEAST_SHARE).select("a", "b").checkpoint()
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().checkpoint()
+    held = texts.join(small(needed), "node", "left_semi").dropDuplicates(["node"])
+    pairs = pairs.join(side(held, "text", "a"), "a").join(side(held, "text", "b"), "b")
+    return pairs.where(jaccard("a_text", "b_text") >= similarity).select("a", "b")
+
+
+def _classes(docs: DataFrame, firsts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``docs`` with the component_id of each row's node."""
+    joined = components(edges)
+    named = firsts.join(joined.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+    named = named.select("node", "first", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(least, "root").select("code", "component_id").checkpoint()
-    return docs.join(classes, "code").select("doc_id", "code", "component_id")
+    return docs.join(named.join(least, "root").select("node", "component_id").checkpoint(), "node")
+
+
+def _similar(df: DataFrame, id_column: str, text: str, similarity: float, *more: Column) -> DataFrame:
+    node, t = content(F.col(text)).alias("node"), F.col(text)
+    docs = df.select(F.col(id_column).alias("doc_id"), node, sketch(t).alias("sketch"), *more).checkpoint()
+    firsts = docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch")).checkpoint()
+    return _classes(docs.drop("sketch"), firsts.drop("sketch"), similar_links(df.select(node, t.alias("text")), firsts, similarity))
+
+
+def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS, similarity: float | None = SIMILAR) -> DataFrame:
+    """(doc_id, code, component_id) of every row; ``code`` is the signed fingerprint of three-word shingles.
+
+    Components join texts of the given similarity or, without one, fingerprints within the radius.
+    """
+    code = fingerprint(F.col(text))
+    if similarity is not None:
+        return _similar(df, id_column, text, similarity, code.alias("code")).select("doc_id", "code", "component_id")
+    docs = df.select(F.col(id_column).alias("doc_id"), code.alias("node")).checkpoint()
+    firsts = docs.groupBy("node").agg(F.min("doc_id").alias("first")).checkpoint()
+    edges = links(firsts.select(F.col("node").alias("code")), radius)
+    return _classes(docs, firsts, edges).select("doc_id", F.col("node").alias("code"), "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -182,12 +279,12 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILAR) -> DataFrame:
     """The rows of ``df`` that stand for their component: those with its smallest id, repeats of a row once.
 
     Only ids of rows that go are joined to the texts.  Rows with a null id all stay.
     """
-    found = near_duplicates(df, id_column, text)
+    found = _similar(df, id_column, text, similarity)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct().checkpoint()
     kept = df.join(small(gone), F.col(id_column) == F.col("gone"), "left_anti")
     again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("again")).checkpoint()

@@ -180,6 +180,32 @@ def test_simhash_odd_rows(llm, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_similar_texts_go_beyond_the_radius(llm):
+    rng = np.random.default_rng(4)
+    rows, words = [], [f"w{i}" for i in range(3000)]
+    for i in range(60):
+        base = list(rng.choice(words, 100))
+        rows += [(i, " ".join(base)), (100 + i, " ".join([*base[:50], "changed", *base[51:]])), (200 + i, " ".join([*base[:20], "a", *base[21:50], "b", *base[51:80], "c", *base[81:]]))]
+    df = llm.createDataFrame([*rows, (900, None), (901, " "), (None, "x y")], "doc_id long, text string")
+    assert 0.8 <= simhash.jaccard_of(rows[0][1], rows[1][1]) and simhash.jaccard_of(rows[0][1], rows[2][1]) < 0.8
+    far = [(simhash.fingerprint_of(rows[3 * i][1]) ^ simhash.fingerprint_of(rows[3 * i + 1][1])).bit_count() for i in range(60)]
+    assert np.median(far) > 2
+    kept = sorted((r["doc_id"] for r in simhash.keep_one(df).collect()), key=str)
+    assert kept == sorted([*range(60), *range(200, 260), 900, None], key=str)
+
+
+def test_similar_texts_match_brute_force(llm, sf):
+    docs = {r["doc_id"]: r["text"] for r in table(llm, sf, "documents").collect()}
+    sets = {i: set(simhash.hashes_of(t, 5).tolist()) for i, t in docs.items()}
+    label = {i: i for i in docs}
+    for i in sorted(docs):
+        for j in docs:
+            if j > i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table(llm, sf, "documents")).collect()} == label
+
+
 def test_bk_trees_find_all_links_in_dense_groups():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 5, dtype=np.int64).astype(np.uint64)
