@@ -8,7 +8,8 @@ multivariate-hypergeometric samples, so every shard gets a random but exactly ad
 source.  A shard draws its quota as a disjoint run of the permuted draws, and rows are shuffled locally by a
 hash within their shard.
 
-The driver holds one row per source and the quotas (sources times shards), never documents or blocks.
+The number of shards grows with the mix unless it is given.  The driver holds one row per source and the quotas
+(sources times shards), never documents or blocks; block tables hold the shards of a block's draws.
 Hashes of id and text alone decide, so reruns agree on any cluster.  A null source is a source of its own and
 sorts last; null texts have size 0 and are taken in whole passes only.  Repeated rows are taken alike or side
 by side.  An empty table gives an empty result; columns of the input never clash with working columns.
@@ -29,6 +30,9 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), Fraction(3, 2), 2
 #: Words of a block, and the most blocks of one source; block tables are counted before any broadcast.
 BLOCK_WORDS, MOST_BLOCKS = 20_000, 4096
 SHARDS, SEED = 16, 11
+#: Words of a shard where the number of shards is not given; SHARDS is then the least number.  Shards of small mixes
+#: share partitions of about so many words, one after the other.
+SHARD_WORDS = 2_000_000
 
 
 def size_of(text: Column) -> Column:
@@ -95,8 +99,8 @@ def _sources(spark: SparkSession, docs: DataFrame, block_words: int, most_blocks
     return spark.createDataFrame(rows, "_source string, _source_size long, _target double, _passes int, _rest double, _blocks long")
 
 
-def mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, block_words: int = BLOCK_WORDS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
-    """Adds _size, _source_size, _target, _copies, _shards (one shard per copy) and _order to every row.
+def _dealt(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", shards: int | None = None, block_words: int = BLOCK_WORDS, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, int]:
+    """The rows of ``mix`` and the number of partitions for its shards.
 
     Texts aren't shuffled: sizes are taken beside the rows, and only tables per source and per block are
     joined to them.  Documents of a source's last, partly taken block are ranked by their hash.
@@ -131,34 +135,42 @@ def mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: st
     drawn = blocks.groupBy("_source").agg(F.count("*").alias("n"), F.count_if(F.col("_whole") | F.col("_last").isNotNull()).alias("extra"))
     drawn = drawn.join(F.broadcast(sources), same(drawn, sources)).drop(sources["_source"]).select("_source", (F.col("n") * F.col("_passes") + F.col("extra")).alias("draws"), F.col("n").alias("_n")).collect()
     drawn.sort(key=lambda r: (r["_source"] is None, (r["_source"] or "").encode("utf-32-be")))
+    parts = shards or int((sources.agg(F.sum("_target")).first()[0] or 0) // SHARD_WORDS) + 1
+    shards = shards or max(SHARDS, parts)
     ends = split_tree([r["draws"] for r in drawn], shards).cumsum(axis=0).T.tolist() if drawn else []
     quotas = spark.createDataFrame([(r["_source"], r["_n"], e) for r, e in zip(drawn, ends)], "_source string, _n long, _ends array<long>")
     blocks = blocks.join(F.broadcast(quotas), same(blocks, quotas)).drop(quotas["_source"])
-    blocks = blocks.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "_place", "_whole", "_last", "_n", "_ends").checkpoint()
+    blocks = blocks.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "_whole", "_last", F.expr("transform(array(0, 1, 2), c -> size(filter(_ends, e -> e <= _place + c * _n)))").alias("_dealt")).checkpoint()
 
     rows = placed(docs)
     rows = rows.join(small(blocks, 100_000), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
     extra = F.coalesce(F.col("_whole") | (F.col("_key") <= F.col("_last")), F.lit(False)) & (F.col("_size") > 0)
     copies = F.when(F.col("_size") > 0, F.col("_passes") + extra.cast("int")).otherwise(0)
     rows = rows.withColumn("_copies", copies)
-    rows = rows.withColumn("_shards", F.expr("transform(slice(array(0, 1, 2), 1, _copies), c -> size(filter(_ends, e -> e <= _place + c * _n)))"))
+    rows = rows.withColumn("_shards", F.slice("_dealt", F.lit(1), F.col("_copies")))
     rows = rows.withColumn("_order", F.xxhash64(F.lit(SEED + 2), "_key"))
-    return rows.drop("_source", "_key", "_passes", "_rest", "_blocks", "_block", "_s", "_b", "_place", "_whole", "_last", "_n", "_ends")
+    return rows.drop("_source", "_key", "_passes", "_rest", "_blocks", "_block", "_s", "_b", "_whole", "_last", "_dealt"), parts
+
+
+def mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", shards: int | None = None, block_words: int = BLOCK_WORDS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """Adds _size, _source_size, _target, _copies, _shards (one shard per copy) and _order to every row."""
+    return _dealt(df, id_column, text, source, shards, block_words, most_blocks)[0]
 
 
 def taken(df: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document."""
     rows = mix(df.select("doc_id", "text", "source"))
-    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.size("_shards")).alias("taken"))
 
 
 def mixed(df: DataFrame) -> DataFrame:
-    """The mix itself with the columns of ``df``: each document once per copy."""
-    rows = mix(df).withColumn("_shard", F.explode("_shards"))
-    return rows.select(*df.columns)
+    """The mix itself with the columns of ``df``: each document once per copy, dealt to shards and shuffled in them."""
+    return sharded(df).select(*df.columns)
 
 
-def sharded(df: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The mix with ``_shard``, dealt by shard and shuffled within it."""
-    rows = mix(df, shards=shards).withColumn("_shard", F.explode("_shards"))
-    return rows.repartition(shards, "_shard").sortWithinPartitions("_shard", "_order").select(*df.columns, "_shard")
+def sharded(df: DataFrame, shards: int | None = None) -> DataFrame:
+    """The mix with ``_shard``, dealt by shard and shuffled within it; copies of a document in one shard have places of their own."""
+    rows, parts = _dealt(df, shards=shards)
+    rows = rows.select("*", F.posexplode("_shards").alias("_copy", "_shard"))
+    rows = rows.withColumn("_order", F.xxhash64("_order", "_copy"))
+    return rows.repartition(parts, "_shard").sortWithinPartitions("_shard", "_order").select(*df.columns, "_shard")

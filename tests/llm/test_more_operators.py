@@ -165,6 +165,25 @@ def test_mixing_shards(llm, odd, sf):
     assert mixing.taken(odd.limit(0)).count() == 0 and mixing.mixed(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard_words", [mixing.SHARD_WORDS, 500])
+def test_mixed_rows_are_dealt_and_shuffled(llm, sf, monkeypatch, shard_words):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", shard_words)
+    docs = table(llm, sf, "documents").repartition(3)
+    place = F.struct(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    got = defaultdict(list)
+    for r in sorted(mixing.mixed(docs).select("doc_id", place.alias("p")).collect(), key=lambda r: r["p"]):
+        got[r["p"]["part"]].append(r["doc_id"])
+    want, copies = defaultdict(list), 0
+    for r in mixing.mix(docs).select("doc_id", "_shards").collect():
+        copies += len(r["_shards"])
+        for s in r["_shards"]:
+            want[s].append(r["doc_id"])
+    assert sum(map(len, got.values())) == copies and (len(got) > 3 if shard_words == 500 else len(got) == 1)
+    runs = [sorted(ids[i : i + len(s)]) for ids in got.values() for s in want.values() for i in range(len(ids))]
+    assert all(sorted(s) in runs for s in want.values())
+    assert all(ids != sorted(ids) for ids in got.values() if len(ids) > 9)
+
+
 @pytest.fixture(scope="session")
 def forest(llm):
     return secrets.train(secrets.example_findings(llm))
