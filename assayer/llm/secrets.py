@@ -1,6 +1,7 @@
 """Secret scans in DataFrame functions alone.
 
-A pattern finds candidate runs; a random forest over their length, character transitions, dictionary
+A pattern finds candidates: runs of twelve key characters with a digit, keys with a known prefix, and whatever
+stands, up to a blank or a quote, after a naming word and ``=``, ``:`` or ``is``; a random forest over their length, character transitions, dictionary
 coverage, path context and neighbouring words drops false positives.  The forest is trained by Spark's own
 learner on labelled findings and then written as one SQL expression, so a scan is a map over the texts: no
 join, no shuffle and no Python.
@@ -19,10 +20,39 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import free_name, settled
 
-#: Runs of key characters that hold a digit, twelve at least.
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}={0,2}"
+#: Words before a value, by number of characters; ``key`` stands alone or in a longer name of these.
+NAMES = {
+    3: "pwd|(?<![a-z])key", 5: "token", 6: "passwd|secret|apikey|bearer", 7: "api[_ -]key", 8: "password", 9: "accesskey|secretkey",
+    10: "access[_ -]key|secret[_ -]key|passphrase|credential|privatekey", 11: "private[_ -]key",
+}
+#: Keys that their beginning gives away.
+KNOWN = "AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|xox[bp]-[A-Za-z0-9-]{10,}"
+_B, _Q = r"[\x20\x09-\x0D]", "[\"']"
+
+
+def _named() -> str:
+    """A place right after a naming word and a separator; lookbehinds of one width each, as Python wants them too."""
+    by: dict[int, list[str]] = {}
+    signs = [(n + len(pre) + len(post) + len(end), "".join([*pre, sign, *post, *end])) for n, sign in ((1, "[:=]"), (2, "(?:[:=]=|=>)"))
+             for pre in ([], [_Q], [_B], [_Q, _B]) for post in ([], [_B], [_B, _B]) for end in ([], [_Q])]
+    signs += [(4, f"{_B}is{_B}"), (5, f"{_B}is{_B}{_Q}")]
+    for n, name in NAMES.items():
+        for m, sign in signs:
+            by.setdefault(n + m, []).append(f"(?:{name}){sign}")
+    by.setdefault(7, []).append(f"bearer{_B}")
+    soon = f"(?<=[:=>])|(?<=[:=>]{_B})|(?<=[:=>]{_Q})|(?<=[:=>]{_B}{_B})|(?<=[:=>]{_B}{_Q})|(?<=[:=>]{_B}{_B}{_Q})|(?<=(?i:is){_B})|(?<=(?i:is){_B}{_Q})|(?<=(?i:bearer){_B})"
+    return f"(?:{soon})(?i:" + "|".join(f"(?<={'|'.join(x)})" for _, x in sorted(by.items())) + ")"
+
+
+#: Values after a naming word without the punctuation that closes a phrase, runs of key characters that hold a digit, known keys.
+CANDIDATE = (
+    _named() + "[^\\x20\\x09-\\x0D\"'`=:>][^\\x20\\x09-\\x0D\"'`]*?(?=[.,;:)\\]}>]{0,8}(?:[\\x20\\x09-\\x0D\"'`]|(?![\\s\\S])))"
+    r"|(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}={0,2}" + f"|(?:{KNOWN})(?![A-Za-z0-9_+/-]))"
+)
+#: Texts without any of these have no candidate.
+GATE = "[0-9]|AKIA|gh[pousr]_|sk-|xox|(?i:pwd|key|token|passwd|secret|bearer|password|passphrase|credential)"
 #: Words that call what follows a secret, and words that call it something else.
-KEYS = "password|passwd|pwd|secret|token|api[_ -]?key|apikey|access[_ -]?key|private[_ -]?key|credential|bearer|authorization|auth"
+KEYS = "password|passphrase|passwd|pwd|secret|token|api[_ -]?key|apikey|access[_ -]?key|private[_ -]?key|\\bkey|credential|bearer|authorization|auth"
 OTHERS = "commit|checksum|sha1|sha256|md5|digest|uuid|version|build|isbn|phone|tel|order|invoice|card|account|article|page|id"
 #: Common parts of names and placeholders; their share of a candidate is its dictionary coverage.
 DICTIONARY = (
@@ -32,12 +62,18 @@ DICTIONARY = (
     "http", "https", "www", "html", "json", "xml", "photo", "report", "draft", "final", "copy", "paragraph", "figure", "table",
     "xxxx", "1234", "0000", "abcd", "abc123",
 )
-FEATURES = ("length", "digits", "upper", "lower", "transitions", "distinct", "coverage", "hex", "keyed", "key_near", "other_near", "path", "separators", "known")
+#: What prose says of a secret.
+PROSE = (
+    "required", "optional", "string", "integer", "field", "reset", "expired", "invalid", "missing", "needed", "hidden", "unknown", "empty", "protected",
+    "encrypted", "changed", "stored", "the", "that", "this", "not", "very", "out", "under", "to", "a", "an", "in", "of", "for", "why", "how", "what",
+    "important", "simple", "safe", "used", "set", "given", "known", "always", "never", "good", "patience",
+)
+FEATURES = ("length", "digits", "upper", "lower", "transitions", "distinct", "coverage", "hex", "keyed", "key_near", "other_near", "path", "separators", "known", "assigned", "quoted", "symbols", "prose", "filled", "after_word", "after_end")
 
 
 def features(x: Column, dictionary: Sequence[str] = DICTIONARY) -> Column:
     """Struct of the features of a candidate struct (value, before, after)."""
-    v, before = x["value"], x["before"]
+    v, before, after = x["value"], x["before"], x["after"]
     n = F.length(v).cast("double")
     without = lambda pattern: 1 - F.length(F.regexp_replace(v, pattern, "")) / n
     runs = v
@@ -53,12 +89,19 @@ def features(x: Column, dictionary: Sequence[str] = DICTIONARY) -> Column:
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(36.0)),
         "coverage": 1 - F.length(F.regexp_replace(F.lower(v), "|".join(dictionary), "")) / n,
         "hex": yes(v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
-        "keyed": yes(before.rlike(f"(?i)(?:{KEYS})[\"']?\\s*(?:[:=]+|is)\\s*[\"']?$")),
+        "keyed": yes(before.rlike(f"(?i)(?:{KEYS})[\"']?\\s*(?:[:=]+>?|\\bis)\\s*[\"']?$")),
         "key_near": yes(before.rlike(f"(?i)(?:{KEYS})")),
         "other_near": yes(before.rlike(f"(?i)\\b(?:{OTHERS})\\b[^A-Za-z]*$")),
         "path": yes(v.contains("/") | before.rlike(r"(?:://\S*|[/.\\@])$")),
         "separators": without("[_/-]"),
-        "known": yes(v.rlike("^(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|xox[bp]-[A-Za-z0-9-]{10,})$")),
+        "known": yes(v.rlike(f"^(?:{KNOWN})$")),
+        "assigned": yes(before.rlike("[:=]>?\\s*[\"']?$")),
+        "quoted": yes(before.rlike("[\"']$")),
+        "symbols": without("[^A-Za-z0-9]"),
+        "prose": yes(v.rlike(f"(?i)^(?:{'|'.join(PROSE)})$")),
+        "filled": yes(v.rlike(r"^(?:[<$%{\[(].*|[*xX.]+|-+)$")),
+        "after_word": yes(after.rlike("^ +[a-z]+")),
+        "after_end": yes(after.rlike("^[\"'.,;)]*(?:\\s*$|\\s*\\n|[\"'])")),
     }
     return F.struct(*[c.cast("double").alias(k) for k, c in found.items()])
 
@@ -72,6 +115,8 @@ def example_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     df = spark.range(0, rows, 1, 1).withColumn("d", F.sha2(F.col("id").cast("string"), 256))
     df = df.withColumn("u", F.upper(F.translate(F.col("d"), "0123456789", "GHJKLMN234")))
     df = df.withColumn("m", F.regexp_replace(F.base64(F.unhex("d")), "[+/=]", ""))
+    df = df.withColumn("l", F.translate("d", "0123456789", "ghijklmnop")).withColumn("k", (F.col("id") % 7 + 4).cast("int"))
+    prose = F.element_at(F.array(*map(F.lit, PROSE)), (F.col("id") % len(PROSE) + 1).cast("int"))
     n, number = F.col("id").cast("string"), F.conv(F.substring("d", 1, 12), 16, 10)
     word = F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.col("id") % len(DICTIONARY) + 1).cast("int"))
     kinds = [
@@ -97,10 +142,32 @@ def example_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (F.concat(F.lit("image_"), F.lpad(n, 8, "0")), "the file ", 0),
         (F.concat(word, F.lit("/page"), n, F.lit("/"), word), "read /", 0),
         (F.concat(F.lit("release-version-"), n), "and then ", 0),
+        (F.concat(F.lit("AKIA"), F.translate(F.substring("u", 1, 16), "234", "XYZ")), "some other words ", 1),
+        (F.concat(F.expr("substring(l, 1, k)"), F.substring(number, 1, 2)), "password=", 1),
+        (F.concat(F.expr("substring(l, 3, k)"), F.substring(number, 1, 1)), "my password is ", 1),
+        (F.expr("substring(l, 5, 2 * k)"), "pwd=", 1, "\n"),
+        (F.expr("substring(m, 1, k + 2)"), "secret: ", 1, ""),
+        (F.expr("substring(l, 7, k + 2)"), "password: ", 1, "\n"),
+        (F.expr("substring(l, 7, 3 * k)"), 'token = "', 1, '"'),
+        (F.concat(F.lit("P@"), F.expr("substring(l, 2, k)"), F.lit("!"), F.substring(number, 1, 2)), "password=", 1),
+        (F.concat(F.expr("substring(m, 3, k)"), F.lit("#$"), F.expr("substring(l, 1, k)")), "passwd: ", 1, "\n"),
+        (F.concat(F.expr("substring(m, 1, k + 4)"), F.lit("."), F.expr("substring(m, 20, k + 3)"), F.lit("."), F.expr("substring(m, 30, k)")), "token=", 1),
+        (prose, "the password is ", 0),
+        (prose, "password: ", 0),
+        (prose, "the secret is ", 0, ""),
+        (prose, "token: ", 0, "\n"),
+        (F.expr("substring(l, 9, k)"), "the key is ", 0),
+        (F.expr("substring(l, 9, k)"), "The secret: ", 0, " of the"),
+        (F.expr("substring(l, 9, k)"), "the secret is ", 0, ""),
+        (F.concat(F.lit("${"), F.upper(F.expr("substring(l, 1, k)")), F.lit("}")), "password=", 0),
+        (F.concat(F.lit("<"), word, F.lit("_"), F.expr("substring(l, 1, k)"), F.lit(">")), "token=", 0),
+        (F.expr("repeat('*', k)"), "password: ", 0),
+        (word, "password=", 0),
+        (word, 'secret: "', 0, '"'),
     ]
     row = F.lit(None)
-    for i, (value, before, y) in enumerate(kinds):
-        part = F.struct(value.alias("value"), F.lit(before).alias("before"), F.lit(" and").alias("after"), F.lit(y).alias("y"))
+    for i, (value, before, y, *after) in enumerate(kinds):
+        part = F.struct(value.alias("value"), F.lit(before).alias("before"), F.lit(*after or [" and"]).alias("after"), F.lit(y).alias("y"))
         row = F.when(F.col("id") % len(kinds) == i, part).otherwise(row)
     return df.select(row.alias("x")).select("x.*")
 
@@ -136,7 +203,7 @@ def scan(df: DataFrame, forest: str, text: str = "text", out: str = "findings")
     hits, parts = free_name(df, f"{out}_hits"), f"{out}_between"
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<string>")
-    df = df.withColumn(hits, F.when(t.rlike("[0-9]"), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(none))
+    df = df.withColumn(hits, F.when(t.rlike(GATE), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(none))
     df = df.withColumn(parts, F.when(F.size(hits) > 0, F.split(t, CANDIDATE, -1)).otherwise(none))
     df = settled(df, [hits, parts])
     cands = F.expr(
