@@ -243,8 +243,8 @@ def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def folded_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact compatibility folding of titles, for which there is no built-in function."""
-    return read(spark, sf, "documents").select("doc_id", F.sha2(T.fold(F.substring("text", 1, 200)), 256).alias("key"))
+    """Exact compatibility folding of whole texts, for which there is no built-in function."""
+    return read(spark, sf, "documents").select("doc_id", F.sha2(T.fold(F.col("text")), 256).alias("key"))
 
 
 @query(

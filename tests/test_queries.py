@@ -44,3 +44,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_folded_keys_read_whole_texts(spark, tmp_path):
+    texts = ["a" * 300 + " one", "a" * 300 + " two", "A" * 300 + "  ONE"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    key = {r["doc_id"]: r["key"] for r in QUERIES["folded_keys"](spark, str(tmp_path)).collect()}
+    assert key[0] != key[1]
