@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -25,8 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ready(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package, bounds Arrow batches and gives the session a checkpoint folder.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where that is unset (tests on one
-    machine) a temporary folder takes its place.
+    The folder is the one that ``spark.checkpoint.dir`` names.  Only where that is unset and the session runs in one
+    process (master ``local``), a temporary folder takes its place; on a cluster a missing setting is an error.
     """
     context, root = spark.sparkContext, str(Path(__file__).resolve().parents[2])
     paths = [x for x in context.environment.get("PYTHONPATH", "").split(os.pathsep) if x]
@@ -37,6 +38,8 @@ def ready(spark: SparkSession) -> SparkSession:
         spark.conf.set(rows, str(ARROW_ROWS))
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="assayer-checkpoint-"))
     return spark
 
@@ -64,6 +67,15 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def rows_of(df: DataFrame) -> DataFrame:
+    """``df`` as one struct column ``row``, so that working columns beside it clash with no input column.
+
+    Columns are read as ``F.col("row")[name]``; ``select("row.*")`` gives the input's columns back.  The optimizer
+    reads through the struct, so columns that aren't used are still pruned from the scan.
+    """
+    return df.select(F.struct("*").alias("row"))
+
+
 def in_training(doc_id: Column) -> Column:
     """Rows whose labels may be learnt from: crc32 of the id's text isn't 2 modulo 4."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 != 2, F.lit(False))

@@ -1,18 +1,22 @@
 """Mixing of sources to target weights by a multivariate-hypergeometric splitting tree.
 
-A source's target is whole passes over all its documents plus a rest.  Each source is cut into blocks of
-documents by a hash; blocks stand in an order permuted by another hash.  The rest takes blocks in that order
-until the target is reached; inside the last one, documents in hashed order.  The draws of blocks are then
-dealt to output shards: a binary tree over the shards splits the vector of per-source draw counts by
-multivariate-hypergeometric samples, so every shard gets a random but exactly adding-up quota of each
-source.  A shard draws its quota as a disjoint run of the permuted draws, and rows are shuffled locally by a
-hash within their shard.
-
-The number of shards grows with the mix unless it is given.  The driver holds one row per source and the quotas
-(sources times shards), never documents or blocks; block tables hold the shards of a block's draws.
+Each source is cut into blocks of documents by a hash, and its blocks stand in an order permuted by another
+hash.  A source's target is whole passes over all its blocks plus a rest; the rest takes blocks in their order
+until the target is reached, and inside the last one documents in hashed order.  That gives each source a number
+of block draws.  A binary tree over the output shards splits the vector of these numbers by
+multivariate-hypergeometric samples, down to one exact quota of each source for every shard.  A shard then draws
+its quota: the next blocks of each source's permuted list that no other shard has drawn.  Which shards hold a
+document, and how often it is taken, is read off these draws alone.  Rows are dealt to their shards and shuffled
+locally by a hash within them.
+
+The driver holds one row per source (``MOST_SOURCES`` at most, counted, else an error: sources beyond that should
+be grouped first) and one small number per block draw (``MOST_BLOCKS`` blocks plus one per source at most, since
+blocks get larger in larger corpora), never documents.  Tables that are broadcast have these bounds.
+
 Hashes of id and text alone decide, so reruns agree on any cluster.  A null source is a source of its own and
-sorts last; null texts have size 0 and are taken in whole passes only.  Repeated rows are taken alike or side
-by side.  An empty table gives an empty result; columns of the input never clash with working columns.
+sorts last.  Empty and null texts have size 0, weigh nothing and are in no shard.  Rows with equal id and text can't be
+told apart: they share a block and are taken alike, as one document of their joint size, so a source ends within half of
+that of its target.  An empty table gives an empty result; columns of the input never clash with working columns.
 """
 
 from __future__ import annotations
@@ -21,18 +25,17 @@ from collections.abc import Sequence
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import BLANK_RUN, BLANKS, small
+from assayer.llm.common import BLANK_RUN, BLANKS, free_name, rows_of, small
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), Fraction(3, 2), 2
-#: Words of a block, and the most blocks of one source; block tables are counted before any broadcast.
-BLOCK_WORDS, MOST_BLOCKS = 20_000, 4096
-SHARDS, SEED = 16, 11
+#: Words of a block at least, blocks of all sources (plus one per source) at most, and sources at most.
+BLOCK_WORDS, MOST_BLOCKS, MOST_SOURCES = 20_000, 1 << 18, 100_000
 #: Words of a shard where the number of shards is not given; SHARDS is then the least number.  Shards of small mixes
 #: share partitions of about so many words, one after the other.
-SHARD_WORDS = 2_000_000
+SHARDS, SHARD_WORDS, SEED = 16, 2_000_000, 11
 
 
 def size_of(text: Column) -> Column:
@@ -60,117 +63,146 @@ def targets(sizes: Sequence[int], weights: Sequence[int] = WEIGHTS, share: Fract
     return [float(x) for x in result]
 
 
-def split_tree(draws: Sequence[int], shards: int, seed: int = SEED) -> np.ndarray:
-    """(shards, sources) quotas whose columns add up to ``draws`` and whose rows differ by one draw at most."""
-    quotas = np.zeros((shards, len(draws)), np.int64)
+def split_tree(draws: Sequence[int], shards: int, seed: int = SEED) -> list[list[tuple[int, int]]]:
+    """For each source its quotas (shard, draws) in order of shards, zeros left out.
 
-    def down(counts: np.ndarray, first: int, last: int) -> None:
+    Every node splits its counts in halves by a multivariate-hypergeometric sample, so a source's quotas add up to
+    its draws and shards differ by one draw at most.  Nodes hold only sources that still have draws.
+    """
+    quotas: list[list[tuple[int, int]]] = [[] for _ in draws]
+    counts = np.asarray(draws, np.int64).reshape(-1)
+    nodes = [(np.flatnonzero(counts), counts[counts > 0], 0, shards)]
+    while nodes:
+        which, n, first, last = nodes.pop()
+        if not len(which):
+            continue
         if last - first == 1:
-            quotas[first] = counts
-            return
-        middle, total = (first + last) // 2, int(counts.sum())
-        size = total * (middle - first) // (last - first)
-        rng = np.random.default_rng([seed, first, last])
-        left = np.zeros_like(counts)
-        rest, need = total, size
-        for i, n in enumerate(counts):
-            if need == 0:
-                break
-            rest -= int(n)
-            left[i] = n if rest == 0 and need == n else rng.hypergeometric(int(n), rest, need) if n else 0
-            need -= int(left[i])
-        down(left, first, middle)
-        down(counts - left, middle, last)
-
-    down(np.asarray(draws, np.int64), 0, shards)
+            for i, k in zip(which.tolist(), n.tolist()):
+                quotas[i].append((first, k))
+            continue
+        middle = (first + last) // 2
+        size = int(n.sum()) * (middle - first) // (last - first)
+        left = np.random.default_rng([seed, first, last]).multivariate_hypergeometric(n, size, method="marginals")
+        right = n - left
+        nodes.append((which[right > 0], right[right > 0], middle, last))
+        nodes.append((which[left > 0], left[left > 0], first, middle))
     return quotas
 
 
-def _sources(spark: SparkSession, docs: DataFrame, block_words: int, most_blocks: int) -> DataFrame:
+def _same(a: Column, b: Column) -> Column:
+    return a.eqNullSafe(b)
+
+
+def _sources(narrow: DataFrame, block_words: int, most_blocks: int) -> DataFrame:
     """Size, target, whole passes, rest and number of blocks of each source."""
-    sums = docs.groupBy("_source").agg(F.sum("_size").alias("n"), F.count("*").alias("rows")).collect()
-    sums.sort(key=lambda r: (r["_source"] is None, (r["_source"] or "").encode("utf-32-be")))
-    goals = targets([r["n"] for r in sums])
+    sums = narrow.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(sums) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources; group them before mixing")
+    sums.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
+    words = max(block_words, -(-sum(r["n"] for r in sums) // most_blocks))
     rows = []
-    for r, goal in zip(sums, goals):
+    for r, goal in zip(sums, targets([r["n"] for r in sums])):
         passes = int(goal // r["n"]) if r["n"] else 0
         rest = goal - passes * r["n"] if r["n"] else 0.0
-        rows.append((r["_source"], r["n"], goal, passes, rest, max(1, min(most_blocks, -(-r["n"] // block_words)))))
-    return spark.createDataFrame(rows, "_source string, _source_size long, _target double, _passes int, _rest double, _blocks long")
+        rows.append((r["source"], r["n"], goal, passes, rest, max(1, -(-r["n"] // words))))
+    return narrow.sparkSession.createDataFrame(rows, "s string, source_size long, target double, passes int, rest double, blocks long")
 
 
-def _dealt(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", shards: int | None = None, block_words: int = BLOCK_WORDS, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, int]:
-    """The rows of ``mix`` and the number of partitions for its shards.
+def _blocks(narrow: DataFrame, sources: DataFrame, shards: int | None, seed: int) -> tuple[DataFrame, int]:
+    """(bs, b, dealt, partly, last) of each block, and the number of partitions for the shards.
 
-    Texts aren't shuffled: sizes are taken beside the rows, and only tables per source and per block are
-    joined to them.  Documents of a source's last, partly taken block are ranked by their hash.
+    ``dealt``: the shards that draw the block, one per draw.  The last draw of a ``partly`` drawn block takes only
+    documents whose key is ``last`` at most.
+    """
+    sums = _placed(narrow, sources).groupBy("s", "block", "passes", "rest").agg(F.sum("size").alias("words")).checkpoint()
+    order = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed + 1), "s", "block"), "block")
+    before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumns({"place": F.row_number().over(order) - 1, "left": F.col("rest") - before})
+    sums = sums.withColumn("whole", F.col("left") >= F.col("words")).withColumn("partly", (F.col("left") > 0) & ~F.col("whole"))
+    blocks = sums.select("s", F.col("block").alias("b"), "place", "left", "whole", "partly", "passes").checkpoint()
+
+    # One block of each source at most is partly taken: its documents by key, while their middle lies within what is left.
+    part = blocks.where("partly").select(F.col("s").alias("ps"), F.col("b").alias("pb"), "left")
+    inner = _placed(narrow, sources).join(F.broadcast(part), _same(F.col("s"), F.col("ps")) & (F.col("block") == F.col("pb")))
+    inner = inner.groupBy("ps", "pb", "left", "key").agg(F.sum("size").alias("words"))
+    ranked = Window.partitionBy("ps", "pb").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    inner = inner.withColumn("before", F.coalesce(F.sum("words").over(ranked), F.lit(0)))
+    cut = inner.where("before + words / 2.0 <= left").groupBy("ps", "pb").agg(F.max("key").alias("last"))
+    blocks = blocks.join(F.broadcast(cut), _same(F.col("s"), F.col("ps")) & (F.col("b") == F.col("pb")), "left").drop("ps", "pb").checkpoint()
+
+    # Whole passes draw every block; the rest draws its first blocks once more.
+    extra = F.count_if(F.col("whole") | F.col("last").isNotNull())
+    drawn = blocks.groupBy("s").agg(F.count("*").alias("n"), (F.first("passes") * F.count("*") + extra).alias("draws")).collect()
+    drawn.sort(key=lambda r: (r["s"] is None, (r["s"] or "").encode("utf-32-be")))
+    goal = sources.agg(F.sum("target")).first()[0] or 0
+    parts = shards or max(1, min(int(goal // SHARD_WORDS) + 1, sum(r["draws"] for r in drawn)))
+    quotas = split_tree([r["draws"] for r in drawn], shards or max(SHARDS, parts), seed)
+    # A source's draws in permuted order go to shard after shard, to each as many as its quota.
+    lists = [(r["s"], r["n"], [k for k, n in quota for _ in range(n)]) for r, quota in zip(drawn, quotas)]
+    lists = narrow.sparkSession.createDataFrame(lists, "ds string, n long, draws array<int>")
+    blocks = blocks.join(F.broadcast(lists), _same(F.col("s"), F.col("ds")))
+    dealt = F.expr("filter(transform(sequence(0, passes), c -> get(draws, cast(place + c * n as int))), x -> x is not null)")
+    return blocks.select(F.col("s").alias("bs"), "b", dealt.alias("dealt"), (F.col("partly") & F.col("last").isNotNull()).alias("partly"), "last").checkpoint(), parts
+
+
+def _placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    joined = rows.join(F.broadcast(sources), _same(F.col("source"), F.col("s"))).drop("source")
+    return joined.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+
+
+def _dealt(
+    df: DataFrame, id_column: str, text: str, source: str, shards: int | None, block_words: int, most_blocks: int, seed: int
+) -> tuple[DataFrame, int]:
+    """(row, size, source_size, target, shards, order) and the number of partitions for its shards.
+
+    Texts aren't shuffled: sizes are taken beside the rows, and only tables per source and per block are joined to
+    them.
     """
-    spark = df.sparkSession
-    key = F.xxhash64(F.lit(SEED), F.col(id_column).cast("string"), F.col(text))
-    docs = df.withColumns({"_size": size_of(F.col(text)), "_source": F.col(source).cast("string"), "_key": key})
-    narrow = docs.select("_source", "_size", "_key").checkpoint()
-    sources = _sources(spark, narrow, block_words, most_blocks)
-    block = F.pmod(F.xxhash64("_key"), F.col("_blocks"))
-    same = lambda a, b: a["_source"].eqNullSafe(b["_source"])
-
-    def placed(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(sources), same(rows, sources)).drop(sources["_source"]).withColumn("_block", block)
-
-    sums = placed(narrow).groupBy("_source", "_block", "_passes", "_rest").agg(F.sum("_size").alias("_words")).checkpoint()
-    order = Window.partitionBy("_source").orderBy(F.xxhash64(F.lit(SEED + 1), "_source", "_block"), "_block")
-    sums = sums.withColumn("_place", F.row_number().over(order) - 1).withColumn("_before", F.coalesce(F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # A block's part of the rest: all of it, or the words that are left to take in it.
-    sums = sums.withColumn("_left", F.col("_rest") - F.col("_before")).withColumn("_whole", F.col("_left") >= F.col("_words")).withColumn("_part", (F.col("_left") > 0) & ~F.col("_whole"))
-    blocks = sums.select("_source", "_block", "_place", "_left", "_whole", "_part").checkpoint()
-
-    # Documents of partly taken blocks: the first by hash whose middle lies within what is left.
-    part = blocks.where("_part").select("_source", F.col("_block").alias("_b"), "_left")
-    inner = placed(narrow).join(F.broadcast(part.select(F.col("_source").alias("_s"), "_b", "_left")), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
-    ranked = Window.partitionBy("_s", "_b").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    inner = inner.withColumn("_before", F.coalesce(F.sum("_size").over(ranked), F.lit(0)))
-    cut = inner.where("_before + _size / 2.0 <= _left").groupBy("_s", "_b").agg(F.max("_key").alias("_last")).checkpoint()
-    blocks = blocks.join(F.broadcast(cut), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left").drop("_s", "_b")
-
-    # Draws: whole passes draw every block; the rest draws its first blocks once more.
-    drawn = blocks.groupBy("_source").agg(F.count("*").alias("n"), F.count_if(F.col("_whole") | F.col("_last").isNotNull()).alias("extra"))
-    drawn = drawn.join(F.broadcast(sources), same(drawn, sources)).drop(sources["_source"]).select("_source", (F.col("n") * F.col("_passes") + F.col("extra")).alias("draws"), F.col("n").alias("_n")).collect()
-    drawn.sort(key=lambda r: (r["_source"] is None, (r["_source"] or "").encode("utf-32-be")))
-    parts = shards or int((sources.agg(F.sum("_target")).first()[0] or 0) // SHARD_WORDS) + 1
-    shards = shards or max(SHARDS, parts)
-    ends = split_tree([r["draws"] for r in drawn], shards).cumsum(axis=0).T.tolist() if drawn else []
-    quotas = spark.createDataFrame([(r["_source"], r["_n"], e) for r, e in zip(drawn, ends)], "_source string, _n long, _ends array<long>")
-    blocks = blocks.join(F.broadcast(quotas), same(blocks, quotas)).drop(quotas["_source"])
-    blocks = blocks.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "_whole", "_last", F.expr("transform(array(0, 1, 2), c -> size(filter(_ends, e -> e <= _place + c * _n)))").alias("_dealt")).checkpoint()
-
-    rows = placed(docs)
-    rows = rows.join(small(blocks, 100_000), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
-    extra = F.coalesce(F.col("_whole") | (F.col("_key") <= F.col("_last")), F.lit(False)) & (F.col("_size") > 0)
-    copies = F.when(F.col("_size") > 0, F.col("_passes") + extra.cast("int")).otherwise(0)
-    rows = rows.withColumn("_copies", copies)
-    rows = rows.withColumn("_shards", F.slice("_dealt", F.lit(1), F.col("_copies")))
-    rows = rows.withColumn("_order", F.xxhash64(F.lit(SEED + 2), "_key"))
-    return rows.drop("_source", "_key", "_passes", "_rest", "_blocks", "_block", "_s", "_b", "_whole", "_last", "_dealt"), parts
-
-
-def mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", shards: int | None = None, block_words: int = BLOCK_WORDS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
-    """Adds _size, _source_size, _target, _copies, _shards (one shard per copy) and _order to every row."""
-    return _dealt(df, id_column, text, source, shards, block_words, most_blocks)[0]
-
-
-def taken(df: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every document."""
-    rows = mix(df.select("doc_id", "text", "source"))
-    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.size("_shards")).alias("taken"))
+    row = F.col("row")
+    key = F.xxhash64(F.lit(seed), row[id_column].cast("string"), row[text])
+    docs = rows_of(df).withColumns({"size": size_of(row[text]), "source": row[source].cast("string"), "key": key})
+    narrow = docs.select("source", "size", "key").checkpoint()
+    sources = _sources(narrow, block_words, most_blocks)
+    blocks, parts = _blocks(narrow, sources, shards, seed)
+    rows = _placed(docs, sources).join(small(blocks), _same(F.col("s"), F.col("bs")) & (F.col("block") == F.col("b")))
+    drawn = F.when(F.col("partly") & (F.col("key") > F.col("last")), F.expr("slice(dealt, 1, greatest(size(dealt) - 1, 0))")).otherwise(F.col("dealt"))
+    drawn = F.when(F.col("size") > 0, drawn).otherwise(F.array().cast("array<int>"))
+    return rows.select("row", "size", "source_size", "target", drawn.alias("shards"), F.xxhash64(F.lit(seed + 2), "key").alias("order")), parts
+
+
+def mix(
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", shards: int | None = None,
+    block_words: int = BLOCK_WORDS, most_blocks: int = MOST_BLOCKS, seed: int = SEED,
+) -> DataFrame:
+    """(row, size, source_size, target, shards, order) of every row: ``shards`` has one entry for each time it is drawn."""
+    return _dealt(df, id_column, text, source, shards, block_words, most_blocks, seed)[0]
+
+
+def taken(df: DataFrame, seed: int = SEED) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, shards) of every document.
+
+    ``taken``: words that the shards' draws hold of it; ``shards``: those shards, joined by commas.
+    """
+    rows = mix(df.select("doc_id", "text", "source"), seed=seed)
+    words = F.aggregate("shards", F.lit(0).cast("long"), lambda a, _: a + F.col("size"))
+    return rows.select(
+        F.col("row")["doc_id"].alias("doc_id"), "size", "source_size", "target", words.alias("taken"), F.array_join(F.transform("shards", lambda x: x.cast("string")), ",").alias("shards")
+    )
 
 
-def mixed(df: DataFrame) -> DataFrame:
-    """The mix itself with the columns of ``df``: each document once per copy, dealt to shards and shuffled in them."""
-    return sharded(df).select(*df.columns)
+def sharded(df: DataFrame, shards: int | None = None, seed: int = SEED, name: str = "_shard") -> DataFrame:
+    """The mix, dealt by shard and shuffled within it, and the shard in ``name``.
 
+    A document stands once for each draw; copies in one shard have places of their own.
+    """
+    rows, parts = _dealt(df, "doc_id", "text", "source", shards, BLOCK_WORDS, MOST_BLOCKS, seed)
+    rows = rows.select("row", "order", F.posexplode("shards").alias("copy", "shard"))
+    rows = rows.select("row", "shard", F.xxhash64("order", "copy").alias("order"))
+    rows = rows.repartition(parts, "shard").sortWithinPartitions("shard", "order")
+    return rows.select("row.*", F.col("shard").alias(name))
 
-def sharded(df: DataFrame, shards: int | None = None) -> DataFrame:
-    """The mix with ``_shard``, dealt by shard and shuffled within it; copies of a document in one shard have places of their own."""
-    rows, parts = _dealt(df, shards=shards)
-    rows = rows.select("*", F.posexplode("_shards").alias("_copy", "_shard"))
-    rows = rows.withColumn("_order", F.xxhash64("_order", "_copy"))
-    return rows.repartition(parts, "_shard").sortWithinPartitions("_shard", "_order").select(*df.columns, "_shard")
+
+def mixed(df: DataFrame) -> DataFrame:
+    """The mix itself with the columns of ``df``: rows stand by shard, shuffled in each."""
+    shard = free_name(df, "_shard")
+    return sharded(df, name=shard).drop(shard)
