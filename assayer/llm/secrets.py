@@ -1,24 +1,27 @@
 """Secret scans in DataFrame functions alone.
 
 A pattern finds candidates: runs of twelve key characters with a digit, keys with a known prefix, and whatever
-stands, up to a blank or a quote, after a naming word and ``=``, ``:`` or ``is``; a random forest over their length, character transitions, dictionary
-coverage, path context and neighbouring words drops false positives.  The forest is trained by Spark's own
-learner on labelled findings and then written as one SQL expression, so a scan is a map over the texts: no
-join, no shuffle and no Python.
-
-Positions count code points from 0.  Null and empty texts have no candidates.  Repeated rows are scanned
-each by itself, an empty table gives an empty result, and columns of the input keep their values whatever
-their names (``redact`` replaces the text column alone).
+stands, up to a blank or a quote, after a naming word and ``=``, ``:`` or ``is``.  A random forest drops false
+positives.  It sees a candidate's length, its character transitions (how much likelier its pairs of neighbouring
+character classes are among secrets than among other findings), its dictionary coverage, the path of its file if
+there is one, and the words before and after it.  The forest and the table of transitions are trained on labelled
+findings and then written as one SQL expression, so a scan is a map over the texts: no join, no shuffle and no Python.
+
+Positions count code points from 0.  Null and empty texts have no candidates, a null path is an empty one.  Repeated
+rows are scanned each by itself, an empty table gives an empty result, and columns of the input keep their values
+whatever their names (``redact`` replaces the text column alone).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import free_name, settled
+from assayer.llm.common import rows_of, settled
 
 #: Words before a value, by number of characters; ``key`` stands alone or in a longer name of these.
 NAMES = {
@@ -68,24 +71,59 @@ PROSE = (
     "encrypted", "changed", "stored", "the", "that", "this", "not", "very", "out", "under", "to", "a", "an", "in", "of", "for", "why", "how", "what",
     "important", "simple", "safe", "used", "set", "given", "known", "always", "never", "good", "patience",
 )
-FEATURES = ("length", "digits", "upper", "lower", "transitions", "distinct", "coverage", "hex", "keyed", "key_near", "other_near", "path", "separators", "known", "assigned", "quoted", "symbols", "prose", "filled", "after_word", "after_end")
+#: Words of made-up pass phrases.
+NOUNS = (
+    "correct", "horse", "battery", "staple", "river", "copper", "violet", "hunter", "dragon", "monkey", "summer", "winter", "orange", "silver",
+    "falcon", "garden", "planet", "rocket", "thunder", "wizard", "marble", "canyon", "hammer", "lantern", "pepper", "tiger", "velvet", "window",
+)
+TEST_PATH = r"(?i)(?:^|[/._-])(?:tests?|spec|examples?|samples?|fixtures?|mocks?|docs?|readme)(?:[/._-]|$)"
+CONFIG_PATH = r"(?i)(?:\.env|config|settings|credentials|secrets)|\.(?:ya?ml|pem|ini|properties|tfvars|conf)$"
+FEATURES = (
+    "length", "digits", "upper", "lower", "transitions", "runs", "distinct", "coverage", "hex", "keyed", "key_near", "other_near", "path", "test_path", "config_path",
+    "separators", "known", "assigned", "quoted", "symbols", "prose", "filled", "after_word", "after_end",
+)
+#: Classes of characters between which transitions are counted: vowel, consonant, capital, digit, joint, other.
+CLASSES = "vcUdjo"
+_MEMBERS = ("aeiouy", "bcdfghjklmnpqrstvwxz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "_-./+=")
+
+
+def classes(value: Column) -> Column:
+    """The class of each character, as an array of numbers from 0."""
+    named = F.translate(value, "".join(_MEMBERS), "".join(c * len(m) for c, m in zip(CLASSES, _MEMBERS)))
+    return F.transform(F.split(F.regexp_replace(named, f"[^{CLASSES}]", "o"), ""), lambda c: F.instr(F.lit(CLASSES), c) - 1)
+
 
+def pairs(value: Column) -> Column:
+    """Numbers of the transitions between neighbouring characters; empty for a single character."""
+    kinds = classes(value)
+    return F.zip_with(F.slice(kinds, F.lit(1), F.size(kinds) - 1), F.slice(kinds, F.lit(2), F.size(kinds)), lambda a, b: a * len(CLASSES) + b)
 
-def features(x: Column, dictionary: Sequence[str] = DICTIONARY) -> Column:
-    """Struct of the features of a candidate struct (value, before, after)."""
-    v, before, after = x["value"], x["before"], x["after"]
+
+@dataclass(frozen=True)
+class Forest:
+    """The trees as SQL over a struct ``f`` of features, and the log odds of each transition."""
+
+    trees: str
+    transitions: tuple[float, ...]
+
+
+def features(x: Column, transitions: Sequence[float], dictionary: Sequence[str] = DICTIONARY) -> Column:
+    """Struct of the features of a candidate struct (value, before, after, path)."""
+    v, before, after, path = x["value"], x["before"], x["after"], F.coalesce(x["path"], F.lit(""))
     n = F.length(v).cast("double")
     without = lambda pattern: 1 - F.length(F.regexp_replace(v, pattern, "")) / n
     runs = v
     for kind, letter in (("[0-9]+", "0"), ("[a-z]+", "a"), ("[A-Z]+", "A")):
         runs = F.regexp_replace(runs, kind, letter)
     yes = lambda c: c.cast("double")
+    table = F.array(*[F.lit(float(t)) for t in transitions])
     found = {
         "length": F.least(n, F.lit(200.0)),
         "digits": without("[0-9]"),
         "upper": without("[A-Z]"),
         "lower": without("[a-z]"),
-        "transitions": F.length(runs) / n,
+        "transitions": F.aggregate(pairs(v), F.lit(0.0), lambda a, i: a + F.get(table, i)) / F.greatest(n - 1, F.lit(1.0)),
+        "runs": F.length(runs) / n,
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(36.0)),
         "coverage": 1 - F.length(F.regexp_replace(F.lower(v), "|".join(dictionary), "")) / n,
         "hex": yes(v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
@@ -93,6 +131,8 @@ def features(x: Column, dictionary: Sequence[str] = DICTIONARY) -> Column:
         "key_near": yes(before.rlike(f"(?i)(?:{KEYS})")),
         "other_near": yes(before.rlike(f"(?i)\\b(?:{OTHERS})\\b[^A-Za-z]*$")),
         "path": yes(v.contains("/") | before.rlike(r"(?:://\S*|[/.\\@])$")),
+        "test_path": yes(path.rlike(TEST_PATH)),
+        "config_path": yes(path.rlike(CONFIG_PATH)),
         "separators": without("[_/-]"),
         "known": yes(v.rlike(f"^(?:{KNOWN})$")),
         "assigned": yes(before.rlike("[:=]>?\\s*[\"']?$")),
@@ -106,81 +146,78 @@ def features(x: Column, dictionary: Sequence[str] = DICTIONARY) -> Column:
     return F.struct(*[c.cast("double").alias(k) for k, c in found.items()])
 
 
-def example_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """Labelled findings (value, before, after, y), made from digests of running numbers.
+def example_findings(spark: SparkSession, rows: int = 12000) -> DataFrame:
+    """Labelled findings (shape, value, before, after, path, y), made from digests of running numbers.
 
-    Half are keys of usual shapes, with and without a naming word before them; half are what scanners
-    mistake for keys: card and phone numbers, identifiers, file and page names, checksums and placeholders.
+    A shape fixes how a value is built; what stands around it, and its path, are drawn from lists.  Keys come after
+    naming words, known keys anywhere; what scanners mistake for keys comes after other words (numbers, checksums,
+    identifiers, page and file names) and after naming words too (prose, placeholders, references, masks).
     """
-    df = spark.range(0, rows, 1, 1).withColumn("d", F.sha2(F.col("id").cast("string"), 256))
+    df = spark.range(0, rows, 1, 1).withColumn("d", F.sha2(F.col("id").cast("string"), 256)).withColumn("e", F.sha2(F.concat("d", F.lit("e")), 256))
     df = df.withColumn("u", F.upper(F.translate(F.col("d"), "0123456789", "GHJKLMN234")))
-    df = df.withColumn("m", F.regexp_replace(F.base64(F.unhex("d")), "[+/=]", ""))
-    df = df.withColumn("l", F.translate("d", "0123456789", "ghijklmnop")).withColumn("k", (F.col("id") % 7 + 4).cast("int"))
-    prose = F.element_at(F.array(*map(F.lit, PROSE)), (F.col("id") % len(PROSE) + 1).cast("int"))
-    n, number = F.col("id").cast("string"), F.conv(F.substring("d", 1, 12), 16, 10)
-    word = F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.col("id") % len(DICTIONARY) + 1).cast("int"))
+    df = df.withColumn("m", F.regexp_replace(F.base64(F.unhex(F.concat("d", "e"))), "[+/=]", ""))
+    df = df.withColumn("l", F.concat(F.translate("d", "0123456789", "ghijklmnop"), F.translate("e", "0123456789", "qrstuvwxyz")))
+    pick = lambda choices, salt: F.element_at(F.array(*map(F.lit, choices)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(choices))) + 1).cast("int"))
+    cut = lambda column, least, most, salt=0, first=1: F.substring(column, F.lit(first), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(most - least + 1)) + least).cast("int"))
+    n, number = F.col("id").cast("string"), F.conv(F.substring("e", 1, 12), 16, 10)
+    few = F.substring(number, 1, 2)
+    word, prose, noun = (lambda salt: pick(DICTIONARY, salt)), (lambda salt: pick(PROSE, salt)), (lambda salt: pick(NOUNS, salt))
+    uuid = F.concat_ws("-", F.substring("d", 1, 8), F.substring("d", 9, 4), F.substring("d", 13, 4), F.substring("d", 17, 12))
+    named = ["with password=", 'see token = "', "api_key: ", "the secret = '", "auth_token=", "pwd=", "passwd: ", "DB_PASSWORD=", 'set "secret_key": "', "access_key = ", "password: ", "secret: ", "export API_TOKEN=", "credential: ", "the passphrase: "]
+    said = ["my password is ", "the secret is ", "the key is ", "his token is "]
+    bare = ["and some other words ", "the key was ", "we saw ", "", "then came\n"]
+    others = ["in commit ", "md5: ", "sha256 ", "checksum: ", "build ", "version: ", "uuid ", "order id: ", "invoice ", "page "]
+    counted = ["and paid by card ", "some other words ", "call phone ", "order ", "isbn ", "account ", "tel: ", "id "]
+    places = ["https://www.site.org/", "read /", "the file ", "and then ", "see http://host/a/", "import ", "in "]
+    ends, more = ["\n", "", '"', " and", ".", "'", ", then"], [" and", " of the", "", ".", " to all", "\n"]
+    real, unreal = ["", "", "src/app.py", "config/settings.yml", ".env"], ["", "", "src/app.py", "docs/readme.md", "tests/test_login.py"]
     kinds = [
-        (F.concat(F.lit("AKIA"), F.substring("u", 1, 16)), "the key was ", 1),
-        (F.concat(F.lit("AKIA"), F.substring("u", 20, 16)), "and some other words ", 1),
-        (F.substring("d", 1, 18), "with password=", 1),
-        (F.substring("d", 5, 40), 'see token = "', 1),
-        (F.substring("m", 1, 32), "api_key: ", 1),
-        (F.substring("m", 1, 40), "the secret = '", 1),
-        (F.concat(F.lit("ghp_"), F.substring("m", 1, 36)), "some text ", 1),
-        (F.concat(F.lit("sk-"), F.substring("m", 1, 32)), "Bearer ", 1),
-        (F.substring("m", 1, 24), "auth_token=", 1),
-        (F.rpad(number, 16, "7"), "and paid by card ", 0),
-        (F.rpad(number, 16, "4"), "some other words ", 0),
-        (F.concat(F.lit("+1-555-"), F.rpad(number, 8, "1")), "call phone ", 0),
-        (F.substring("d", 1, 40), "in commit ", 0),
-        (F.substring("d", 1, 32), "md5: ", 0),
-        (F.concat(F.substring("d", 1, 8), F.lit("-"), F.substring("d", 9, 4), F.lit("-"), F.substring("d", 13, 12)), "uuid ", 0),
-        (F.concat(word, F.lit("-"), n, F.lit("-section")), "https://www.site.org/", 0),
-        (F.concat(F.lit("example_token_"), n), 'token = "', 0),
-        (F.concat(F.lit("your_password_"), n), "password=", 0),
-        (F.concat(F.lit("changeme"), F.lpad(n, 6, "0")), "password: ", 0),
-        (F.concat(F.lit("image_"), F.lpad(n, 8, "0")), "the file ", 0),
-        (F.concat(word, F.lit("/page"), n, F.lit("/"), word), "read /", 0),
-        (F.concat(F.lit("release-version-"), n), "and then ", 0),
-        (F.concat(F.lit("AKIA"), F.translate(F.substring("u", 1, 16), "234", "XYZ")), "some other words ", 1),
-        (F.concat(F.expr("substring(l, 1, k)"), F.substring(number, 1, 2)), "password=", 1),
-        (F.concat(F.expr("substring(l, 3, k)"), F.substring(number, 1, 1)), "my password is ", 1),
-        (F.expr("substring(l, 5, 2 * k)"), "pwd=", 1, "\n"),
-        (F.expr("substring(m, 1, k + 2)"), "secret: ", 1, ""),
-        (F.expr("substring(l, 7, k + 2)"), "password: ", 1, "\n"),
-        (F.expr("substring(l, 7, 3 * k)"), 'token = "', 1, '"'),
-        (F.concat(F.lit("P@"), F.expr("substring(l, 2, k)"), F.lit("!"), F.substring(number, 1, 2)), "password=", 1),
-        (F.concat(F.expr("substring(m, 3, k)"), F.lit("#$"), F.expr("substring(l, 1, k)")), "passwd: ", 1, "\n"),
-        (F.concat(F.expr("substring(m, 1, k + 4)"), F.lit("."), F.expr("substring(m, 20, k + 3)"), F.lit("."), F.expr("substring(m, 30, k)")), "token=", 1),
-        (prose, "the password is ", 0),
-        (prose, "password: ", 0),
-        (prose, "the secret is ", 0, ""),
-        (prose, "token: ", 0, "\n"),
-        (F.expr("substring(l, 9, k)"), "the key is ", 0),
-        (F.expr("substring(l, 9, k)"), "The secret: ", 0, " of the"),
-        (F.expr("substring(l, 9, k)"), "the secret is ", 0, ""),
-        (F.concat(F.lit("${"), F.upper(F.expr("substring(l, 1, k)")), F.lit("}")), "password=", 0),
-        (F.concat(F.lit("<"), word, F.lit("_"), F.expr("substring(l, 1, k)"), F.lit(">")), "token=", 0),
-        (F.expr("repeat('*', k)"), "password: ", 0),
-        (word, "password=", 0),
-        (word, 'secret: "', 0, '"'),
-    ]
+        (named, cut("d", 16, 20), 1), (named, F.substring("d", 1, 32), 1), (named, F.substring("e", 1, 40), 1), (named, F.col("d"), 1),
+        (named, cut("m", 20, 28), 1), (named, cut("m", 30, 44), 1), (named, F.concat(cut("m", 40, 42), F.lit("==")), 1),
+        (named, F.concat(cut("l", 4, 10), few), 1), (named, cut("l", 8, 14), 1), (named, cut("l", 16, 32), 1), (named, cut("m", 8, 12), 1),
+        (named, F.concat(F.initcap(noun(1)), F.initcap(noun(2)), F.initcap(noun(3)), F.initcap(noun(4))), 1), (named, F.concat(noun(1), noun(2), noun(3)), 1),
+        (named, F.concat_ws("-", noun(1), noun(2), noun(3), few), 1), (named, F.concat(noun(1), F.substring(number, 1, 1)), 1), (named, F.concat(F.initcap(noun(1)), few, F.lit("!")), 1),
+        (named, F.concat(F.lit("P@"), cut("l", 4, 9), F.lit("!"), few), 1), (named, F.concat(cut("m", 4, 8), F.lit("#$"), cut("l", 3, 8, 1, 20)), 1), (named, F.concat(F.lit("Tr0ub"), cut("l", 2, 5), F.lit("&"), few), 1),
+        (named, F.concat(F.lit("eyJ"), cut("m", 8, 30), F.lit("."), cut("m", 8, 30, 1, 20), F.lit("."), cut("m", 8, 20, 2, 40)), 1), (named, F.concat_ws(".", cut("m", 3, 6), cut("m", 3, 6, 1, 9), cut("m", 3, 6, 2, 15)), 1),
+        (named, F.initcap(cut("l", 7, 12)), 1), (named, F.concat_ws("_", cut("l", 4, 7), cut("l", 4, 7, 1, 20)), 1), (named, F.concat_ws("_", noun(1), noun(2), few), 1), (named, F.concat_ws(".", noun(1), noun(2), few), 1),
+        (named, uuid, 1), (named, cut("u", 16, 32), 1), (named, F.concat(F.lit("sk_live_"), cut("m", 20, 24)), 1), (named, F.concat_ws("-", cut("u", 4, 4), cut("u", 4, 4, 1, 9), cut("u", 4, 4, 2, 15)), 1),
+        (said, F.concat(cut("l", 4, 9), few), 1), (said, F.concat(noun(1), few), 1),
+        (bare + named, F.concat(F.lit("AKIA"), F.substring("u", 1, 16)), 1), (bare + others, F.concat(F.lit("AKIA"), F.translate(F.substring("u", 1, 16), "234", "XYZ")), 1),
+        (bare + said, F.concat(F.lit("ghp_"), F.substring("m", 1, 36)), 1), (bare + ["Bearer "], F.concat(F.lit("sk-"), F.substring("m", 1, 32)), 1), (bare, F.concat(F.lit("xoxb-"), F.substring(number, 1, 11), F.lit("-"), cut("m", 20, 24)), 1),
+        (counted, F.rpad(number, 16, "7"), 0), (counted, F.concat(F.lit("+1-555-"), F.rpad(number, 8, "1")), 0), (bare[:1] + counted, F.rpad(number, 13, "4"), 0), (counted, F.concat_ws("-", F.lit("978"), F.substring(number, 1, 9), F.lit("1")), 0),
+        (others, F.substring("d", 1, 40), 0), (others, F.substring("d", 1, 32), 0), (others, F.col("d"), 0), (others, uuid, 0), (bare[:1] + others, F.concat(F.lit("2024-"), F.substring(number, 1, 2), F.lit("-"), cut("d", 6, 8)), 0),
+        (places, F.concat_ws("-", word(1), n, F.lit("section")), 0), (places, F.concat(F.lit("image_"), F.lpad(n, 8, "0")), 0), (places, F.concat(word(1), F.lit("/page"), n, F.lit("/"), word(2)), 0),
+        (places, F.concat(F.lit("release-version-"), n), 0), (places, F.concat_ws("-", noun(1), noun(2), noun(3), n), 0), (places, F.concat_ws("_", noun(1), word(2), few, F.lit("final")), 0),
+        (named, F.concat(F.lit("example_token_"), n), 0), (named, F.concat(F.lit("your_password_"), n), 0), (named, F.concat(F.lit("changeme"), F.substring(n, 1, 3)), 0), (named, F.concat(word(1), F.lit("_"), word(2)), 0), (named, word(1), 0),
+        (said, prose(1), 0), (named, prose(1), 0), (said, noun(1), 0), (said, cut("l", 4, 10), 0), (["the key: ", "The secret: ", "a token: "], noun(1), 0),
+        (named, F.concat(F.lit("$("), F.upper(noun(1)), F.lit(")")), 0), (named, F.concat(F.lit("["), F.upper(cut("l", 4, 10)), F.lit("]")), 0),
+        (named, F.concat(F.lit("${"), F.upper(cut("l", 4, 10)), F.lit("}")), 0), (named, F.concat(F.lit("<"), word(1), F.lit("_"), cut("l", 3, 8), F.lit(">")), 0), (named, F.concat(F.lit("%("), noun(1), F.lit(")s")), 0),
+        (named, F.expr("repeat('*', cast(id % 9 + 4 as int))"), 0), (named, F.expr("repeat('x', cast(id % 9 + 4 as int))"), 0), (named, F.concat(F.lit("{{"), noun(1), F.lit("}}")), 0),
+    ]
     row = F.lit(None)
-    for i, (value, before, y, *after) in enumerate(kinds):
-        part = F.struct(value.alias("value"), F.lit(before).alias("before"), F.lit(*after or [" and"]).alias("after"), F.lit(y).alias("y"))
+    for i, (before, value, y) in enumerate(kinds):
+        part = F.struct(
+            F.lit(i).alias("shape"), value.alias("value"), pick(before, 11).alias("before"), pick(ends if y or before is named else more, 12).alias("after"),
+            pick(real if y else unreal, 13).alias("path"), F.lit(y).alias("y"),
+        )
         row = F.when(F.col("id") % len(kinds) == i, part).otherwise(row)
     return df.select(row.alias("x")).select("x.*")
 
 
-def train(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 7) -> str:
-    """The forest as SQL over a struct ``f`` of features: the mean of its trees' shares of true secrets."""
+def train(findings: DataFrame, trees: int = 20, depth: int = 7, seed: int = 7) -> Forest:
+    """Transitions' log odds and the forest, whose value is the mean of its trees' shares of true secrets."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = findings.select(F.struct("value", "before", "after").alias("x"), F.col("y").cast("double").alias("y"))
-    rows = rows.select(features(F.col("x")).alias("f"), "y").select("f.*", "y")
+    pair_rows = findings.select("y", F.explode(pairs(F.col("value"))).alias("pair")).groupBy("y", "pair").agg(F.count("*").alias("n")).collect()
+    counts = [[1.0] * len(CLASSES) ** 2 for _ in range(2)]
+    for r in pair_rows:
+        counts[int(r["y"])][r["pair"]] += r["n"]
+    odds = tuple(round(math.log(a / sum(counts[1])) - math.log(b / sum(counts[0])), 4) for b, a in zip(*counts))
+    rows = findings.select(F.struct("value", "before", "after", "path").alias("x"), F.col("y").cast("double").alias("y"))
+    rows = rows.select(features(F.col("x"), odds).alias("f"), "y").select("f.*", "y")
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="v").transform(rows).select("v", "y")
-    forest = RandomForestClassifier(featuresCol="v", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
+    forest = RandomForestClassifier(featuresCol="v", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(rows)
 
     def sql(node) -> str:
         if node.numDescendants() == 0:
@@ -191,53 +228,53 @@ def train(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 7) -
         return f"if(f.{FEATURES[split.featureIndex()]} <= {split.threshold()!r}D, {sql(node.leftChild())}, {sql(node.rightChild())})"
 
     parts = [sql(tree._java_obj.rootNode()) for tree in forest.trees]
-    return f"({' + '.join(parts)}) / {len(parts)}D"
+    return Forest(f"({' + '.join(parts)}) / {len(parts)}D", odds)
 
 
-def scan(df: DataFrame, forest: str, text: str = "text", out: str = "findings") -> DataFrame:
-    """Adds ``out``: array of (start, length, value, probability) of every candidate, in order.
+def scan(df: DataFrame, forest: Forest, text: str = "text", path: str | None = None) -> DataFrame:
+    """(row, findings, between): ``findings`` is an array of (start, length, value, probability), in order.
 
-    Also adds ``<out>_between``, the text between candidates, from which ``redact`` builds texts anew.
-    Work is linear in the text; offsets of a text's candidates are gathered by one fold over them.
+    ``between`` holds the text around the candidates, from which ``redact`` builds texts anew; ``path`` names the
+    column of the file's path.  Work is linear in the text: a candidate's start is its block's start and what stands
+    before it in a block of 64 candidates.
     """
-    hits, parts = free_name(df, f"{out}_hits"), f"{out}_between"
-    t = F.coalesce(F.col(text), F.lit(""))
+    row = F.col("row")
+    t = F.coalesce(row[text], F.lit(""))
     none = F.array().cast("array<string>")
-    df = df.withColumn(hits, F.when(t.rlike(GATE), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(none))
-    df = df.withColumn(parts, F.when(F.size(hits) > 0, F.split(t, CANDIDATE, -1)).otherwise(none))
-    df = settled(df, [hits, parts])
-    cands = F.expr(
-        f"transform({hits}, (h, k) -> struct(h as value, right({parts}[k], 60) as before, left({parts}[k + 1], 30) as after,"
-        f" length({parts}[k]) as gap, length(h) as size))"
-    )
-    df = df.withColumn(out, F.transform(cands, lambda x: F.struct(x["value"].alias("value"), x["gap"].alias("gap"), x["size"].alias("size"), features(x).alias("f"))))
-    df = settled(df.drop(hits), [out, parts])
-    df = df.withColumn(out, F.expr(f"transform(transform({out}, x -> named_struct('x', x, 'p', {forest.replace('f.', 'x.f.')})), y -> struct(y.x.value as value, y.x.gap as gap, y.x.size as size, y.p as probability))"))
-    fold = (
-        f"aggregate({out}, named_struct('at', 0, 'done', cast(array() as array<struct<start: int, length: int, value: string, probability: double>>)),"
-        " (a, x) -> named_struct('at', a.at + x.gap + x.size, 'done', concat(a.done,"
-        " array(named_struct('start', a.at + x.gap, 'length', x.size, 'value', x.value, 'probability', x.probability)))), a -> a.done)"
+    rows = rows_of(df).withColumn("hits", F.when(t.rlike(GATE), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(none))
+    rows = rows.withColumn("between", F.when(F.size("hits") > 0, F.split(t, CANDIDATE, -1)).otherwise(none))
+    rows = rows.withColumn("path", F.coalesce(row[path].cast("string"), F.lit("")) if path else F.lit(""))
+    rows = settled(rows, ["hits", "between", "path"])
+    cands = F.expr("transform(hits, (h, k) -> struct(h as value, right(between[k], 60) as before, left(between[k + 1], 30) as after, path as path, length(between[k]) as gap))")
+    rows = rows.withColumn("found", F.transform(cands, lambda x: F.struct(x["value"].alias("value"), x["gap"].alias("gap"), features(x, forest.transitions).alias("f"))))
+    rows = settled(rows.drop("hits", "path"), ["found", "between"])
+    scored = f"transform(found, x -> named_struct('value', x.value, 'gap', x.gap, 'p', {forest.trees.replace('f.', 'x.f.')}))"
+    rows = settled(rows.withColumn("found", F.expr(scored)).withColumn("sizes", F.expr("transform(found, x -> x.gap + length(x.value))")), ["found", "sizes", "between"])
+    blocks = "transform(sequence(0, (size(sizes) - 1) div 64), b -> aggregate(slice(sizes, cast(b * 64 + 1 as int), 64), 0, (a, x) -> a + x))"
+    starts = f"aggregate({blocks}, array(0), (a, x) -> array_append(a, element_at(a, -1) + x))"
+    rows = settled(rows.withColumn("starts", F.expr(f"case when size(sizes) > 0 then {starts} end")), ["found", "sizes", "between", "starts"])
+    done = (
+        "transform(found, (x, k) -> named_struct('start', starts[k div 64] + aggregate(slice(sizes, cast(k - k % 64 + 1 as int), k % 64), 0, (a, y) -> a + y) + x.gap,"
+        " 'length', length(x.value), 'value', x.value, 'probability', x.p))"
     )
-    return settled(df.withColumn(out, F.expr(fold)), [out, parts])
+    return settled(rows.withColumn("findings", F.expr(done)).drop("found", "sizes", "starts"), ["findings", "between"])
 
 
-def findings(df: DataFrame, forest: str, id_column: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+def findings(df: DataFrame, forest: Forest, id_column: str = "doc_id", text: str = "text", threshold: float = 0.5, path: str | None = None) -> DataFrame:
     """One row per candidate: doc_id, start, length, value_sha256, probability and is_secret."""
-    rows = scan(df.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")), forest)
-    rows = rows.select("doc_id", F.explode("findings").alias("x")).select("doc_id", "x.*")
+    rows = scan(df, forest, text, path)
+    rows = rows.select(F.col("row")[id_column].alias("doc_id"), F.explode("findings").alias("x")).select("doc_id", "x.*")
     return rows.select(
         "doc_id", F.col("start").cast("long"), F.col("length").cast("long"), F.sha2("value", 256).alias("value_sha256"),
         "probability", (F.col("probability") >= threshold).alias("is_secret"),
     )
 
 
-def redact(df: DataFrame, forest: str, text: str = "text", threshold: float = 0.5, mark: str = "<secret>") -> DataFrame:
+def redact(df: DataFrame, forest: Forest, text: str = "text", threshold: float = 0.5, mark: str = "<secret>", path: str | None = None) -> DataFrame:
     """``df`` with every secret in ``text`` replaced by ``mark``; texts without one keep their value, null included."""
-    out = free_name(df, "_findings")
-    rows = scan(df, forest, text, out)
     joined = F.expr(
-        f"concat(array_join(transform({out}, (x, k) -> concat({out}_between[k], if(x.probability >= {threshold}, '{mark}', x.value))), ''),"
-        f" {out}_between[size({out})])"
+        f"concat(array_join(transform(findings, (x, k) -> concat(between[k], if(x.probability >= {threshold}, '{mark}', x.value))), ''),"
+        " between[size(findings)])"
     )
-    safe = F.when(F.size(out) > 0, joined).otherwise(F.col(text))
-    return rows.withColumn(text, safe).select(*df.columns)
+    safe = F.when(F.size("findings") > 0, joined).otherwise(F.col("row")[text])
+    return scan(df, forest, text, path).select(*[safe.alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns])
