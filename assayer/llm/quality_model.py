@@ -2,14 +2,14 @@
 
 A logistic model over cheap text measures is fitted on a bounded sample of labelled rows.  Its probabilities,
 summed by host and by (host, path) over all documents, update beta priors: the global share of good
-documents is the prior of a host, the host's posterior that of its paths.  Prior strengths come from the
-spread between hosts and between paths (method of moments), so that sparse sites shrink to what stands above
-them.  A document's posterior odds are its own likelihood ratio times the odds of its path, from which its
-own probability is left out.
+documents is the prior of a host, and what a host's other paths say is the prior of a path, so that no evidence
+counts twice.  Prior strengths come from the spread between hosts and between paths (method of moments), so that
+sparse sites shrink to what stands above them.  A document's posterior odds are its own likelihood ratio times the
+odds of its path, from which its own probability is left out.
 
 Null or empty texts have measures of 0 words and are judged by the same model.  Null hosts and paths are
 sites of their own.  Repeated rows count each; an empty table, or one without labels of both kinds, gives a
-model that keeps everything.  Other columns pass through ``keep_good`` unchanged.
+model that keeps everything.  Other columns pass through ``keep_good`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,16 +21,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import BLANKS, by_hash, small, words
+from assayer.llm.common import BLANKS, by_hash, rows_of, small, words
 
 #: Labelled rows of each label on which the document model is fitted, at most.
 FIT_ROWS = 5000
 MEASURES = ("log_words", "symbols", "upper", "bangs", "digits", "variety", "dup_lines", "word_length", "bars")
 
 
-def measures(df: DataFrame, text: str, prefix: str = "_m_") -> DataFrame:
-    """Adds the measures of ``text`` as doubles, named by ``prefix``."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def measures(df: DataFrame, text: Column, prefix: str = "_m_") -> DataFrame:
+    """Adds the measures of ``text`` as doubles, named by ``prefix``; ``df`` must not have such columns."""
+    t = F.coalesce(text, F.lit(""))
     df = df.withColumn(f"{prefix}w", words(t))
     n = F.greatest(F.size(f"{prefix}w"), F.lit(1))
     chars = F.greatest(F.length(F.translate(t, BLANKS, "")), F.lit(1))
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, id_column: str
     chosen = F.broadcast(by_hash(labels.select("doc_id", "y"), most))
     key, y = "_label_id", "_label_y"
     rows = docs.select(F.col(id_column).alias(key), F.col(text).alias("text"))
-    rows = measures(rows.join(chosen.select(F.col("doc_id").alias(key), F.col("y").alias(y)), key), "text")
+    rows = measures(rows.join(chosen.select(F.col("doc_id").alias(key), F.col("y").alias(y)), key), F.col("text"))
     rows = rows.select(y, *[f"_m_{m}" for m in MEASURES]).toPandas().to_numpy(float)
     if len(rows) == 0 or len(set(rows[:, 0])) < 2:
         return Model((0.0,) * len(MEASURES), 12.0, 0.999)
@@ -113,62 +113,77 @@ def sites(scored: DataFrame) -> DataFrame:
     return paths.join(hosts, "host")
 
 
+def host_prior(mean: float, strength: float) -> Column:
+    """What the host's other paths say of a path: its prior."""
+    others, n = F.col("host_s") - F.col("path_s"), F.col("host_n") - F.col("path_n")
+    return (strength * F.lit(mean) + others) / (strength + n)
+
+
 def strengths(found: DataFrame) -> tuple[float, float, float]:
-    """Global mean and the prior strengths of hosts and of paths; one row reaches the driver."""
+    """Global mean and the prior strengths of hosts and of paths; one row a step reaches the driver.
+
+    Hosts spread around the global mean, paths around the prior that their host gives them.
+    """
     total = found.agg(F.sum("path_s").alias("s"), F.sum("path_n").alias("n")).first()
     if not total["n"]:
         return 0.5, 10.0, 10.0
     mean = min(max(total["s"] / total["n"], 1e-4), 1 - 1e-4)
-    host_rate, path_rate = F.col("host_s") / F.col("host_n"), F.col("path_s") / F.col("path_n")
-    between = found.agg(
-        (F.sum(F.pow(host_rate - mean, 2) * F.col("path_n")) / F.sum("path_n")).alias("h"),
-        (F.sum(F.pow(path_rate - host_rate, 2) * F.col("path_n")) / F.sum("path_n")).alias("p"),
-    ).first()
     strength = lambda v: min(max(mean * (1 - mean) / max(v, 1e-9) - 1, 2.0), 1000.0)
-    return mean, strength(between["h"]), strength(between["p"])
+    spread = lambda rate, around: found.agg(F.sum(F.pow(rate - around, 2) * F.col("path_n")) / F.sum("path_n")).first()[0]
+    host = strength(spread(F.col("host_s") / F.col("host_n"), F.lit(mean)))
+    return mean, host, strength(spread(F.col("path_s") / F.col("path_n"), host_prior(mean, host)))
 
 
-def _key(column: str) -> Column:
-    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+def _key(column: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
 
 
 def score(df: DataFrame, model: Model, host: str, path: str, text: str = "text") -> DataFrame:
-    """Adds _logit, _host and _path to the rows of ``df``."""
-    rows = measures(df, text).withColumns({"_logit": model.logit(), "_host": _key(host), "_path": _key(path)})
+    """(row, _logit, _host, _path): the rows of ``df`` as structs, and beside them what the posterior needs."""
+    row = F.col("row")
+    rows = measures(rows_of(df), row[text]).withColumns({"_logit": model.logit(), "_host": _key(row[host]), "_path": _key(row[path])})
     return rows.drop(*[f"_m_{m}" for m in MEASURES])
 
 
 def posterior(scored: DataFrame, found: DataFrame, model: Model) -> DataFrame:
-    """Adds host_posterior, path_posterior and posterior to rows with _logit, _host and _path."""
+    """Adds host_posterior, path_posterior and posterior to rows with _logit, _host and _path.
+
+    The host's posterior is that without the row's own path, whose prior it is; the path's is that without the row.
+    """
     mean, k_host, k_path = strengths(found)
     p = F.lit(1.0) / (1 + F.exp(-F.col("_logit")))
     rows = scored.join(small(found.withColumnsRenamed({"host": "_host", "path": "_path"})), ["_host", "_path"])
-    rows = rows.withColumn("host_posterior", (k_host * F.lit(mean) + F.col("host_s") - p) / (k_host + F.col("host_n") - 1))
+    rows = rows.withColumn("host_posterior", host_prior(mean, k_host))
     rows = rows.withColumn("path_posterior", (k_path * F.col("host_posterior") + F.col("path_s") - p) / (k_path + F.col("path_n") - 1))
     clipped = F.greatest(F.least(F.col("path_posterior"), F.lit(1 - 1e-4)), F.lit(1e-4))
     odds = F.col("_logit") - math.log(model.prior / (1 - model.prior)) + F.log(clipped / (1 - clipped))
     return rows.withColumn("posterior", 1 / (1 + F.exp(-odds))).drop("host_n", "host_s", "path_n", "path_s")
 
 
-def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, most: int = FIT_ROWS) -> DataFrame:
+def quality(
+    docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, most: int = FIT_ROWS,
+    id_column: str = "doc_id", text: str = "text",
+) -> DataFrame:
     """(doc_id, document_score, host_posterior, path_posterior, posterior, kept) of every document."""
-    model = fit(docs, labels, most)
-    narrow = score(docs.select("doc_id", "text", F.col(host).alias("h"), F.col(path).alias("l")), model, "h", "l")
-    narrow = narrow.select("doc_id", "_logit", "_host", "_path").checkpoint()
+    model = fit(docs, labels, most, id_column, text)
+    row = F.col("row")
+    narrow = score(docs, model, host, path, text).select(row[id_column].alias("doc_id"), "_logit", "_host", "_path").checkpoint()
     p = 1 / (1 + F.exp(-F.col("_logit")))
     found = sites(narrow.select(F.col("_host").alias("host"), F.col("_path").alias("path"), p.alias("p"))).checkpoint()
     rows = posterior(narrow, found, model)
     return rows.select("doc_id", p.alias("document_score"), "host_posterior", "path_posterior", "posterior", (F.col("posterior") >= threshold).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, most: int = FIT_ROWS) -> DataFrame:
+def keep_good(
+    docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, most: int = FIT_ROWS,
+    id_column: str = "doc_id", text: str = "text",
+) -> DataFrame:
     """The rows of ``docs`` whose posterior reaches the threshold, with the columns of ``docs``.
 
     Texts are measured twice, once for the sites' sums and once beside the rows, and never shuffled.
     """
-    model = fit(docs, labels, most)
+    model = fit(docs, labels, most, id_column, text)
     p = 1 / (1 + F.exp(-F.col("_logit")))
-    narrow = score(docs.select("text", F.col(host).alias("h"), F.col(path).alias("l")), model, "h", "l")
-    found = sites(narrow.select(F.col("_host").alias("host"), F.col("_path").alias("path"), p.alias("p"))).checkpoint()
-    rows = posterior(score(docs, model, host, path), found, model)
-    return rows.where(F.col("posterior") >= threshold).select(*docs.columns)
+    scored = score(docs, model, host, path, text)
+    found = sites(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), p.alias("p"))).checkpoint()
+    return posterior(scored, found, model).where(F.col("posterior") >= threshold).select("row.*")
