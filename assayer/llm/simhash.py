@@ -32,11 +32,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import BLANK_RUN, BLANKS, small
+from assayer.llm.common import BLANK_RUN, BLANKS, BROADCAST_ROWS, rows_of, small
 
 SEED, RADIUS = 42, 2
 #: Rows of a shard of buckets, and of a bucket before it is divided once more.
 SHARD_ROWS, BUCKET_ROWS = 100_000, 20_000
+#: Copies of a component's smallest id where components are too many to be broadcast.
+SALTS = 16
 #: Jaccard similarity that links texts, words of its shingles, bands of minima and minima of a band.
 SIMILAR, WORDS, BANDS, BAND = 0.8, 5, 20, 3
 #: Members of a bucket that are all compared, members ahead that each is compared with in larger ones, and the share
@@ -245,12 +247,21 @@ def similar_links(texts: DataFrame, nodes: DataFrame, similarity: float = SIMILA
 
 
 def _classes(docs: DataFrame, firsts: DataFrame, edges: DataFrame) -> DataFrame:
-    """``docs`` with the component_id of each row's node."""
+    """``docs`` with the root and the component_id of each row's node.
+
+    Only components of several nodes are joined by their root, with a broadcast where they are few enough and
+    otherwise over ``SALTS`` copies of each, since one component may hold a third of all nodes.
+    """
     joined = components(edges)
     named = firsts.join(joined.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
-    named = named.select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return docs.join(named.join(least, "root").select("node", "component_id").checkpoint(), "node")
+    named = named.select("node", "first", F.coalesce("root", "node").alias("root")).checkpoint()
+    least = named.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1").select("root", "least").checkpoint()
+    if least.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        named = named.join(F.broadcast(least), "root", "left")
+    else:
+        copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        named = named.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(copies, ["root", "salt"], "left")
+    return docs.join(named.select("node", "root", F.coalesce("least", "first").alias("component_id")).checkpoint(), "node")
 
 
 def _similar(df: DataFrame, id_column: str, text: str, similarity: float, *more: Column) -> DataFrame:
@@ -280,16 +291,26 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILAR) -> DataFrame:
-    """The rows of ``df`` that stand for their component: those with its smallest id, repeats of a row once.
+    """The rows of ``df`` that stand for their component: those with its smallest id, one for each of its texts' keys.
 
-    Only ids of rows that go are joined to the texts.  Rows with a null id all stay.
+    Rows are told apart by id and text, so rows of one id with different texts are decided one by one; of several
+    texts of a component under its smallest id, that with the smallest key stays.  Rows with a null id all stay.
+    Repeats of a row (equal id and text) are kept once.  Only keys of rows that go are joined to the texts.
     """
-    found = _similar(df, id_column, text, similarity)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct().checkpoint()
-    kept = df.join(small(gone), F.col(id_column) == F.col("gone"), "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("again")).checkpoint()
-    if again.isEmpty():
-        return kept
-    single = kept.join(small(again), F.col(id_column) == F.col("again"), "left_anti")
-    repeated = kept.join(small(again), F.col(id_column) == F.col("again"), "left_semi")
-    return single.unionByName(repeated.dropDuplicates([id_column]))
+    found = _similar(df, id_column, text, similarity).where("doc_id is not null")
+    each = found.groupBy("doc_id", "node", "root", "component_id").agg(F.count("*").alias("n")).checkpoint()
+    gone = each.where("doc_id <> component_id").select("doc_id", "node", F.lit(0).alias("kept"))
+    first = each.where("doc_id = component_id")
+    least = first.groupBy("root").agg(F.min("node").alias("stays"))
+    first = first.join(least, "root").where("node <> stays or n > 1")
+    each = gone.unionByName(first.select("doc_id", "node", F.expr("int(node = stays)").alias("kept")))
+    each = each.select(F.col("doc_id").alias("id"), F.col("node").alias("key"), "kept").checkpoint()
+    rows = rows_of(df)
+    row = F.col("row")
+    rows = rows.withColumn("node", content(row[text]))
+    rows = rows.join(small(each), (row[id_column] == F.col("id")) & (F.col("node") == F.col("key")), "left")
+    stay = rows.where("kept is null").select("row.*")
+    if each.where("kept = 1").isEmpty():
+        return stay
+    repeated = rows.where("kept = 1").dropDuplicates(["id", "key"]).select("row.*")
+    return stay.unionByName(repeated)
