@@ -23,9 +23,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id is not held out: no label can belong to it."""
     docs = table(ready(spark), sf_dir, "documents")
     rows = toxicity.scores(docs, toxicity.fit(docs, labels_of(spark, sf_dir, "toxic")))
-    return rows.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", "predicted")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return rows.select("doc_id", held.alias("held_out"), "score", "predicted", "sentences")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ scores point at the offending sentences.
 Words are runs of letters and digits with A-Z lower-cased; a word's features are itself and its beginnings of
 four to eight letters, so that inflected forms share evidence.  Sentences end at . ! ? or a line break.  Null,
 empty and blank texts count as one sentence without words.  Repeated rows get equal scores.  Without labels of
-both kinds every score is 0.  Only id and text are read, never language, source or other columns.
+both kinds every score is 0.  Only id and text are read, never language, source or other columns; ids keep their type
+and may be null.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.llm.common import by_hash
 
@@ -167,30 +169,37 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, most_features:
     return Model({w: float(weights[i]) for w, i in number.items() if abs(weights[i]) > 1e-3}, bias)
 
 
-def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, score, predicted) of every document."""
+def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, score, predicted, sentences) of every document.
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        score = model.scorer().document
+    ``sentences``: numbers, from 0, of the sentences whose own score reaches the threshold.
+    """
+
+    @F.pandas_udf("score double, sentences array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = model.scorer()
         for texts in batches:
-            yield pd.Series([score(t) for t in texts], dtype="float64")
+            found = [scorer.document(t) for t in texts]
+            # A document's score is at least that of each of its sentences.
+            where = [np.flatnonzero(scorer.sentences(t) >= threshold).tolist() if p >= threshold else [] for t, p in zip(texts, found)]
+            yield pd.DataFrame({"score": pd.Series(found, dtype="float64"), "sentences": pd.Series(where, dtype=object)})
 
-    rows = docs.select("doc_id", run("text").alias("score"))
-    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), run(text).alias("x")).select("doc_id", "x.*")
+    return rows.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "sentences")
 
 
-def offending(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+def offending(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, sentence, score, words): sentences, numbered from 0, whose own score reaches the threshold."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_column].dataType), *(T.StructField(n, k) for n, k in (("sentence", T.LongType()), ("score", T.DoubleType()), ("words", T.StringType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = sentences(text)
-                rows += [(doc_id, int(i), float(p), found[i].decode("utf-8", "replace").strip()) for i, p in enumerate(scorer.sentences(text)) if p >= threshold]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "sentence", "score", "words"])
+            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = sentences(value)
+                rows += [(doc_id, int(i), float(p), found[i].decode("utf-8", "replace").strip()) for i, p in enumerate(scorer.sentences(value)) if p >= threshold]
+            kinds = (batch.schema.field(0).type, pa.int64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], schema.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sentence long, score double, words string")
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
