@@ -7,8 +7,8 @@ exact join on the key's text, which removes false positives.  The longest fittin
 block before allow); without one, a listed canonical URL has ``listed``'s verdict and others
 are allowed.
 
-The filter has at most ``MOST_BLOCKS`` blocks of 64 bytes, whatever the lists' length, so it may be broadcast;
-longer lists only let more false positives through to the exact join.
+The filter has one block of 64 bytes for ``KEYS_PER_BLOCK`` keys.  Up to ``MOST_BLOCKS`` blocks it is broadcast; larger
+ones are joined by a shuffle on the block, so the share of false positives stays the same at any length of the lists.
 
 A canonical URL is the host without a leading ``www.`` or ``m.``, then the path without a final slash.  Null
 urls, and urls without ``://``, have an empty host and path, no rule and no listed URL.  Repeated rows get equal
@@ -59,11 +59,11 @@ def bloom(keys: DataFrame, blocks: int) -> DataFrame:
 
 
 def passing(probes: DataFrame, filter_: DataFrame, blocks: int) -> DataFrame:
-    """Rows of ``probes`` whose ``key`` the filter may hold; the filter's blocks are bounded, hence broadcast."""
+    """Rows of ``probes`` whose ``key`` the filter may hold; filters of up to ``MOST_BLOCKS`` blocks are broadcast."""
     block, bits = _place(F.col("key"), blocks)
     rows = probes.select("*", block, *[b.alias(f"b{i}") for i, b in enumerate(bits)])
     test = F.expr(" and ".join(f"(shiftright(w{i}, b{i}) & 1L) = 1L" for i in range(PROBES)))
-    return rows.join(F.broadcast(filter_), "block").where(test).select(*probes.columns)
+    return rows.join(F.broadcast(filter_) if blocks <= MOST_BLOCKS else filter_, "block").where(test).select(*probes.columns)
 
 
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_column: str = "page_id", url: str = "url") -> DataFrame:
@@ -79,7 +79,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_column: str
     ruled = rules.select(F.concat(F.lit("r:"), "host", F.lit("|"), "path").alias("key"), rule.alias("rule"), "verdict")
     exact = listed.select(F.concat(F.lit("u:"), "key").alias("key"), F.lit(None).cast("string").alias("rule"), "verdict")
     entries = ruled.unionByName(exact).where("key is not null").groupBy("key", "rule").agg(F.max("verdict").alias("verdict")).checkpoint()
-    blocks = max(1, min(MOST_BLOCKS, entries.count() // KEYS_PER_BLOCK + 1))
+    blocks = entries.count() // KEYS_PER_BLOCK + 1
     lengths = rules.select(F.length("path").alias("n")).distinct().agg(F.array_sort(F.collect_set("n")).alias("n")).first()["n"] or []
 
     urls = rows.where("host <> ''").select("host", "path").distinct()
@@ -87,7 +87,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_column: str
     beginnings = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("path"))
     rule_keys = F.flatten(F.transform(hosts, lambda h: F.transform(F.col("_n"), lambda n: F.concat(F.lit("r:"), h, F.lit("|"), F.left("path", n)))))
     probes = urls.withColumn("_n", beginnings).withColumn("key", F.explode(F.concat(rule_keys, F.array(F.concat(F.lit("u:"), canonical(F.col("host"), F.col("path"))))))).drop("_n")
-    hits = passing(probes, bloom(entries.select("key"), blocks), blocks).join(entries, "key")
+    hits = passing(probes, bloom(entries.select("key"), blocks), blocks).join(entries.hint("shuffle_hash"), "key")
     best = hits.groupBy("host", "path").agg(
         F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.col("verdict"), "rule"))).alias("r"),
         F.max(F.when(F.col("rule").isNull(), F.col("verdict"))).alias("listed"),
