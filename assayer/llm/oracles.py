@@ -1,10 +1,10 @@
 """SQL, for DuckDB, of the queries that SQL can express.
 
-Fingerprints with XXH64, the tokenizer, trained models and seeded draws have no SQL form; tests hold those
-queries against brute force.
+Fingerprints with XXH64, the tokenizer, trained models and seeded draws have no SQL form.  Tests hold fingerprints,
+packing and mixing against brute force, and trained models' results against their formulas worked out by hand.
 """
 
-from assayer.llm.licenses import PHRASES, TEMPLATES, THRESHOLD
+from assayer.llm.licenses import BLOCK, PHRASES, SENTENCE_END, STEP, TEMPLATES, THRESHOLD
 
 URL_FILTER = r"""
 WITH p AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -60,7 +60,9 @@ LICENSES = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{_WORD}') AS w FROM d), spots AS (SELECT r, w, unnest(range(0, len(w))) AS i FROM w),
 places AS ({_places()}), base AS (SELECT r, count(*) AS n, min(i) AS first, max(i) AS last, list(DISTINCT label) AS labels FROM places GROUP BY r),
-blocks AS (SELECT r, list_distinct(regexp_extract_all(b, '{_WORD}')) AS b FROM (SELECT r, unnest(regexp_split_to_array(t, '[.!?]+[\x20\x09-\x0D]|\n')) AS b FROM d)),
+sentences AS (SELECT r, regexp_extract_all(s, '{_WORD}') AS w FROM (SELECT r, unnest(regexp_split_to_array(t, '{SENTENCE_END}')) AS s FROM d)),
+blocks AS (SELECT r, list_distinct(w[i * {STEP} + 1 : i * {STEP} + {BLOCK}]) AS b
+           FROM (SELECT r, w, unnest(range(0, greatest(0, ceil((len(w) - {BLOCK}) / {STEP}.0))::BIGINT + 1)) AS i FROM sentences)),
 templates(label, t) AS (VALUES {_templates()}),
 m AS (SELECT r, label, max(len(list_intersect(b, t)) / len(t)) AS score FROM blocks, templates WHERE len(list_intersect(b, t)) / len(t) >= {THRESHOLD} GROUP BY r, label),
 x AS (SELECT r, list(label) AS labels, max(score) AS score FROM m GROUP BY r)
