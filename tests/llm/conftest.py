@@ -25,4 +25,13 @@ def odd(llm):
         (7, "Ünï cödé　wörds \U0001f600 and\x0bmore\x0cwords here", "fr", "c", 40, 7, 1.0),
         (8, "one two three four", "en", "a", 18, 7, 1.0),
     ]
-    return llm.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, code long, kept double")
+    clash = {
+        "row": "string", "_source": "string", "_key": "long", "_block": "int", "_size": "long", "size": "long", "key": "string", "shard": "int", "shards": "string", "order": "long",
+        "posterior": "double", "path_posterior": "double", "_host": "string", "_logit": "double", "host_n": "long", "gone": "long", "again": "long", "node": "string", "id": "string",
+        "component_id": "long", "_findings_between": "string", "findings": "string", "between": "string", "path": "string", "score": "string", "_shard": "string",
+    }
+    values = {"string": "x", "long": 3, "int": 4, "double": 0.5}
+    more = [values[k] for k in clash.values()]
+    rows = [(*r, *(more if i % 3 else [None] * len(more))) for i, r in enumerate(rows)]
+    names = ", ".join(f"{n} {k}" for n, k in clash.items())
+    return llm.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, code long, kept double, {names}")

@@ -98,6 +98,17 @@ def test_packing_round_trip(llm, sf):
     assert row["ids_crc32"] >= 0 and row["length"] > 0
 
 
+def test_other_tokenizers_encode_whole_texts(llm):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "Some Text,  with  blanks\nand Lines\t" * 3
+    assert not packing.encoder(path).by_parts and packing.encoder(TOKENIZER).by_parts
+    rows = packing.pack(llm.createDataFrame([("a", text), ("b", None)], "doc_id string, text string"), path).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in rows] == ["a", "b"] and len({r["sequence_id"] for r in rows}) <= 2
+    assert np.frombuffer(rows[0]["ids"], "<u4").tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_packing_odd_rows(llm, odd):
     check_packing(packing.pack(odd, TOKENIZER).collect(), odd.collect())
     assert packing.pack(odd.limit(0), TOKENIZER).count() == 0
@@ -111,6 +122,21 @@ def test_encoder_equals_tokenizer(text):
     assert np.frombuffer(packing.encoder(TOKENIZER).encode(text), "<u4").tolist() == want
 
 
+def slow_rises(level, size, cuts=False):
+    """Sum of squares after each way to place a piece: (fill, part placed) to rise; fill 0 opens a window."""
+    window, rise = len(level) - 1, {}
+    for fill in range(window):
+        if fill and not level[fill]:
+            continue
+        part = min(size, window - fill) if cuts else size
+        if fill + part <= window:
+            after = level.copy()
+            after[fill] -= bool(fill)
+            after[fill + part] += fill + part < window
+            rise[fill, part] = int((after**2).sum() - (level**2).sum())
+    return rise
+
+
 def test_sum_of_squares_choice():
     packer = packing.Packer(8)
     rng = np.random.default_rng(3)
@@ -118,24 +144,44 @@ def test_sum_of_squares_choice():
     for i in range(200):
         size = int(rng.integers(1, 8))
         total += size
-        n = packer.level.copy()
-        rise = {}
-        for fill in range(0, 8 - size + 1):
-            if fill and not n[fill]:
-                continue
-            after = n.copy()
-            if fill:
-                after[fill] -= 1
-            if fill + size < 8:
-                after[fill + size] += 1
-            rise[fill] = int((after**2).sum())
-        assert rise[packer.choose(size)] == min(rise.values())
+        rises = slow_rises(packer.level, size)
+        assert rises[packer.choose(size), size] == min(rises.values())
         done += packer.add((i, 0), size)
     tail = list(packer.close())
     sizes = [sum(n for _, n in w) for w in [*done, *tail]]
     assert sum(sizes) == total and sorted(sizes)[1:] == [8] * (len(sizes) - 1)
 
 
+@pytest.mark.parametrize("partitions", [1, 8, 32])
+def test_every_piece_is_placed_by_the_rule(partitions, monkeypatch):
+    """At a partition's end as well: each piece goes where the sum rises least, and no window is opened needlessly."""
+    rng = np.random.default_rng(partitions)
+    put, seen = packing.Packer.put, Counter()
+
+    def checked(self, fill, piece, size):
+        key, start = piece
+        if closing[0]:
+            rises = {k: v for k, v in slow_rises(self.level, left[key] - start, cuts=True).items() if k[0] or not self.level.any()}
+            assert (fill, size) in rises and rises[fill, size] == min(rises.values())
+            seen["closing"] += 1
+        seen["all"] += 1
+        return put(self, fill, piece, size)
+
+    monkeypatch.setattr(packing.Packer, "put", checked)
+    for _ in range(partitions):
+        closing, left, packer = [False], {}, packing.Packer(64)
+        out = []
+        for i in range(320 // partitions):
+            left[i] = int(rng.integers(1, 64))
+            out += packer.add((i, 0), left[i])
+        closing[0] = True
+        # Pieces that were cut before closing keep their own ends.
+        out += packer.close()
+        assert sum(n for w in out for _, n in w) == sum(left.values())
+        assert sorted(sum(n for _, n in w) for w in out)[1:] == [64] * (len(out) - 1)
+    assert seen["closing"]
+
+
 def brute_classes(docs):
     codes = [simhash_of(d["text"]) for d in docs]
     ids = [d["doc_id"] for d in docs]
@@ -177,6 +223,9 @@ def test_simhash_odd_rows(llm, odd):
     assert kept.columns == odd.columns
     ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
     assert ids == sorted([None, 1, 2, 5, 7], key=str)
+    words = " ".join(f"w{i}" for i in range(40))
+    mixed_ids = llm.createDataFrame([(1, words), (1, "another text"), (2, words), (2, "a third text"), (2, "a third text"), (3, "another text")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(mixed_ids).collect())) == [(1, "another text"), (1, words), (2, "a third text")]
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
@@ -246,9 +295,36 @@ def test_quality_model_odd_rows(llm, odd, sf):
     assert quality_model.keep_good(odd.limit(0), labels).count() == 0
 
 
+def test_posteriors_worked_out_by_hand(llm):
+    model = quality_model.Model((0.0,) * len(quality_model.MEASURES), 0.0, 0.7)
+    rng = np.random.default_rng(6)
+    rows = [(f"h{i % 4}", f"p{i % 7}", float(rng.normal() + (i % 4) - 1)) for i in range(300)] + [("alone", "p", 1.0)]
+    scored = llm.createDataFrame(rows, "_host string, _path string, _logit double")
+    p = 1 / (1 + F.exp(-F.col("_logit")))
+    sites = quality_model.sites(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), p.alias("p"))).checkpoint()
+    good = lambda x: 1 / (1 + np.exp(-x))
+    by = defaultdict(list)
+    for h, q, x in rows:
+        by[h, q].append(good(x))
+    total = [x for v in by.values() for x in v]
+    mean = np.mean(total)
+    host = {h: [x for (g, _), v in by.items() if g == h for x in v] for h in {h for h, _ in by}}
+    var_h = sum((np.mean(host[h]) - mean) ** 2 * len(v) for (h, _), v in by.items()) / len(total)
+    strength = lambda v: min(max(mean * (1 - mean) / max(v, 1e-9) - 1, 2.0), 1000.0)
+    k_h = strength(var_h)
+    prior = {(h, q): (k_h * mean + sum(host[h]) - sum(v)) / (k_h + len(host[h]) - len(v)) for (h, q), v in by.items()}
+    k_p = strength(sum((np.mean(v) - prior[k]) ** 2 * len(v) for k, v in by.items()) / len(total))
+    for r in quality_model.posterior(scored, sites, model).collect():
+        own, path = good(r["_logit"]), by[r["_host"], r["_path"]]
+        above = prior[r["_host"], r["_path"]]
+        below = (k_p * above + sum(path) - own) / (k_p + len(path) - 1)
+        odds = np.exp(r["_logit"]) / (0.7 / 0.3) * below / (1 - below)
+        assert (r["host_posterior"], r["path_posterior"], r["posterior"]) == pytest.approx((above, below, odds / (1 + odds)))
+
+
 def test_sparse_sites_shrink_to_the_prior(llm):
     model = quality_model.Model((0.0,) * len(quality_model.MEASURES), 0.0, 0.5)
-    rows = [("big", "p", 4.0)] * 200 + [("bad", "p", -4.0)] * 200 + [("one", "p", -4.0)]
+    rows = [("big", "p", 4.0)] * 200 + [("big", "q", 4.0)] + [("bad", "p", -4.0)] * 200 + [("one", "p", -4.0)]
     scored = llm.createDataFrame(rows, "_host string, _path string, _logit double")
     p = 1 / (1 + F.exp(-F.col("_logit")))
     sites = quality_model.sites(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), p.alias("p"))).checkpoint()
