@@ -79,6 +79,17 @@ def short_id(prefix: str, *parts: Column, length: int = 16) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, length))
 
 
+def numbered(prefix: str, n: Column, width: int = 3) -> Column:
+    """Prefix and number with leading zeros up to ``width`` digits; longer numbers keep all their digits."""
+    digits = n.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0")))
+
+
+def canonical_json(*columns: str) -> Column:
+    """JSON text of the columns in the order of their names, nulls left out."""
+    return F.to_json(F.struct(*sorted(columns)))
+
+
 def token_estimate(text: Column) -> Column:
     """A quarter of the UTF-8 bytes, rounded up."""
     return F.ceil(F.octet_length(text) / 4).cast("long")

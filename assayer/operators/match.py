@@ -2,22 +2,71 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.operators.dedup import _cut, components
+from assayer.operators.relate import checked
+from assayer.sources.folders import Cuts
+
+
+#: Pairs of a group that one task walks; larger groups are matched by rounds or in components.
+SMALL = 20_000
+
+
+def _sized(pairs: DataFrame, group: str) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of groups of up to ``SMALL`` pairs, and those of larger groups, if there are any."""
+    large = pairs.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > SMALL).select(F.col(group).alias("_large"))
+    large = _cut(large)
+    if large.isEmpty():
+        return pairs, None
+    here = F.col(group).eqNullSafe(F.col("_large"))
+    return pairs.join(checked(large), here, "left_anti"), pairs.join(checked(large), here, "left_semi")
+
 
 def greedy(pairs: DataFrame, group: str, left: str, right: str, score: str, least: float) -> DataFrame:
-    """(group, left, right, score): pairs by descending score, then left and right, whose sides are both free."""
-    item = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
-    rows = pairs.where(F.col(score) >= least).groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    """(group, left, right, score): pairs by descending score, then left and right, whose sides are both free.
+
+    Groups of up to ``SMALL`` pairs are walked in one task each.  In larger ones, rounds take every pair that comes
+    first among the pairs of its left side and among those of its right side, which the walk would take as well, and
+    drop what touches them, until no pair is left.
+    """
     kinds = dict(pairs.dtypes)
-    kind = f"array<struct<s: double, l: {kinds[left]}, r: {kinds[right]}>>"
-    fold = (
-        f"aggregate(items, cast(array() as {kind}), (a, x) -> if(exists(a, y -> y.l = x.l or y.r = x.r), a, concat(a, array(x))))"
-    )
-    return rows.select(group, F.explode(F.expr(fold)).alias("x")).select(group, F.col("x.l").alias(left), F.col("x.r").alias(right), (-F.col("x.s")).alias(score))
+    schema = f"{group} {kinds[group]}, {left} {kinds[left]}, {right} {kinds[right]}, {score} double"
+    rows = pairs.where(F.col(score) >= least).select(group, left, right, F.col(score).cast("double").alias(score))
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        used: tuple[set, set] = (set(), set())
+        taken = []
+        part = part.sort_values([score, left, right], ascending=[False, True, True])
+        for row in part[[group, left, right, score]].itertuples(index=False):
+            if row[1] not in used[0] and row[2] not in used[1]:
+                used[0].add(row[1])
+                used[1].add(row[2])
+                taken.append(row)
+        return pd.DataFrame(taken, columns=[group, left, right, score])
+
+    small, large = _sized(rows, group)
+    found = small.groupBy(group).applyInPandas(walk, schema)
+    return found if large is None else found.unionByName(_rounds(large, group, left, right, score))
+
+
+def _rounds(pairs: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
+    place = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
+    cut, done = Cuts(pairs.sparkSession, "matching"), []
+    rest = cut(pairs.withColumn("_place", place))
+    taken = Cuts(pairs.sparkSession, "matched")
+    while not rest.isEmpty():
+        first = lambda side: rest.groupBy(group, side).agg(F.min("_place").alias("_place"))  # noqa: E731, B023
+        both = taken(rest.join(first(left), [group, left, "_place"], "left_semi").join(first(right), [group, right, "_place"], "left_semi").select(*pairs.columns))
+        done.append(both)
+        rest = cut(rest.join(both.select(group, left), [group, left], "left_anti").join(both.select(group, right), [group, right], "left_anti"))
+        cut.keep(1)
+    return reduce(DataFrame.unionByName, done, pairs.where("false")).select(group, left, right, score)
 
 
 def assign(weight: np.ndarray) -> list[int]:
@@ -57,16 +106,79 @@ def assign(weight: np.ndarray) -> list[int]:
     return found
 
 
+def parts_of(edges: list[tuple[int, int]], rows: int) -> list[list[int]]:
+    """Numbers of edges by connected part; rows and columns have numbers of their own."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in edges:
+        a, b = find(i), find(rows + j)
+        root[max(a, b)] = min(a, b)
+    found: dict[int, list[int]] = {}
+    for n, (i, _) in enumerate(edges):
+        found.setdefault(find(i), []).append(n)
+    return list(found.values())
+
+
+#: Parts with so many cells at most are solved with the tie rule.
+TIED_CELLS = 400
+
+
+def assign_first(weight: np.ndarray) -> list[int]:
+    """As ``assign``; of several matchings of greatest weight the one that leaves the first row unmatched if it can, else
+    gives it the lowest column, then so for the next rows.  Parts over ``TIED_CELLS`` cells take any of them."""
+    best = assign(weight)
+    if weight.size > TIED_CELLS:
+        return best
+    value = lambda w, got: sum(w[i, j] for i, j in enumerate(got) if j >= 0)
+    total, w = value(weight, best), weight.copy()
+    for i in range(len(w)):
+        for j in [-1, *np.flatnonzero(w[i] > 0)]:
+            kept = w.copy()
+            kept[i] = 0
+            if j >= 0:
+                kept[:, j] = 0
+                kept[i, j] = w[i, j]
+            if abs(value(kept, assign(kept)) - total) < 1e-9:
+                w = kept
+                break
+    return assign(w)
+
+
 def optimal(pairs: DataFrame, group: str, left: str, right: str, score: str, least: float) -> DataFrame:
-    """(group, left, right, score) of a matching of greatest total score; groups are solved side by side."""
+    """(group, left, right, score) of a matching of greatest total score among pairs of at least ``least``.
+
+    A group falls into connected parts, which are solved one by one; groups of over ``SMALL`` pairs are cut into their
+    parts before they are dealt to tasks.
+    """
+    kinds = dict(pairs.dtypes)
+    schema = f"{group} {kinds[group]}, {left} {kinds[left]}, {right} {kinds[right]}, {score} double"
+    rows = pairs.where(F.col(score) >= least).select(group, left, right, F.col(score).cast("double").alias(score))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows, columns = sorted(part[left].unique()), sorted(part[right].unique())
-        weight = np.zeros((len(rows), len(columns)))
-        weight[[rows.index(x) for x in part[left]], [columns.index(x) for x in part[right]]] = part[score]
-        got = [(part[group].iloc[0], rows[i], columns[j], weight[i, j]) for i, j in enumerate(assign(weight)) if j >= 0]
+        lefts, rights = sorted(part[left].unique()), sorted(part[right].unique())
+        row, column = {x: i for i, x in enumerate(lefts)}, {x: i for i, x in enumerate(rights)}
+        edges = [(row[a], column[b]) for a, b in zip(part[left], part[right])]
+        scores, got = part[score].to_numpy(), []
+        for numbers in parts_of(edges, len(lefts)):
+            i, j = sorted({edges[n][0] for n in numbers}), sorted({edges[n][1] for n in numbers})
+            weight = np.zeros((len(i), len(j)))
+            for n in numbers:
+                weight[i.index(edges[n][0]), j.index(edges[n][1])] = scores[n]
+            got += [(part[group].iloc[0], lefts[i[a]], rights[j[b]], weight[a, b]) for a, b in enumerate(assign_first(weight)) if b >= 0]
         return pd.DataFrame(got, columns=[group, left, right, score])
 
-    kinds = dict(pairs.dtypes)
-    schema = f"{group} {kinds[group]}, {left} {kinds[left]}, {right} {kinds[right]}, {score} double"
-    return pairs.where(F.col(score) >= least).select(group, left, right, score).groupBy(group).applyInPandas(run, schema)
+    small, large = _sized(rows, group)
+    found = small.groupBy(group).applyInPandas(run, schema)
+    if large is None:
+        return found
+    node = lambda side, c: F.xxhash64(F.lit(side), group, c)
+    parts = components(large.select(node(0, left).alias("a"), node(1, right).alias("b")))
+    large = large.withColumn("node", node(0, left)).join(parts, "node")
+    return found.unionByName(large.groupBy("component").applyInPandas(run, schema))

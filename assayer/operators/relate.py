@@ -25,18 +25,27 @@ def any_of(left: DataFrame, right: DataFrame, conditions: list[list[str]]) -> Da
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def missing(child: DataFrame, key: str, parent: DataFrame, parent_key: str, code: str) -> DataFrame:
-    """Findings (code, key) for child keys, null excepted, without a parent."""
+def missing(child: DataFrame, key: str, parent: DataFrame, parent_key: str, code: str, record: str | None = None) -> DataFrame:
+    """Findings (code, record) for child rows whose key, null excepted, has no parent; ``record``: key if not named."""
     keys = parent.select(F.col(parent_key).alias("_k"))
     rows = child.where(F.col(key).isNotNull()).join(keys, F.col(key) == F.col("_k"), "left_anti")
-    return rows.select(F.lit(code).alias("code"), F.col(key).cast("string").alias("record"))
+    return rows.select(F.lit(code).alias("code"), F.col(record or key).cast("string").alias("record"))
 
 
-def first_wins(parts: list[tuple[str, DataFrame]], keys: list[str], order: list[str]) -> DataFrame:
-    """Ordered union: of equal keys the earliest part's first row stays; adds ``source_run``."""
+def first_unused(rows: DataFrame, group: str, number: str) -> DataFrame:
+    """(group, first_unused): the smallest number from 0 on that none of the group's rows has."""
+    used = rows.select(group, F.col(number).cast("long").alias("_k")).distinct().where("_k >= 0")
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_k")) - 1
+    found = used.withColumn("_n", place).groupBy(group).agg(F.min(F.when(F.col("_k") != F.col("_n"), F.col("_n"))).alias("gap"), F.count("*").alias("n"))
+    return found.select(group, F.coalesce("gap", "n").cast("long").alias("first_unused"))
+
+
+def first_wins(parts: list[tuple[str, DataFrame]], keys: list[str], order: list[str], place: str | None = None) -> DataFrame:
+    """Ordered union: of equal keys the earliest part's first row stays; adds ``source_run`` and, in ``place``, its number."""
     rows = reduce(DataFrame.unionByName, [df.withColumns({"source_run": F.lit(n), "_part": F.lit(i)}) for i, (n, df) in enumerate(parts)])
     w = Window.partitionBy(*keys).orderBy("_part", *order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_part")
+    rows = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return rows.withColumnRenamed("_part", place) if place else rows.drop("_part")
 
 
 def replace_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,38 +3,87 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.functions.stem import porter
+from assayer.operators.dedup import _cut
 from assayer.operators.relate import checked
 
 
+def words_of(text: Column, least: int = 3) -> Column:
+    """[a-z0-9]+ runs of at least ``least`` letters, in order, repeats included."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.filter(found, lambda t: F.length(t) >= least)
+
+
 def terms(df: DataFrame, key: str, text: str, least: int = 3) -> DataFrame:
-    """(key, term, tf): counts of [a-z0-9]+ runs of at least ``least`` letters."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
-    rows = df.select(F.col(key), F.explode(words).alias("term")).where(F.length("term") >= least)
-    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf): counts of the text's words."""
+    return df.select(F.col(key), F.explode(words_of(F.col(text), least)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, doc, score, rank): Okapi scores over whole tables, without stemming; ids break ties.
+def _stems(rows: DataFrame) -> DataFrame:
+    """(term, stem) of the distinct terms; each is stemmed once."""
+    return rows.select("term").distinct().withColumn("stem", porter("term"))
 
-    Postings are cut to the queries' terms before any counting, so the join moves only what can score.
-    """
-    asked = terms(queries, query, text).select(query, "term").distinct()
-    wanted = checked(asked.select("term").distinct())
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
-    sized = docs.select(F.col(doc), F.filter(words, lambda t: F.length(t) >= 3).alias("w"))
-    total = sized.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).first()
-    post = sized.select(doc, F.size("w").alias("size"), F.explode("w").alias("term")).join(wanted, "term").groupBy(doc, "size", "term").agg(F.count("*").alias("tf"))
+
+def _asked(queries: DataFrame, query: str, text: str, stem: bool) -> DataFrame:
+    asked = terms(queries, query, text).select(query, "term")
+    if stem:
+        asked = asked.join(_stems(asked), "term").select(query, F.col("stem").alias("term"))
+    return asked.distinct()
+
+
+def _scored(post: DataFrame, asked: DataFrame, n: int, mean: float, doc: str, query: str, k: int, k1: float, b: float) -> DataFrame:
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((total["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / (total["mean"] or 1.0)))
+    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / (mean or 1.0)))
     scored = post.join(df, "term").select(doc, "term", part.alias("part")).join(asked, "term").groupBy(query, doc).agg(F.round(F.sum("part"), 6).alias("score"))
     return ranked(scored, query, doc, k)
 
 
+def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str, k: int, k1: float = 1.2, b: float = 0.75, stem: bool = False) -> DataFrame:
+    """(query, doc, score, rank): Okapi scores over whole tables; ids break ties.
+
+    Texts are read once: words that no query asks for fall together per document, and each document has one such row,
+    from which the number and mean length of documents are taken.  ``stem`` compares words by their Porter stems.
+    """
+    asked = _cut(_asked(queries, query, text, stem))
+    rows = docs.select(F.col(doc), words_of(F.col(text)).alias("w")).select(doc, F.size("w").alias("size"), F.explode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"))
+    wanted = asked.select(F.col("term").alias("want")).distinct()
+    if stem:
+        rows = rows.join(_stems(rows.where("term is not null")), "term", "left").select(doc, "size", F.col("stem").alias("term"))
+    rows = rows.join(checked(wanted), F.col("term") == F.col("want"), "left").groupBy(doc, "size", F.col("want").alias("term")).agg(F.count("*").alias("tf"))
+    rows = _cut(rows)
+    total = rows.where("term is null").agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
+    return _scored(rows.where("term is not null"), asked, total["n"], total["mean"], doc, query, k, k1, b)
+
+
+def build_index(docs: DataFrame, doc: str, text: str, path: str, stem: bool = True) -> None:
+    """Writes postings (term, doc, tf, size) by term and the table's totals below ``path``, replacing what is there.
+
+    Postings are dealt by ranges of terms and sorted, so a search reads only the row groups that can hold its terms.
+    """
+    rows = docs.select(F.col(doc).alias("doc"), words_of(F.col(text)).alias("w")).select("doc", F.size("w").alias("size"), F.explode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"))
+    if stem:
+        rows = rows.join(_stems(rows.where("term is not null")), "term", "left").select("doc", "size", F.col("stem").alias("term"))
+    rows = _cut(rows.groupBy("doc", "size", "term").agg(F.count("*").alias("tf")))
+    rows.where("term is null").agg(F.count("*").alias("n"), F.avg("size").alias("mean")).withColumn("stem", F.lit(stem)).write.mode("overwrite").parquet(f"{path}/totals")
+    rows.where("term is not null").repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def search_index(queries: DataFrame, query: str, text: str, path: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query, doc, score, rank) from a written index."""
+    spark = queries.sparkSession
+    total = spark.read.parquet(f"{path}/totals").first()
+    asked = _cut(_asked(queries, query, text, total["stem"]))
+    post = spark.read.parquet(f"{path}/postings").join(checked(asked.select("term").distinct()), "term")
+    return _scored(_cut(post), asked, total["n"], total["mean"], "doc", query, k, k1, b)
+
+
 def tfidf(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str, k: int) -> DataFrame:
     """(query, doc, score, rank): cosine of sublinear tf times smoothed idf, unigrams and bigrams."""
 
@@ -61,11 +110,90 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense(base: DataFrame, queries: DataFrame, key: str, query: str, vector: str, k: int) -> DataFrame:
-    """(query, key, score, rank): exact cosine of a stated, size-checked query set against all rows in blocks."""
-    asked = checked(queries.select(F.col(key).alias(query), F.col(vector).alias("_q")), 10_000)
-    scored = base.join(asked, F.col(key) != F.col(query)).select(query, key, F.round(cosine(F.col(vector), F.col("_q")), 6).alias("score"))
-    return ranked(scored, query, key, k)
+#: Measures of a pair of vectors, larger is nearer.
+MEASURES = {"cosine": cosine, "inner": lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)}
+#: Queries that are held against all rows at a time.
+QUERY_BLOCK = 500
+
+
+def dense(base: DataFrame, queries: DataFrame, key: str, query: str, vector: str, k: int, measure: str = "cosine") -> DataFrame:
+    """(query, key, score, rank): exact scores of a stated query set against all rows, in blocks of ``QUERY_BLOCK``.
+
+    A block of queries is one broadcast row, so every row of ``base`` is read once per block and keeps no more than
+    its scores; the k best of each query are taken partition by partition before the shuffle.  Rows without a vector
+    have no score.
+    """
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias(query), F.col(vector).alias("_q"))
+    place = F.row_number().over(Window.orderBy(query)) - 1
+    blocks = _cut(asked.withColumn("_block", F.floor(place / QUERY_BLOCK)).groupBy("_block").agg(F.collect_list(F.struct(query, "_q")).alias("_asked")))
+    found = None
+    rows = base.where(F.col(vector).isNotNull())
+    for r in blocks.select("_block").orderBy("_block").collect():
+        block = blocks.where(F.col("_block") == r["_block"]).select("_asked")
+        part = rows.join(F.broadcast(block)).select(key, vector, F.inline("_asked")).where(F.col(key) != F.col(query))
+        part = ranked(part.select(query, key, F.round(MEASURES[measure](F.col(vector), F.col("_q")), 6).alias("score")), query, key, k)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = rows.select(F.col(key).alias(query), key, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).where("false")
+    return found
+
+
+class Backend(Protocol):
+    """What a vector search is made of: ``build`` takes (key, text or vector) rows, ``search`` gives scored keys."""
+
+    def build(self, rows: DataFrame) -> None: ...
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame: ...
+
+
+@dataclass
+class DenseBackend:
+    """Exact search over all rows: ``cosine`` or ``inner`` products; ``distance`` gives one minus the cosine distance."""
+
+    key: str = "vec_id"
+    query: str = "query_id"
+    vector: str = "embedding"
+    measure: str = "cosine"
+    rows: DataFrame | None = None
+
+    def build(self, rows: DataFrame) -> None:
+        self.rows = rows
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        return dense(self.rows, queries, self.key, self.query, self.vector, k, "cosine" if self.measure == "distance" else self.measure)
+
+
+@dataclass
+class TfidfBackend:
+    """Lexical vectors of one and two words."""
+
+    key: str
+    query: str
+    text: str = "text"
+    rows: DataFrame | None = None
+
+    def build(self, rows: DataFrame) -> None:
+        self.rows = rows
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        return tfidf(self.rows, queries, self.key, self.query, self.text, k)
+
+
+@dataclass
+class IndexBackend:
+    """BM25 over an index that is written below a path and stays there."""
+
+    path: str
+    key: str
+    query: str
+    text: str = "text"
+    stem: bool = True
+
+    def build(self, rows: DataFrame) -> None:
+        build_index(rows, self.key, self.text, self.path, self.stem)
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        return search_index(queries, self.query, self.text, self.path, k)
 
 
 def ranked(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:

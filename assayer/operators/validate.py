@@ -27,6 +27,20 @@ def reported(value: Column, status: Column, reason: Column, evidence: Column) ->
     return ~F.coalesce(ok, F.lit(False))
 
 
+def literal_support(quote: Column, value: Column, source: Column) -> Column:
+    """``literal`` if the source holds the quote and the quote the value, ``semantic_review`` if only the former, else
+    ``bad_quote``; empty and null ones are held by nothing."""
+    quoted = (quote != "") & source.contains(quote)
+    return F.when(quoted & (value != "") & quote.contains(value), "literal").when(quoted, "semantic_review").otherwise("bad_quote")
+
+
+def repaired_quote(quote: Column, clause: Column) -> tuple[Column, Column]:
+    """(state, quote): a quote that the cited clause holds stays ``verbatim``, another is ``replaced`` by the clause, and
+    without a clause it is ``dropped``."""
+    held = F.coalesce((quote != "") & clause.contains(quote), F.lit(False))
+    return F.when(clause.isNull(), "dropped").when(held, "verbatim").otherwise("replaced"), F.when(held, quote).otherwise(clause)
+
+
 def salvage(rows: DataFrame, key: str, citations: str, known: DataFrame) -> DataFrame:
     """Adds ``salvage``: kept, dropped_unknown_citation or dropped_uncited; a row stays whole or goes whole."""
     ids = known.select(F.col(known.columns[0]).alias("_id")).distinct()

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("text", "relational", "matching", "review", "records")
+FAMILIES = ("text", "relational", "matching", "evidence", "review", "records", "scans")
 
 
 def load() -> None:

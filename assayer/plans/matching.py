@@ -5,121 +5,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assayer.functions import text as T
-from assayer.operators import dedup, match, pack, relate, retrieve
+from assayer.operators import pack, relate, retrieve
 from assayer.registry import query
+from assayer.sources import folders
 from assayer.sources.tables import read
 
-PAIRS = """
-pairs AS (SELECT c_nationkey AS paper, c_custkey AS gold, s_suppkey AS outcome, round(1.0 / (1.0 + abs(c_acctbal - s_acctbal) / 500.0), 4) AS score
-  FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey % 20 = 0)
-"""
-
-
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    gold = read(spark, sf, "customer").where("c_custkey % 20 = 0")
-    rows = gold.join(read(spark, sf, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"))
-    score = F.round(1.0 / (1.0 + F.abs(F.col("c_acctbal") - F.col("s_acctbal")) / 500.0), 4)
-    return rows.select(F.col("c_nationkey").alias("paper"), F.col("c_custkey").alias("gold"), F.col("s_suppkey").alias("outcome"), score.alias("score"))
-
-
-@query(
-    "WITH RECURSIVE " + PAIRS + """,
-r AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY score DESC, gold, outcome) AS i FROM pairs WHERE score >= 0.3),
-walk AS (
-  SELECT paper, 0::BIGINT AS i, []::BIGINT[] AS g, []::BIGINT[] AS o FROM (SELECT DISTINCT paper FROM r)
-  UNION ALL
-  SELECT w.paper, r.i, CASE WHEN list_contains(g, r.gold) OR list_contains(o, r.outcome) THEN g ELSE list_append(g, r.gold) END,
-         CASE WHEN list_contains(g, r.gold) OR list_contains(o, r.outcome) THEN o ELSE list_append(o, r.outcome) END
-  FROM walk w JOIN r ON r.paper = w.paper AND r.i = w.i + 1),
-last AS (SELECT paper, arg_max(g, i) AS g, arg_max(o, i) AS o FROM walk GROUP BY paper)
-SELECT p.paper, p.gold, p.outcome, p.score FROM (SELECT paper, unnest(g) AS gold, unnest(o) AS outcome FROM last) JOIN pairs p USING (paper, gold, outcome)"""
-)
-def greedy_matching(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy one-to-one matching per paper by descending score."""
-    return match.greedy(_pairs(spark, sf), "paper", "gold", "outcome", "score", 0.3)
-
-
-@query()
-def optimal_matching(spark: SparkSession, sf: str) -> DataFrame:
-    """Assignment of greatest total score per paper among allowed pairs."""
-    return match.optimal(_pairs(spark, sf), "paper", "gold", "outcome", "score", 0.42)
-
-
-TOKENS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
-
-
-@query(
-    f"""WITH b AS (SELECT item_id, {TOKENS} AS t FROM benchmark), c AS (SELECT conv_id, turn, {TOKENS} AS t FROM conversations),
-s AS (SELECT item_id, conv_id, turn, round(least(1.0, len(list_intersect(b.t, c.t)) / greatest(1, len(b.t)) + CASE WHEN list_contains(c.t, 'the') THEN 0.05 ELSE 0 END), 4) AS score FROM b, c WHERE b.item_id % 20 = c.conv_id % 20)
-SELECT item_id, conv_id, turn, score FROM s WHERE score >= 0.2"""
-)
-def coverage_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Lexical coverage of gold rows by candidates of the same block, with a bonus, capped at one."""
-    b = read(spark, sf, "benchmark").select("item_id", T.tokens(F.col("text")).alias("b"), (F.col("item_id") % 20).alias("k"))
-    c = read(spark, sf, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("c"), (F.col("conv_id") % 20).alias("k"))
-    score = F.least(F.lit(1.0), F.size(F.array_intersect("b", "c")) / F.greatest(F.lit(1), F.size("b")) + F.when(F.array_contains("c", "the"), 0.05).otherwise(0.0))
-    return c.join(relate.checked(b, 10_000), "k").select("item_id", "conv_id", "turn", F.round(score, 4).alias("score")).where("score >= 0.2")
-
-
-@query(
-    f"""WITH b AS (SELECT item_id, {TOKENS} AS t, text FROM benchmark), d AS (SELECT doc_id, text, {TOKENS} AS t FROM documents),
-h AS (SELECT b.item_id, d.doc_id, contains(d.text, b.text) AS literal, list_filter(b.t, lambda x: NOT list_contains(d.t, x)) AS lacking FROM b JOIN d ON contains(d.text, substr(b.text, 1, 60)))
-SELECT item_id, doc_id, literal, len(lacking) = 0 AS supported, len(lacking)::BIGINT AS missing_terms FROM h"""
-)
-def support_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Literal and term-wise support of gold text by the passages that hold its anchor."""
-    b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("gold"), T.tokens(F.col("text")).alias("b"))
-    rows = read(spark, sf, "documents").join(relate.checked(b, 10_000), F.col("text").contains(F.substring("gold", 1, 60)))
-    lacking = F.size(F.array_except("b", T.tokens(F.col("text"))))
-    return rows.select("item_id", "doc_id", F.col("text").contains(F.col("gold")).alias("literal"), (lacking == 0).alias("supported"), lacking.cast("long").alias("missing_terms"))
-
-
-@query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey::BIGINT AS a, 100 + c_custkey % 40 AS b FROM customer WHERE c_custkey % 37 = 0),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS reach FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.reach = u.a)
-SELECT node, min(reach) AS component FROM r GROUP BY node"""
-)
-def shared_source_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Connected components of records that share sources."""
-    rows = read(spark, sf, "customer").where("c_custkey % 37 = 0")
-    edges = rows.select(F.col("c_nationkey").cast("long").alias("a"), (100 + F.col("c_custkey") % 40).alias("b")).distinct()
-    return dedup.components(edges)
-
-
-@query()
-def multi_key_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Strict streaming record dedup by alternative keys, within a block."""
-    rows = read(spark, sf, "orders").select(
-        F.col("o_orderpriority").alias("block"), F.col("o_orderkey").alias("n"), F.concat(F.lit("c"), "o_custkey").alias("k1"),
-        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("t"), F.floor(F.col("o_totalprice") / 100))).alias("k2"),
-    )
-    return dedup.ordered_groups(rows, ["k1", "k2"], "n", "block")
-
-
-@query()
-def near_duplicate_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy first-match merge of similar turns within a conversation."""
-    rows = read(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("block"), "turn", T.tokens(F.col("text"), 3).alias("terms"))
-    return dedup.greedy_near(rows, "block", "turn", "terms", 0.72)
-
-
-@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'increase' WHEN 'view' THEN 'increase' WHEN 'error' THEN 'change' ELSE 'none' END AS base, event_type NOT IN ('error', 'signup') AS affirmed FROM events""")
-def declared_polarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Closed enumeration to (base, affirmed) by a literal map."""
-    names = F.create_map(*[F.lit(x) for kv in (("click", "increase"), ("view", "increase"), ("error", "change")) for x in kv])
-    return read(spark, sf, "events").select("event_id", F.coalesce(F.try_element_at(names, F.col("event_type")), F.lit("none")).alias("base"), (~F.col("event_type").isin("error", "signup")).alias("affirmed"))
-
-
-@query(
-    """SELECT o_orderkey, CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'unknown_id' WHEN o_orderstatus = 'P' THEN 'not_grounded' ELSE 'kept' END AS grounding FROM orders"""
-)
-def entity_grounding(spark: SparkSession, sf: str) -> DataFrame:
-    """Records with unknown citations or ungrounded fields are told apart from kept ones."""
-    known = read(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", F.lit(True).alias("known"))
-    state = F.when(F.col("known").isNull(), "unknown_id").when(F.col("o_orderstatus") == "P", "not_grounded").otherwise("kept")
-    return read(spark, sf, "orders").join(known, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", state.alias("grounding"))
-
-
 @query(
     """SELECT 'visual' AS route, doc_id, substr(sha256('visual:' || doc_id), 1, 12) AS task_id FROM documents WHERE contains(text, '|') UNION ALL
 SELECT 'text', doc_id, substr(sha256('text:' || doc_id), 1, 12) FROM documents WHERE NOT contains(text, '|') AND n_chars > 3000 UNION ALL
@@ -140,33 +30,36 @@ def blinded_order(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "benchmark").select("item_id", side.alias("first_side"))
 
 
-@query(
-    """SELECT l_orderkey, l_linenumber, CASE WHEN s_nationkey IS NULL THEN 'no_subject' WHEN s_nationkey = c_nationkey THEN 'co_supported' ELSE 'unsupported' END AS audit
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0 LEFT JOIN customer ON o_custkey = c_custkey WHERE l_orderkey % 10 = 0"""
-)
-def co_support(spark: SparkSession, sf: str) -> DataFrame:
-    """Claims whose subject and object share support."""
-    lines = read(spark, sf, "lineitem").where("l_orderkey % 10 = 0").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = lines.join(read(spark, sf, "supplier").where("s_acctbal > 0"), F.col("l_suppkey") == F.col("s_suppkey"), "left").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    state = F.when(F.col("s_nationkey").isNull(), "no_subject").when(F.col("s_nationkey") == F.col("c_nationkey"), "co_supported").otherwise("unsupported")
-    return rows.select("l_orderkey", "l_linenumber", state.alias("audit"))
-
-
 TERMS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 
-@query(
-    f"""WITH d AS (SELECT doc_id, list_filter({TERMS}, lambda x: length(x) >= 3) AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+BM25 = f"""WITH d AS (SELECT doc_id, list_filter({TERMS}, lambda x: length(x) >= 3) AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
 p AS (SELECT doc_id, size, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM d) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 q AS (SELECT DISTINCT item_id, unnest(list_filter({TERMS}, lambda x: length(x) >= 3)) AS term FROM benchmark),
 s AS (SELECT item_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY ALL)
 SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM s) WHERE rank <= 10"""
-)
+
+
+@query(BM25)
 def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
     """Lexical search of passages for each gold text."""
     return retrieve.bm25(read(spark, sf, "documents"), read(spark, sf, "benchmark"), "doc_id", "item_id", "text", 10)
 
 
+@query(BM25)
+def indexed_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search from an index that is written to the shared folder and read again."""
+    found = retrieve.IndexBackend(folders.scratch(spark, "index"), "doc_id", "item_id", stem=False)
+    found.build(read(spark, sf, "documents"))
+    return found.search(read(spark, sf, "benchmark"), 10).withColumnRenamed("doc", "doc_id")
+
+
+@query()
+def stemmed_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Lexical search by Porter stems."""
+    return retrieve.bm25(read(spark, sf, "documents"), read(spark, sf, "benchmark"), "doc_id", "item_id", "text", 10, stem=True)
+
+
 GRAMS = """SELECT {k}, term, 1 + ln(count(*)) AS tf FROM (SELECT {k}, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term
   FROM (SELECT {k}, regexp_extract_all(lower(text), '[a-z0-9][a-z0-9]+') AS w FROM {t})) GROUP BY ALL"""
 

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assayer.functions import text as T
-from assayer.operators import pack, relate
+from assayer.operators import pack, relate, validate
 from assayer.registry import query
+from assayer.sources import sinks
 from assayer.sources.tables import read
 
 
@@ -49,22 +50,22 @@ def main_article(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").groupBy("source").agg(F.coalesce(small, F.min("doc_id")).alias("main"))
 
 
-@query("""SELECT user_id, arg_min(event_type, r) AS strategy, min(r)::BIGINT AS rank FROM (SELECT user_id, event_type, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 9 END AS r, value FROM events WHERE value > 90) WHERE r < 9 GROUP BY user_id""")
+@query("""SELECT user_id, arg_min(event_type, r) AS strategy, min(r)::BIGINT AS rank FROM (SELECT user_id, event_type, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 9 END AS r, value FROM events) WHERE r < 9 GROUP BY user_id""")
 def first_successful_strategy(spark: SparkSession, sf: str) -> DataFrame:
     """The first of ordered fallback strategies that worked."""
     r = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "view", 3).otherwise(9)
-    rows = read(spark, sf, "events").where("value > 90").withColumn("r", r).where("r < 9")
+    rows = read(spark, sf, "events").withColumn("r", r).where("r < 9")
     return rows.groupBy("user_id").agg(F.min_by("event_type", "r").alias("strategy"), F.min("r").cast("long").alias("rank"))
 
 
 @query(
     """WITH c AS (SELECT o_orderkey, c_custkey, pos, row_number() OVER (PARTITION BY o_orderkey ORDER BY pos) AS n FROM (
-  SELECT DISTINCT o_orderkey, c_custkey, c_custkey AS pos FROM orders JOIN customer ON (o_custkey = c_custkey OR o_orderkey % 1000 = c_custkey) WHERE o_orderkey % 20 = 0))
+  SELECT DISTINCT o_orderkey, c_custkey, c_custkey AS pos FROM orders JOIN customer ON (o_custkey = c_custkey OR o_orderkey % 1000 = c_custkey)))
 SELECT o_orderkey, c_custkey FROM c WHERE n = 1"""
 )
 def first_match(spark: SparkSession, sf: str) -> DataFrame:
     """Match on one key or another; the first item in order wins."""
-    orders = read(spark, sf, "orders").where("o_orderkey % 20 = 0").select("o_orderkey", "o_custkey")
+    orders = read(spark, sf, "orders").select("o_orderkey", "o_custkey")
     customers = read(spark, sf, "customer").select("c_custkey")
     pairs = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey").unionByName(
         orders.join(customers, F.col("o_orderkey") % 1000 == F.col("c_custkey")).select("o_orderkey", "c_custkey")
@@ -114,15 +115,21 @@ def error_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH g AS (SELECT n_nationkey, lower(n_name) AS v FROM nation), c AS (SELECT c_nationkey, lower(c_mktsegment) || ' ' || (c_custkey % 5) AS v FROM customer), s AS (SELECT DISTINCT c_nationkey, v FROM c)
-SELECT n_nationkey, count(*) FILTER (contains(s.v, substr(g.v, 1, 1)) OR contains(g.v, s.v))::BIGINT AS correct, count(*)::BIGINT AS total FROM g JOIN s ON n_nationkey = c_nationkey GROUP BY n_nationkey"""
+    """WITH g AS (SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS v FROM part), x AS (SELECT l_partkey, l_orderkey, l_linenumber,
+  regexp_replace(lower(CASE l_linenumber % 3 WHEN 0 THEN p_name || ' ' || p_brand WHEN 1 THEN substr(p_name, 3) ELSE p_brand END), '[^a-z0-9]', '', 'g') AS v FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT p_partkey, count(DISTINCT l_orderkey || '-' || l_linenumber) FILTER (g.v <> '' AND x.v <> '' AND (contains(x.v, g.v) OR contains(g.v, x.v)))::BIGINT AS correct, count(x.l_orderkey)::BIGINT AS records, bool_or(g.v <> '' AND x.v <> '' AND (contains(x.v, g.v) OR contains(g.v, x.v))) IS TRUE AS found
+FROM g LEFT JOIN x ON p_partkey = l_partkey GROUP BY p_partkey"""
 )
 def containment_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    """Values match if either normalised string contains the other."""
-    g = read(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("g"))
-    s = read(spark, sf, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.concat_ws(" ", F.lower("c_mktsegment"), F.col("c_custkey") % 5).alias("v")).distinct()
-    hit = F.col("v").contains(F.substring("g", 1, 1)) | F.col("g").contains(F.col("v"))
-    return s.join(relate.checked(g), "n_nationkey").groupBy("n_nationkey").agg(F.count_if(hit).alias("correct"), F.count("*").alias("total"))
+    """Values match if either whole normalised string contains the other."""
+    part = read(spark, sf, "part")
+    gold = part.select("p_partkey", T.alphanumeric(F.col("p_name")).alias("g"))
+    three = F.col("l_linenumber") % 3
+    value = F.when(three == 0, F.concat_ws(" ", "p_name", "p_brand")).when(three == 1, F.expr("substring(p_name, 3)")).otherwise(F.col("p_brand"))
+    found = read(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("p_partkey", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("record"), T.alphanumeric(value).alias("v"))
+    rows = gold.join(found, "p_partkey", "left")
+    hit = (F.col("g") != "") & (F.col("v") != "") & (F.col("v").contains(F.col("g")) | F.col("g").contains(F.col("v")))
+    return rows.groupBy("p_partkey").agg(F.count_distinct(F.when(hit, F.col("record"))).alias("correct"), F.count("record").alias("records"), F.coalesce(F.bool_or(hit), F.lit(False)).alias("found"))
 
 
 @query(
@@ -155,39 +162,24 @@ def alias_map(spark: SparkSession, sf: str) -> DataFrame:
     return relate.first_wins(parts, ["k"], ["v"]).select("k", "v")
 
 
-@query(
-    """WITH t AS (SELECT conv_id, turn, role, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM conversations), p AS (SELECT a.conv_id, a.turn AS gold, b.turn AS outcome, a.t AS g, b.t AS o FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant')
-SELECT conv_id, gold, outcome, round(CASE WHEN list_contains(g, 'not') <> list_contains(o, 'not') THEN 0.0 WHEN len(list_intersect(g, o)) = 0 THEN 0.0 ELSE least(1.0, len(list_intersect(g, o)) / least(len(g), len(o)) + CASE WHEN len(list_intersect(g, o)) >= 3 THEN 0.2 ELSE 0 END) END, 4) AS similarity FROM p"""
-)
-def gated_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Similarity with a polarity gate and an overlap bonus."""
-    rows = read(spark, sf, "conversations").select("conv_id", "turn", "role", T.tokens(F.col("text")).alias("t"))
-    a = rows.where("role = 'user'").select("conv_id", F.col("turn").alias("gold"), F.col("t").alias("g"))
-    b = rows.where("role = 'assistant'").select("conv_id", F.col("turn").alias("outcome"), F.col("t").alias("o"))
-    shared = F.size(F.array_intersect("g", "o"))
-    value = F.least(F.lit(1.0), T.overlap(F.col("g"), F.col("o")) + F.when(shared >= 3, 0.2).otherwise(0.0))
-    gate = F.array_contains("g", "not") == F.array_contains("o", "not")
-    return a.join(b, "conv_id").select("conv_id", "gold", "outcome", F.round(F.when(~gate | (shared == 0), 0.0).otherwise(value), 4).alias("similarity"))
-
-
-@query("""SELECT o_orderkey, 'E' || lpad(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::VARCHAR, 3, '0') AS frozen_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+@query("""SELECT o_orderkey, 'E' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0') AS frozen_id FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))""")
 def boundary_freeze(spark: SparkSession, sf: str) -> DataFrame:
     """Ids renumbered under the chosen reader of each paper."""
     chosen = read(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return read(spark, sf, "orders").join(chosen, "o_custkey", "left_semi").select("o_orderkey", F.concat(F.lit("E"), F.lpad(n.cast("string"), 3, "0")).alias("frozen_id"))
+    return read(spark, sf, "orders").join(chosen, "o_custkey", "left_semi").select("o_orderkey", T.numbered("E", n).alias("frozen_id"))
 
 
 @query(
-    """WITH f AS (SELECT user_id, list(DISTINCT event_type) AS t FROM events WHERE value > 80 GROUP BY user_id)
-SELECT user_id, CASE WHEN list_has_all(t, ['click', 'view', 'purchase']) AND NOT list_contains(t, 'error') THEN 'eligible' WHEN list_contains(t, 'error') THEN 'excluded' ELSE 'uncertain' END AS eligibility FROM f"""
+    """WITH f AS (SELECT user_id, date_trunc('hour', ts) AS h, list(DISTINCT event_type) AS t FROM events GROUP BY ALL)
+SELECT user_id, strftime(h, '%Y-%m-%d %H') AS hour, CASE WHEN list_has_all(t, ['click', 'view', 'purchase']) AND NOT list_contains(t, 'error') THEN 'eligible' WHEN list_contains(t, 'error') THEN 'excluded' ELSE 'uncertain' END AS eligibility FROM f"""
 )
 def eligibility(spark: SparkSession, sf: str) -> DataFrame:
     """All criteria positive, an exclusion, or uncertain."""
-    f = read(spark, sf, "events").where("value > 80").groupBy("user_id").agg(F.collect_set("event_type").alias("t"))
+    f = read(spark, sf, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).agg(F.collect_set("event_type").alias("t"))
     all_ = F.size(F.array_except(F.array(*map(F.lit, ("click", "view", "purchase"))), "t")) == 0
     bad = F.array_contains("t", "error")
-    return f.select("user_id", F.when(all_ & ~bad, "eligible").when(bad, "excluded").otherwise("uncertain").alias("eligibility"))
+    return f.select("user_id", "hour", F.when(all_ & ~bad, "eligible").when(bad, "excluded").otherwise("uncertain").alias("eligibility"))
 
 
 @query("""SELECT conv_id, 'V' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS outcome_id, turn FROM conversations WHERE role = 'assistant' AND NOT contains(text, '?')""")
@@ -197,13 +189,17 @@ def observation_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", F.concat(F.lit("V"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).alias("outcome_id"), "turn")
 
 
-@query("""SELECT b.item_id, CASE WHEN bool_or(contains(d.text, b.text)) THEN 'verbatim' WHEN count(d.doc_id) > 0 THEN 'replaced' ELSE 'dropped' END AS quote_state FROM benchmark b LEFT JOIN documents d ON contains(d.text, substr(b.text, 1, 60)) GROUP BY b.item_id""")
+@query(
+    """WITH c AS (SELECT conv_id, turn, text, CASE turn % 4 WHEN 0 THEN substr(text, 3, 50) WHEN 1 THEN 'q' || substr(text, 3, 50) WHEN 2 THEN text || '!' ELSE '' END AS quote, CASE WHEN turn % 8 <> 1 THEN text END AS clause FROM conversations)
+SELECT conv_id, turn, CASE WHEN clause IS NULL THEN 'dropped' WHEN quote <> '' AND contains(clause, quote) THEN 'verbatim' ELSE 'replaced' END AS quote_state, CASE WHEN clause IS NULL THEN NULL WHEN quote <> '' AND contains(clause, quote) THEN sha256(quote) ELSE sha256(clause) END AS digest FROM c"""
+)
 def quote_repair(spark: SparkSession, sf: str) -> DataFrame:
-    """Quotes that are verbatim, replaced by the cited clause, or dropped."""
-    quotes = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
-    hits = read(spark, sf, "documents").join(relate.checked(quotes, 10_000), F.col("text").contains(F.substring("quote", 1, 60)))
-    best = hits.groupBy("item_id").agg(F.bool_or(F.col("text").contains(F.col("quote"))).alias("v"))
-    return quotes.join(best, "item_id", "left").select("item_id", F.when(F.col("v"), "verbatim").when(F.col("v").isNotNull(), "replaced").otherwise("dropped").alias("quote_state"))
+    """Whole quotes that are verbatim stay, others are replaced by the cited clause, or dropped without one."""
+    text, four = F.col("text"), F.col("turn") % 4
+    quote = F.when(four == 0, F.substring(text, 3, 50)).when(four == 1, F.concat(F.lit("q"), F.substring(text, 3, 50))).when(four == 2, F.concat(text, F.lit("!"))).otherwise("")
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", quote.alias("quote"), F.when(F.col("turn") % 8 != 1, text).alias("clause"))
+    state, kept = validate.repaired_quote(F.col("quote"), F.col("clause"))
+    return rows.select("conv_id", "turn", state.alias("quote_state"), F.sha2(kept, 256).alias("digest"))
 
 
 @query("""SELECT 'outcome_value' AS rule, l_orderkey AS k FROM lineitem WHERE l_tax IS NULL OR l_tax > 0.07 UNION ALL SELECT 'status_enum', o_orderkey FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'percent_range', l_orderkey FROM lineitem WHERE NOT l_discount BETWEEN 0 AND 0.09""")
@@ -226,7 +222,7 @@ def packet_ratios(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT item_id, item_id % 50 AS p FROM benchmark WHERE item_id NOT IN (SELECT b.item_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))) SELECT DISTINCT page FROM (SELECT unnest(range(p - 1, p + 2)) AS page FROM m) WHERE page >= 0"""
+    """WITH m AS (SELECT item_id, item_id % 50 AS p FROM benchmark WHERE item_id NOT IN (SELECT b.item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))) SELECT DISTINCT page FROM (SELECT unnest(range(p - 1, p + 2)) AS page FROM m) WHERE page >= 0"""
 )
 def focused_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages around missed gold rows."""
@@ -251,8 +247,11 @@ def capped_lists(spark: SparkSession, sf: str) -> DataFrame:
     return best.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("closest"))
 
 
-@query("""SELECT item_id, sha256(text) AS digest, sha256(text) = sha256(lower(text)) AS unchanged FROM benchmark""")
+@query("""SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'skipped' WHEN item_id % 3 = 0 THEN 'changed' ELSE 'saved' END AS state, CASE WHEN item_id % 5 <> 0 THEN sha256(text) END AS digest, 'img_' || item_id || '.png' AS file FROM benchmark""")
 def content_digests(spark: SparkSession, sf: str) -> DataFrame:
-    """Digests of decoded payloads, re-checked against what was recorded."""
-    payload = F.try_to_binary(F.base64(F.encode("text", "utf-8")), F.lit("base64"))
-    return read(spark, sf, "benchmark").select("item_id", F.sha2(payload, 256).alias("digest"), (F.sha2(payload, 256) == F.sha2(F.lower("text"), 256)).alias("unchanged"))
+    """Payloads in base64, saved under flat names with their digest; undecodable ones are skipped, others re-checked."""
+    payload = F.when(F.col("item_id") % 5 == 0, "not base64!").otherwise(F.base64(F.encode("text", "utf-8")))
+    recorded = F.sha2(F.when(F.col("item_id") % 3 == 0, F.lower("text")).otherwise(F.col("text")), 256)
+    recorded = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("0"), recorded)).otherwise(recorded)
+    rows = read(spark, sf, "benchmark").select("item_id", payload.alias("payload"), recorded.alias("recorded"), F.concat(F.lit("images/page/img_"), "item_id", F.lit(".png")).alias("ref"))
+    return sinks.images(rows, "payload", "ref", "recorded").select("item_id", "state", "digest", "file")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assayer.functions import text as T
-from assayer.operators import dedup, pack, relate
+from assayer.operators import contain, dedup, pack, relate
 from assayer.registry import query
 from assayer.sources import sinks
 from assayer.sources.tables import read
@@ -30,37 +30,22 @@ def hit_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").join(labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), state.alias("state"))
 
 
-@query("""SELECT DISTINCT b.item_id, d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 60)) WHERE length(b.text) >= 60""")
+@query("""SELECT DISTINCT b.item_id, d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''""")
 def anchor_containment(spark: SparkSession, sf: str) -> DataFrame:
-    """Anchors contained in passages, as substrings; the anchor side is counted before it is broadcast."""
-    anchors = read(spark, sf, "benchmark").where(F.length("text") >= 60).select("item_id", F.substring("text", 1, 60).alias("anchor"))
-    return read(spark, sf, "documents").select("doc_id", "text").join(relate.checked(anchors, 10_000), F.col("text").contains(F.col("anchor"))).select("item_id", "doc_id").distinct()
+    """Whole anchors contained in whole passages, by equi-joins on runs of words."""
+    return contain.containing(read(spark, sf, "documents"), "doc_id", "text", read(spark, sf, "benchmark"), "item_id", "text")
 
 
 @query(
-    """SELECT DISTINCT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey
-AND (floor(c_acctbal / 1000) = floor(s_acctbal / 1000) OR c_custkey % 97 = s_suppkey % 97)"""
-)
-def location_match(spark: SparkSession, sf: str) -> DataFrame:
-    """A disjunction of agreements within a block, as a union of equi-joins."""
-    side = lambda t, k, n, b: read(spark, sf, t).select(k, F.col(n).alias("nation"), F.floor(F.col(b) / 1000).alias("level"), (F.col(k) % 97).alias("slot"))
-    a, b = side("customer", "c_custkey", "c_nationkey", "c_acctbal"), side("supplier", "s_suppkey", "s_nationkey", "s_acctbal")
-    pairs = [x.join(y, names).select("c_custkey", "s_suppkey") for names in (["nation", "level"], ["nation", "slot"]) for x, y in [(a, b.drop(*({"level", "slot"} - set(names))))]]
-    return pairs[0].unionByName(pairs[1]).distinct()
-
-
-@query(
-    """SELECT 'order_customer' AS code, o_orderkey::VARCHAR AS record FROM orders WHERE o_custkey % 10 = 3 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')
-UNION ALL SELECT 'line_part', l_orderkey::VARCHAR FROM lineitem WHERE l_linenumber = 1 AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 5)"""
+    """SELECT 'order_customer' AS code, o_orderkey::VARCHAR AS record FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')
+UNION ALL SELECT 'line_part', l_orderkey::VARCHAR FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 5)"""
 )
 def reference_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Foreign-key findings: anti joins over several tables in one list."""
     customers = read(spark, sf, "customer").where("c_mktsegment <> 'BUILDING'").select("c_custkey")
-    orders = read(spark, sf, "orders").where("o_custkey % 10 = 3").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    orders = relate.missing(read(spark, sf, "orders"), "o_custkey", customers, "c_custkey", "order_customer", "o_orderkey")
     parts = read(spark, sf, "part").where("p_size > 5").select("p_partkey")
-    lines = read(spark, sf, "lineitem").where("l_linenumber = 1").join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_anti")
-    row = lambda df, code, key: df.select(F.lit(code).alias("code"), F.col(key).cast("string").alias("record"))
-    return row(orders, "order_customer", "o_orderkey").unionByName(row(lines, "line_part", "l_orderkey"))
+    return orders.unionByName(relate.missing(read(spark, sf, "lineitem"), "l_partkey", parts, "p_partkey", "line_part", "l_orderkey"))
 
 
 @query("""SELECT l_orderkey, count(*)::BIGINT AS members FROM lineitem GROUP BY l_orderkey HAVING count(*) = count(*) FILTER (l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 2000))""")
@@ -78,23 +63,24 @@ def neighbour_band(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS p FROM orders WHERE o_orderkey % 3 = 0), a AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS p FROM orders WHERE o_orderkey % 3 = 1)
-SELECT coalesce(e.k, a.k) AS k, coalesce(e.p, a.p) AS p, CASE WHEN a.k IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'unexpected' ELSE 'answered' END AS state FROM e FULL JOIN a ON e.k = a.k AND e.p = a.p"""
+    """WITH e AS (SELECT DISTINCT o_orderkey AS k, i AS slot FROM orders, (SELECT unnest(range(1, 8)) AS i)), a AS (SELECT DISTINCT l_orderkey AS k, l_linenumber::BIGINT AS slot FROM lineitem)
+SELECT coalesce(e.k, a.k) AS k, coalesce(e.slot, a.slot) AS slot, CASE WHEN a.k IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'unexpected' ELSE 'answered' END AS state FROM e FULL JOIN a ON e.k = a.k AND e.slot = a.slot"""
 )
 def slot_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Expected against present slots."""
-    rows = read(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("p"), (F.col("o_orderkey") % 3).alias("m"))
-    return relate.slots(rows.where("m = 0"), rows.where("m = 1"), ["k", "p"])
+    """Expected against present slots: every order has seven line numbers."""
+    expected = read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long"))).alias("slot"))
+    present = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("slot"))
+    return relate.slots(expected, present, ["k", "slot"])
 
 
 @query(
     """SELECT event_type, user_id, CASE WHEN count(DISTINCT b) = 1 THEN min(b) END AS b, CASE count(DISTINCT b) WHEN 0 THEN 'no source' WHEN 1 THEN 'resolved' ELSE 'ambiguous source' END AS reason
-FROM (SELECT event_type, user_id, CASE WHEN value > 50 THEN event_type || (user_id % 2) || (event_id % 3 = 0)::INT END AS b FROM events WHERE event_id % 50 = user_id % 50) GROUP BY ALL"""
+FROM (SELECT event_type, user_id, CASE WHEN value > 50 THEN event_type || (user_id % 2) || (event_id % 3 = 0)::INT END AS b FROM events) GROUP BY ALL"""
 )
 def unique_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """A group resolves if it has exactly one distinct source; otherwise the reason is told."""
     b = F.when(F.col("value") > 50, F.concat("event_type", F.col("user_id") % 2, (F.col("event_id") % 3 == 0).cast("int")))
-    rows = read(spark, sf, "events").where("event_id % 50 = user_id % 50").withColumn("b", b)
+    rows = read(spark, sf, "events").withColumn("b", b)
     return relate.unique_or_reason(rows, ["event_type", "user_id"], "b")
 
 
@@ -149,11 +135,11 @@ def cost_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").groupBy("user_id").agg(F.round(F.sum(cost), 6).alias("cost"), accepted.alias("accepted"), F.round(F.sum(cost) / F.nullif(accepted, F.lit(0)), 6).alias("cost_per_accepted"))
 
 
-@query("""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) SELECT token, count(*)::BIGINT AS documents, count(*) <= 2 AS rare FROM t GROUP BY token HAVING count(*) >= 2""")
+@query("""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) SELECT token, count(*)::BIGINT AS documents, count(*) <= 2 AS rare FROM t GROUP BY token""")
 def token_document_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents per token."""
+    """Documents per token; tokens of one or two documents are rare."""
     rows = read(spark, sf, "documents").select(F.explode(T.tokens(F.col("text"))).alias("token"))
-    return rows.groupBy("token").agg(F.count("*").alias("documents")).where("documents >= 2").withColumn("rare", F.col("documents") <= 2)
+    return rows.groupBy("token").agg(F.count("*").alias("documents")).withColumn("rare", F.col("documents") <= 2)
 
 
 @query(
@@ -189,20 +175,26 @@ def incomplete_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT b.item_id, d.doc_id, d.lang, d.n_chars FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))
-SELECT b.item_id, bool_or(h.doc_id IS NOT NULL) AS before, bool_or(h.lang = 'en') IS TRUE AS after_dedup, bool_or(h.lang = 'en' AND h.n_chars < 2000) IS TRUE AS in_budget FROM benchmark b LEFT JOIN h USING (item_id) GROUP BY b.item_id"""
+    """WITH d AS (SELECT doc_id, source, text, n_chars, lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'), ' ')) AS norm FROM documents), f AS (SELECT min(doc_id) AS doc_id FROM d GROUP BY norm),
+k AS (SELECT doc_id FROM (SELECT doc_id, sum(ceil(strlen(text) / 4.0)) OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS used FROM d WHERE doc_id IN (SELECT doc_id FROM f)) WHERE used <= 16000),
+h AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN d ON contains(d.text, b.text))
+SELECT b.item_id, count(h.doc_id) > 0 AS before, count(f.doc_id) > 0 AS after_dedup, count(k.doc_id) > 0 AS in_budget
+FROM benchmark b LEFT JOIN h USING (item_id) LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id) GROUP BY b.item_id"""
 )
 def preservation_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    """Gold passages before, after dedup and within the budget."""
-    hits = anchor_containment(spark, sf).join(read(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
-    english = F.col("lang") == "en"
-    found = hits.groupBy("item_id").agg(F.lit(True).alias("b"), F.bool_or(english).alias("d"), F.bool_or(english & (F.col("n_chars") < 2000)).alias("k"))
+    """Gold passages before dedup, after it, and in each source's budget, which the shortest texts fill."""
+    docs = read(spark, sf, "documents")
+    firsts = dedup.exact(docs, T.normalise(F.col("text")), ["doc_id"], {}, ["doc_id"]).select(F.col("first_doc_id").alias("doc_id"))
+    rows = docs.select("doc_id", "source", (-F.col("n_chars")).alias("short"), T.token_estimate(F.col("text")).alias("cost")).join(firsts, "doc_id", "left_semi")
+    packed = pack.greedy_budget(rows, "source", "doc_id", "short", "cost", 16000).select("doc_id", F.lit(True).alias("k"))
+    hits = anchor_containment(spark, sf).join(firsts.withColumn("d", F.lit(True)), "doc_id", "left").join(packed, "doc_id", "left")
+    found = hits.groupBy("item_id").agg(F.lit(True).alias("b"), F.bool_or("d").alias("d"), F.bool_or("k").alias("k"))
     yes = lambda c: F.coalesce(c, F.lit(False))
     return read(spark, sf, "benchmark").select("item_id").join(found, "item_id", "left").select("item_id", yes("b").alias("before"), yes("d").alias("after_dedup"), yes("k").alias("in_budget"))
 
 
 @query(
-    """WITH h AS (SELECT DISTINCT b.item_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))
+    """WITH h AS (SELECT DISTINCT b.item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
 SELECT CASE WHEN grouping(s) = 1 THEN 'all' ELSE s END AS split, count(*)::BIGINT AS gold, count(h.item_id)::BIGINT AS found, round(count(h.item_id) / count(*), 4) AS recall
 FROM (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'development' ELSE 'holdout' END AS s FROM benchmark) LEFT JOIN h USING (item_id) GROUP BY ROLLUP (s)"""
 )
@@ -247,12 +239,13 @@ def task_bundles(spark: SparkSession, sf: str) -> DataFrame:
     return pack.bundles(read(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 4).select("o_orderkey", "bundle")
 
 
-@query("""SELECT user_id, min(k)::BIGINT AS first_unused FROM (SELECT user_id, unnest(range(0, 31)) AS k FROM (SELECT DISTINCT user_id FROM events)) WHERE (user_id, k) NOT IN (SELECT (user_id, event_id % 31) FROM events) GROUP BY user_id""")
+@query(
+    """WITH u AS (SELECT DISTINCT user_id, event_id % 31 AS k FROM events), r AS (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS n FROM u)
+SELECT user_id, coalesce(min(n) FILTER (k <> n), count(*))::BIGINT AS first_unused FROM r GROUP BY user_id"""
+)
 def unused_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Smallest id of a range that a group hasn't used."""
-    used = read(spark, sf, "events").groupBy("user_id").agg(F.collect_set(F.col("event_id") % 31).alias("used"))
-    free = F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(30)).cast("array<bigint>"), "used"))
-    return used.select("user_id", free.alias("first_unused")).where("first_unused is not null")
+    """Smallest number from 0 on that a group hasn't used, whatever the numbers' range."""
+    return relate.first_unused(read(spark, sf, "events").withColumn("k", F.col("event_id") % 31), "user_id", "k")
 
 
 @query(
@@ -315,7 +308,7 @@ def set_differences(spark: SparkSession, sf: str) -> DataFrame:
 def crop_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """First row with the same content digest."""
     rows = read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    return dedup.canonical_first(rows, ["digest"], ["doc_id"]).select("doc_id", "canonical")
+    return dedup.canonical_first(rows, ["digest"], "doc_id").select("doc_id", "canonical")
 
 
 @query("""SELECT doc_id, 'retrieval' AS tag FROM labels UNION ALL SELECT doc_id, 'full_corpus' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
@@ -326,13 +319,13 @@ def view_union(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH old AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0), new AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'Z' ELSE o_orderstatus END AS s, o_totalprice AS v FROM orders WHERE o_orderkey % 3 = 0)
+    """WITH old AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0), new AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'Z' ELSE o_orderstatus END AS s, o_totalprice AS v FROM orders)
 SELECT new.k, CASE WHEN old.k IS NULL THEN 'created' WHEN old.s = new.s AND old.v = new.v THEN 'unchanged' ELSE 'versioned' END AS status FROM new LEFT JOIN old USING (k)"""
 )
 def converge_sink(spark: SparkSession, sf: str) -> DataFrame:
     """Status of proposed rows against what exists, by fingerprint."""
     rows = read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("v"))
-    new = rows.where("k % 3 = 0").withColumn("s", F.when(F.col("k") % 5 == 0, "Z").otherwise(F.col("s")))
+    new = rows.withColumn("s", F.when(F.col("k") % 5 == 0, "Z").otherwise(F.col("s")))
     return sinks.converge(rows.where("k % 2 = 0"), new, ["k"], ["s", "v"], version=True).select("k", "status")
 
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from assayer.operators import relate, validate
+from assayer.functions import text as X
+from assayer.operators import contain, validate
 from assayer.registry import query
 from assayer.sources import tables
 from assayer.sources.tables import read
@@ -76,15 +77,26 @@ def graph_patch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH b AS (SELECT item_id, substr(text, 1, 60) AS quote FROM benchmark), h AS (SELECT item_id, bool_or(d.text IS NOT NULL) AS literal FROM b LEFT JOIN documents d ON contains(d.text, quote) GROUP BY item_id)
-SELECT item_id, CASE WHEN literal AND length(quote) >= 60 THEN 'literal' WHEN literal THEN 'semantic_review' ELSE 'bad_quote' END AS support FROM h JOIN b USING (item_id)"""
+    """WITH q AS (SELECT conv_id, turn, role, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS source FROM conversations),
+c AS (SELECT conv_id, turn, source, CASE turn % 3 WHEN 0 THEN substr(source, 5, 40) WHEN 1 THEN substr(source, 5, 40) ELSE 'x' || substr(source, 5, 40) END AS quote, CASE WHEN turn % 3 = 0 THEN substr(source, 10, 6) ELSE 'zqx' END AS value FROM q)
+SELECT conv_id, turn, CASE WHEN contains(source, quote) AND quote <> '' AND contains(quote, value) AND value <> '' THEN 'literal' WHEN contains(source, quote) AND quote <> '' THEN 'semantic_review' ELSE 'bad_quote' END AS support FROM c"""
 )
 def literal_support(spark: SparkSession, sf: str) -> DataFrame:
-    """Quotes found verbatim, to be reviewed, or wrong."""
-    quotes = read(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 60).alias("quote"))
-    hits = read(spark, sf, "documents").join(relate.checked(quotes, 10_000), F.col("text").contains(F.col("quote"))).select("item_id", F.lit(True).alias("hit")).distinct()
-    rows = quotes.join(hits, "item_id", "left")
-    return rows.select("item_id", F.when(F.col("hit") & (F.length("quote") >= 60), "literal").when(F.col("hit"), "semantic_review").otherwise("bad_quote").alias("support"))
+    """Quotes that hold the value and stand in the source, that only stand there, or that don't."""
+    rows = read(spark, sf, "conversations").withColumn("source", X.alphanumeric(F.col("text"))).withColumn("q", F.substring("source", 5, 40))
+    quote = F.when(F.col("turn") % 3 == 2, F.concat(F.lit("x"), "q")).otherwise(F.col("q"))
+    value = F.when(F.col("turn") % 3 == 0, F.substring("source", 10, 6)).otherwise("zqx")
+    return rows.select("conv_id", "turn", validate.literal_support(quote, value, F.col("source")).alias("support"))
+
+
+@query(
+    """SELECT b.item_id, count(d.doc_id)::BIGINT AS documents, count(d.doc_id) > 0 AS verbatim FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) AND b.text <> '' GROUP BY b.item_id"""
+)
+def quote_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole quotes against whole source texts."""
+    hits = contain.containing(read(spark, sf, "documents"), "doc_id", "text", read(spark, sf, "benchmark"), "item_id", "text").groupBy("item_id").agg(F.count("*").alias("documents"))
+    rows = read(spark, sf, "benchmark").select("item_id").join(hits, "item_id", "left")
+    return rows.select("item_id", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"), (F.coalesce("documents", F.lit(0)) > 0).alias("verbatim"))
 
 
 @query(
@@ -132,11 +144,11 @@ def partition_assertion(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("k", F.when(F.col("g").isNull(), "unknown").when(F.col("n").isNull(), "lost").when(F.col("n") > 1, "twice").otherwise("once").alias("state"))
 
 
-@query("""SELECT event_id, user_id, NULL::VARCHAR AS reader, CASE WHEN value >= 50 THEN '>=' ELSE '<' END AS comparator, '1.2' AS contract_version FROM events WHERE event_id % 10 = 0""")
+@query("""SELECT event_id, user_id, NULL::VARCHAR AS reader, CASE WHEN value >= 50 THEN '>=' ELSE '<' END AS comparator, '1.2' AS contract_version FROM events""")
 def schema_migration(spark: SparkSession, sf: str) -> DataFrame:
     """Additive migration to a newer contract."""
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("reader", T.StringType()), T.StructField("comparator", T.StringType()), T.StructField("contract_version", T.StringType())])
-    rows = read(spark, sf, "events").where("event_id % 10 = 0").withColumns({"comparator": F.when(F.col("value") >= 50, ">=").otherwise("<"), "contract_version": F.lit("1.2")})
+    rows = read(spark, sf, "events").withColumns({"comparator": F.when(F.col("value") >= 50, ">=").otherwise("<"), "contract_version": F.lit("1.2")})
     return tables.with_defaults(rows, schema)
 
 

@@ -22,16 +22,12 @@ clauses AS (
 @query(
     "WITH " + SENT + """
 SELECT substr(sha256(norm), 1, 16) AS clause_id, count(*)::BIGINT AS members, count(DISTINCT doc_id)::BIGINT AS documents,
-       array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, min(doc_id)::BIGINT AS first_doc
+       array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, min(doc_id)::BIGINT AS first_doc, arg_min(position, (doc_id, position))::BIGINT AS first_position
 FROM (SELECT *, lower(trim(regexp_replace(clause, '[ \t\n\r]+', ' ', 'g'), ' ')) AS norm FROM clauses) GROUP BY norm"""
 )
 def dedup_clauses(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact clause dedup: hash id, counts, set of sources, first document."""
-    docs = read(spark, sf, "documents")
-    rows = docs.select("doc_id", "source", F.explode(T.sentences(F.col("text"))).alias("clause")).withColumn("norm", T.normalise(F.col("clause")))
-    return rows.groupBy("norm").agg(
-        F.count("*").alias("members"), F.count_distinct("doc_id").alias("documents"), T.joined_set(F.collect_set("source")).alias("sources"), F.min("doc_id").alias("first_doc")
-    ).select(T.short_id("", F.col("norm")).alias("clause_id"), "members", "documents", "sources", "first_doc")
+    """Exact clause dedup: hash id, counts, set of sources, first document and its context, the clause's first place."""
+    return dedup.clause_groups(read(spark, sf, "documents"), "doc_id", "text", "source")
 
 
 @query(
@@ -41,8 +37,7 @@ FROM d GROUP BY norm"""
 )
 def exact_text_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Passage dedup on normalised text with set union of tags and the first row kept."""
-    found = dedup.exact(read(spark, sf, "documents"), T.normalise(F.col("text")), ["doc_id"], {"sources": "source"}, ["doc_id"])
-    return found.select(F.sha2("_key", 256).alias("digest"), "members", "sources", "first_doc_id")
+    return dedup.exact(read(spark, sf, "documents"), T.normalise(F.col("text")), ["doc_id"], {"sources": "source"}, ["doc_id"])
 
 
 @query(
@@ -51,40 +46,41 @@ SELECT count(*)::BIGINT AS passages, count(DISTINCT norm)::BIGINT AS kept, (coun
 )
 def dedup_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Counters of a dedup pass."""
-    found = dedup.exact(read(spark, sf, "documents"), F.sha2(T.normalise(F.col("text")), 256), ["doc_id"], {}, [])
+    found = dedup.exact(read(spark, sf, "documents"), T.normalise(F.col("text")), ["doc_id"], {}, [])
     return found.agg(F.sum("members").alias("passages"), F.count("*").alias("kept"), F.sum(F.col("members") - 1).alias("removed"))
 
 
 @query(
     "WITH " + SENT + """
-SELECT doc_id, position::BIGINT AS position, 'C' || lpad(position::VARCHAR, 3, '0') AS clause_no,
+SELECT doc_id, position::BIGINT AS position, 'C' || lpad(position::VARCHAR, greatest(3, length(position::VARCHAR))::INT, '0') AS clause_no,
        CASE WHEN lag(clause) OVER w IS NOT NULL AND length(lag(clause) OVER w) <= 12 THEN lag(clause) OVER w || ' ' || clause ELSE clause END AS carried
 FROM clauses WINDOW w AS (PARTITION BY doc_id ORDER BY position)"""
 )
 def caption_carry(spark: SparkSession, sf: str) -> DataFrame:
-    """Clause numbers; a clause that is only a short label is carried into the next one."""
-    rows = dedup.clauses(read(spark, sf, "documents"), "doc_id", "text")
-    before = F.lag("clause").over(Window.partitionBy("doc_id").orderBy("position"))
-    carried = F.when(before.isNotNull() & (F.length(before) <= 12), F.concat(before, F.lit(" "), "clause")).otherwise(F.col("clause"))
-    no = F.concat(F.lit("C"), F.when(F.col("position") > 999, F.substring(F.col("position").cast("string"), 1, 3)).otherwise(F.lpad(F.col("position").cast("string"), 3, "0")))
-    return rows.select("doc_id", F.col("position").cast("long").alias("position"), no.alias("clause_no"), carried.alias("carried"))
+    """Clause numbers; a clause that is only a short label is carried into the next one, all inside the row."""
+    rows = read(spark, sf, "documents").select("doc_id", F.inline(F.array(F.struct(T.sentences(F.col("text")).alias("s")))))
+    carried = F.expr("transform(s, (x, i) -> if(i > 0 and length(get(s, i - 1)) <= 12, concat(s[i - 1], ' ', x), x))")
+    rows = rows.select("doc_id", F.posexplode(carried).alias("i", "carried")).withColumn("position", (F.col("i") + 1).cast("long"))
+    return rows.select("doc_id", "position", T.numbered("C", F.col("position")).alias("clause_no"), "carried")
 
 
 @query(
     "WITH " + SENT + """, t AS (
   SELECT doc_id, position, list_filter(list_distinct(regexp_extract_all(lower(clause), '[a-z0-9]+')), lambda x: length(x) >= 4) AS terms FROM clauses),
-p AS (SELECT doc_id, position, terms, lag(terms) OVER (PARTITION BY doc_id ORDER BY position) AS prev FROM t)
-SELECT doc_id, count(*)::BIGINT AS clauses,
-       count(*) FILTER (len(list_intersect(terms, prev)) >= 2 AND len(list_intersect(terms, prev)) * 2 >= least(len(terms), len(prev)))::BIGINT AS related
-FROM p GROUP BY doc_id"""
+p AS (SELECT doc_id, position, terms, lag(terms) OVER (PARTITION BY doc_id ORDER BY position) AS prev FROM t),
+r AS (SELECT doc_id, position, coalesce(len(list_intersect(terms, prev)) >= 2 AND len(list_intersect(terms, prev)) * 2 >= least(len(terms), len(prev)), false) AS before FROM p),
+n AS (SELECT *, coalesce(lead(before) OVER (PARTITION BY doc_id ORDER BY position), false) AS after FROM r)
+SELECT doc_id, count(*)::BIGINT AS clauses, count(*) FILTER (before)::BIGINT AS related, count(*) FILTER (NOT before AND NOT after)::BIGINT AS alone FROM n GROUP BY doc_id"""
 )
 def context_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Adjacent sentences that travel together: two shared terms and half of the smaller set."""
-    rows = dedup.clauses(read(spark, sf, "documents"), "doc_id", "text").withColumn("terms", T.tokens(F.col("clause"), 4))
-    rows = rows.withColumn("prev", F.lag("terms").over(Window.partitionBy("doc_id").orderBy("position")))
-    shared = F.size(F.array_intersect("terms", "prev"))
-    related = (shared >= 2) & (shared * 2 >= F.least(F.size("terms"), F.size("prev")))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("clauses"), F.count_if(F.coalesce(related, F.lit(False))).alias("related"))
+    """Adjacent sentences that travel together: two shared terms and half of the smaller set; looked at inside the row."""
+    rows = read(spark, sf, "documents").select("doc_id", F.inline(F.array(F.struct(F.transform(T.sentences(F.col("text")), lambda s: T.tokens(s, 4)).alias("t")))))
+    rows = rows.where(F.size("t") > 0)
+    shared = "size(array_intersect(t[i], t[i + 1]))"
+    related = F.expr(f"if(size(t) < 2, cast(array() as array<boolean>), transform(sequence(0, size(t) - 2), i -> {shared} >= 2 and {shared} * 2 >= least(size(t[i]), size(t[i + 1]))))")
+    rows = rows.select("doc_id", F.size("t").cast("long").alias("clauses"), F.inline(F.array(F.struct(related.alias("r")))))
+    alone = F.expr("size(filter(sequence(0, cast(clauses as int) - 1), i -> not coalesce(get(r, i), false) and not coalesce(get(r, i - 1), false)))")
+    return rows.select("doc_id", "clauses", F.size(F.filter("r", lambda x: x)).cast("long").alias("related"), alone.cast("long").alias("alone"))
 
 
 SIGNALS = {"quantity": "[0-9]", "contact": "@", "heading": "(^|\\n)[A-Z][a-z]+[.]", "license": "licen[sc]e", "junk": "[*#$%&]{3}"}

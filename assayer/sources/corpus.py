@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,32 +42,64 @@ def manifest_problems(manifest: Mapping, required: Sequence[str]) -> list[str]:
     return problems
 
 
-@dataclass(frozen=True)
-class Flag:
-    name: str
-    default: bool
-    variables: tuple[str, ...] = ()
-    aliases: tuple[str, ...] = ()
+#: What counts as on and off, in any case.
+SWITCH = dict.fromkeys(("1", "true", "yes", "on"), True) | dict.fromkeys(("0", "false", "no", "off"), False)
 
 
-_TRUE, _FALSE = {"1", "true", "yes", "on"}, {"0", "false", "no", "off"}
+def switch(value: object) -> bool | None:
+    """On, off, or None for a blank; anything else is an error."""
+    word = str(value).strip().lower() if value is not None else ""
+    if word and word not in SWITCH:
+        raise ValueError(f"neither on nor off: {value!r}")
+    return SWITCH.get(word)
 
 
-def enabled(flags: Sequence[Flag], name: str, default: bool | None = None, env: Mapping[str, str] | None = None) -> bool:
-    """The first environment variable that is set and not blank decides, else the flag's own default.
+class Flags:
+    """Feature flags as layers of settings, of which the first that says anything about a flag decides.
 
-    ``default`` counts for unregistered names only; without it they are an error.
+    Layers, in order: the environment (a flag's variable, then its aliases' variables), a settings file, and the
+    defaults.  A layer is a mapping from names to values; blank values say nothing.  ``registry`` maps a flag's name to
+    its default; ``variables`` maps variables to flags, in the order in which they count.
     """
-    env = os.environ if env is None else env
-    flag = next((f for f in flags if name == f.name or name in f.aliases), None)
-    if flag is None:
-        if default is None:
+
+    def __init__(self, registry: Mapping[str, bool], variables: Sequence[tuple[str, str]] = (), file: Mapping[str, object] | None = None):
+        self.registry, self.variables, self.file = dict(registry), tuple(variables), dict(file or {})
+        unknown = ({flag for _, flag in self.variables} | set(self.file)) - set(self.registry)
+        if unknown:
+            raise KeyError(f"unknown flags {sorted(unknown)}")
+
+    def resolve(self, name: str, env: Mapping[str, str] | None = None) -> tuple[bool, str]:
+        """(value, layer that decided)."""
+        if name not in self.registry:
             raise KeyError(name)
-        return default
-    for variable in flag.variables:
-        value = env.get(variable, "").strip().lower()
-        if value in _TRUE | _FALSE:
-            return value in _TRUE
-        if value:
-            raise ValueError(f"{variable}={value}")
-    return flag.default
+        env = os.environ if env is None else env
+        said = [("environment", env.get(variable)) for variable, flag in self.variables if flag == name]
+        said += [("file", self.file.get(name)), ("default", self.registry[name])]
+        return next((value, layer) for layer, raw in said if (value := switch(raw)) is not None)
+
+    def contract(self, choices: Sequence[tuple[str, str]], otherwise: str, env: Mapping[str, str] | None = None) -> str:
+        """The contract of the first (flag, contract) whose flag is on."""
+        return next((contract for flag, contract in choices if self.resolve(flag, env)[0]), otherwise)
+
+
+def settings(text: str) -> dict[str, str]:
+    """Name and value of each ``name: value`` line of a settings file; comments and blank lines are skipped."""
+    found = {}
+    for line in text.splitlines():
+        name, colon, value = line.partition("#")[0].partition(":")
+        if colon and name.strip():
+            found[name.strip()] = value.strip().strip("\"'")
+    return found
+
+
+def workloads(states: DataFrame, asked: DataFrame) -> DataFrame:
+    """(workload, action, archived): what becomes of a request to submit a workload again.
+
+    states: workload, seq, status, completed.  Its last state decides: without one it is submitted; a failed one, or one
+    that completed nothing, is archived first; any other is active, and the request is refused.
+    """
+    last = states.groupBy("workload").agg(F.max_by(F.struct("seq", "status", "completed"), "seq").alias("s"))
+    rows = asked.select("workload").distinct().join(last, "workload", "left")
+    spent = (F.col("s.status") == "failed") | ((F.col("s.status") == "completed") & (F.coalesce("s.completed", F.lit(0)) == 0))
+    action = F.when(F.col("s").isNull(), "submit").when(F.coalesce(spent, F.lit(False)), "archive_and_submit").otherwise("refuse")
+    return rows.select("workload", action.alias("action"), F.when(action == "archive_and_submit", F.col("s.seq")).alias("archived"))

@@ -23,3 +23,42 @@ def converge(existing: DataFrame, proposed: DataFrame, keys: list[str], columns:
 def rebuild(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Partial rebuild: keys that were built anew replace the old ones, the others stay."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def images(rows: DataFrame, payload: str, ref: str, recorded: str) -> DataFrame:
+    """Adds ``bytes``, ``digest``, ``file`` and ``state``: saved, changed (the digest isn't the recorded one) or skipped.
+
+    ``file`` is the last part of the reference, so no path leads out of the folder.  Payloads that aren't base64 or
+    decode to nothing are skipped.
+    """
+    data = F.try_to_binary(F.col(payload), F.lit("base64"))
+    rows = rows.withColumn("bytes", F.when(F.length(data) > 0, data))
+    rows = rows.withColumn("digest", F.sha2("bytes", 256)).withColumn("file", F.element_at(F.split(ref, r"[/\\\\]"), -1))
+    state = F.when(F.col("bytes").isNull(), "skipped").when(F.col("digest") != F.col(recorded), "changed").otherwise("saved")
+    return rows.withColumn("state", state)
+
+
+class Refused(Exception):
+    """A write that would change rows which must not change."""
+
+
+def converge_or_refuse(existing: DataFrame, proposed: DataFrame, keys: list[str], columns: list[str], replace: bool = False, version: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(table, ledger) after a convergent write, or ``Refused`` if a row would change and neither way is allowed.
+
+    ``replace`` overwrites changed rows; ``version`` keeps them with their old ``version`` number in the ledger and
+    writes the new ones with the next.  Proposed rows that are there already change nothing.
+    """
+    found = converge(existing, proposed, keys, columns, replace, version)
+    refused = found.where("status = 'refused'").limit(1).collect()
+    if refused:
+        raise Refused(", ".join(f"{k}={refused[0][k]}" for k in keys))
+    if "version" not in existing.columns:
+        existing = existing.withColumn("version", F.lit(1))
+    old = existing.groupBy(*keys).agg(F.max("version").alias("_version"))
+    written = found.where("status <> 'unchanged'").join(old, keys, "left")
+    number = F.when(F.col("status") == "versioned", F.col("_version") + 1).otherwise(F.coalesce("_version", F.lit(1)))
+    written = written.withColumn("version", number)
+    gone = written.where("status in ('replaced', 'versioned')").select(*keys)
+    table = existing.join(gone, keys, "left_anti").unionByName(written.select(*existing.columns))
+    ledger = existing.join(written.where("status = 'versioned'").select(*keys), keys, "left_semi").withColumn("superseded", F.lit(True))
+    return table, ledger

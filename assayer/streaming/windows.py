@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 
 def _timed(rows: DataFrame, late: str) -> DataFrame:
@@ -46,3 +47,38 @@ def idempotent(write: Callable[[DataFrame, str], None], folder: str) -> Callable
 
 def overwrite(batch: DataFrame, path: str) -> None:
     batch.write.mode("overwrite").parquet(path)
+
+
+class Progress(StreamingQueryListener):
+    """Keeps what running queries report: one entry per batch, and how each query ended.  A failure is noted, not raised."""
+
+    def __init__(self) -> None:
+        self.batches: list[dict] = []
+        self.ended: dict[str, str | None] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.ended.pop(str(event.id), None)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.batches.append({"query": str(p.id), "name": p.name, "batch": p.batchId, "rows": p.numInputRows})
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended[str(event.id)] = event.exception
+
+
+def drained(stream: DataFrame, write: Callable[[DataFrame, str], None], folder: str, mode: str = "append", name: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there now and gives back what the batches wrote.
+
+    Batches go to paths of their own below ``folder``, offsets to its checkpoint, so a run that is started again goes on
+    where it stopped and writes no batch twice.  In ``complete`` mode the last batch holds everything.
+    """
+    sink = stream.writeStream.outputMode(mode).foreachBatch(idempotent(write, f"{folder}/batches")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    (sink.queryName(name) if name else sink).start().awaitTermination()
+    rows = stream.sparkSession.read.option("basePath", f"{folder}/batches").parquet(f"{folder}/batches")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")

@@ -201,16 +201,17 @@ def test_streams(spark, tmp_path, sf):
     assert windows.sessions(spark.read.parquet(source)).agg(F.sum("events")).first()[0] == spark.read.parquet(source).count()
 
 
-def test_structured_elements():
+def test_structured_elements(spark):
     page = {"pages": [{"page_id": 0, "others": ["7"], "content": [
         {"type": "heading", "text": "A", "heading_level": 1}, {"type": "text", "text": "one"}, {"type": "text", "text": "one"}, {"type": "heading", "text": "B", "heading_level": 2},
         {"type": "table", "text": "<table><tr><td>x</td><td>1</td></tr></table>", "text_format": "html", "annotations": [{"text": "Table 1"}]},
         {"type": "heading", "text": "C", "heading_level": 1}, {"type": "image", "annotations": [{"text": "Figure 1"}]}]}]}
-    assert parse.elements(json.dumps(page), "S") == [
+    rows = spark.createDataFrame([("d", json.dumps(page)), ("none", None), ("broken", "[1"), ("list", "[]")], "k string, j string")
+    blocks = parse.element_blocks(rows, "k", "j", "S").orderBy("block_no").collect()
+    assert [(r["block_type"], r["section_path"], r["text"]) for r in blocks] == [
         ("heading", "S", "A"), ("paragraph", "S > A", "one"), ("heading", "S > A", "B"), ("table", "S > A > B", "x | 1"), ("table_row", "S > A > B", "x | 1"),
         ("caption", "S > A > B", "Table 1"), ("heading", "S", "C"), ("figure", "S > C", "Figure 1"),
     ]
-    assert parse.elements(None) == [] and parse.elements("[1") == [] and parse.elements("[]") == []
 
 
 def test_degradation_and_ledger(spark):
@@ -226,11 +227,10 @@ def test_degradation_and_ledger(spark):
 def test_manifest_flags_and_schemas():
     assert corpus.manifest_problems({"queries": {"a": "x"}, "page_size": 10}, ["queries", "page_size"]) == []
     assert corpus.manifest_problems({"queries": {"a": " "}, "page_size": 0, "zz": 1}, ["queries", "page_size", "cap"]) == ["missing cap", "unknown zz", "empty query a", "page_size is not positive"]
-    flags = [corpus.Flag("ids", False, ("IDS", "OLD_IDS"), ("P0-a",))]
-    assert not corpus.enabled(flags, "ids", env={}) and corpus.enabled(flags, "P0-a", env={"OLD_IDS": "on"}) and not corpus.enabled(flags, "ids", env={"IDS": "0", "OLD_IDS": "1"})
-    assert corpus.enabled(flags, "other", default=True, env={})
+    flags = corpus.Flags({"ids": False}, [("IDS", "ids"), ("OLD_IDS", "ids")])
+    assert not flags.resolve("ids", {})[0] and flags.resolve("ids", {"OLD_IDS": "on"})[0] and not flags.resolve("ids", {"IDS": "0", "OLD_IDS": "1"})[0]
     with pytest.raises(KeyError):
-        corpus.enabled(flags, "other", env={})
+        flags.resolve("other", {})
     with pytest.raises(ValueError):
-        corpus.enabled(flags, "ids", env={"IDS": "maybe"})
+        flags.resolve("ids", {"IDS": "maybe"})
     assert all(T.StructType.fromJson(json.loads(s)) == schemas.ALL[n] for n, s in schemas.export().items())
