@@ -14,7 +14,9 @@ whatever their names (``redact`` replaces the text column alone).
 
 from __future__ import annotations
 
+import hashlib
 import math
+import string
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -146,65 +148,93 @@ def features(x: Column, transitions: Sequence[float], dictionary: Sequence[str]
     return F.struct(*[c.cast("double").alias(k) for k, c in found.items()])
 
 
-def example_findings(spark: SparkSession, rows: int = 12000) -> DataFrame:
-    """Labelled findings (shape, value, before, after, path, y), made from digests of running numbers.
+class _Draw:
+    """Choices that the digest of a name and a running number decides."""
+
+    def __init__(self, name: str):
+        self.name, self.n = name, 0
+
+    def bits(self) -> int:
+        self.n += 1
+        return int.from_bytes(hashlib.sha256(f"{self.name}:{self.n}".encode()).digest(), "big")
+
+    def pick(self, choices: Sequence[str]) -> str:
+        return choices[self.bits() % len(choices)]
+
+    def run(self, letters: str, least: int, most: int | None = None) -> str:
+        bits, n = self.bits(), least + self.bits() % ((most or least) - least + 1)
+        out = []
+        for _ in range(n):
+            bits, i = divmod(bits, len(letters)) if bits > 1 << 16 else divmod(self.bits(), len(letters))
+            out.append(letters[i])
+        return "".join(out)
+
+
+def _shapes(x: _Draw) -> list[tuple[str, str, int]]:
+    """(what stands before, value, whether it is a secret) of one finding of every shape."""
+    named, said, bare, others, counted, places = "named", "said", "bare", "others", "counted", "places"
+    hex_, low, digits, up32 = "0123456789abcdef", string.ascii_lowercase, string.digits, string.ascii_uppercase + "234567"
+    mixed = string.ascii_letters + digits
+    run, noun, word, prose = x.run, lambda: x.pick(NOUNS), lambda: x.pick(DICTIONARY), lambda: x.pick(PROSE)
+    uuid = lambda: "-".join(run(hex_, n) for n in (8, 4, 4, 4, 12))
+    return [
+        # Keys and pass words after a naming word.
+        (named, run(hex_, 16, 20), 1), (named, run(hex_, 32), 1), (named, run(hex_, 40), 1), (named, run(hex_, 64), 1), (named, uuid(), 1),
+        (named, run(mixed, 20, 28), 1), (named, run(mixed, 30, 44), 1), (named, run(mixed, 40, 42) + "==", 1), (named, run(mixed, 8, 12), 1), (named, run(up32, 16, 32), 1),
+        (named, run(low, 4, 10) + run(digits, 2), 1), (named, run(low, 8, 14), 1), (named, run(low, 16, 32), 1), (named, run(low, 7, 12).capitalize(), 1), (named, run(low, 4, 7) + "_" + run(low, 4, 7), 1),
+        (named, "".join(noun().capitalize() for _ in range(4)), 1), (named, noun() + noun() + noun(), 1), (named, "-".join([noun(), noun(), noun(), run(digits, 2)]), 1),
+        (named, "_".join([noun(), noun(), run(digits, 2)]), 1), (named, ".".join([noun(), noun(), run(digits, 2)]), 1), (named, noun() + run(digits, 1, 3), 1), (named, noun().capitalize() + run(digits, 2) + "!", 1),
+        (named, "P@" + run(low, 4, 9) + "!" + run(digits, 2), 1), (named, run(mixed, 4, 8) + "#$" + run(low, 3, 8), 1), (named, "Tr0ub" + run(low, 2, 5) + "&" + run(digits, 1), 1),
+        (named, "eyJ" + ".".join(run(mixed, 8, 30) for _ in range(3)), 1), (named, ".".join(run(mixed, 3, 6) for _ in range(3)), 1), (named, "-".join(run(up32, 4) for _ in range(3)), 1), (named, "sk_live_" + run(mixed, 20, 24), 1),
+        (said, run(low, 4, 9) + run(digits, 2), 1), (said, noun() + run(digits, 2), 1),
+        # Known keys, wherever they stand.
+        (x.pick((bare, named)), "AKIA" + run(up32, 16), 1), (x.pick((bare, others)), "AKIA" + run(string.ascii_uppercase, 16), 1), (x.pick((bare, said)), "ghp_" + run(mixed, 36), 1),
+        (x.pick((bare, named)), "sk-" + run(mixed, 32), 1), (bare, "xoxb-" + run(digits, 11) + "-" + run(mixed, 20, 24), 1),
+        # Numbers, checksums, identifiers, pages and files.
+        (counted, run(digits, 16), 0), (counted, "+1-555-" + run(digits, 8), 0), (x.pick((bare, counted)), run(digits, 13), 0), (counted, "978-" + run(digits, 9) + "-" + run(digits, 1), 0),
+        (others, run(hex_, 40), 0), (others, run(hex_, 32), 0), (others, run(hex_, 64), 0), (others, uuid(), 0), (x.pick((bare, others)), "2024-" + run(digits, 2) + "-" + run(hex_, 6, 8), 0),
+        (places, "-".join([word(), run(digits, 1, 5), "section"]), 0), (places, "image_" + run(digits, 8), 0), (places, word() + "/page" + run(digits, 1, 5) + "/" + word(), 0),
+        (places, "release-version-" + run(digits, 1, 5), 0), (places, "-".join([noun(), noun(), noun(), run(digits, 1, 5)]), 0), (places, "_".join([noun(), word(), run(digits, 2), "final"]), 0),
+        # Placeholders, prose, references and masks after a naming word.
+        (named, "example_token_" + run(digits, 1, 5), 0), (named, "your_password_" + run(digits, 1, 5), 0), (named, "changeme" + run(digits, 1, 3), 0), (named, word() + "_" + word(), 0), (named, word(), 0),
+        (said, prose(), 0), (named, prose(), 0), (said, noun(), 0), (said, "".join(run("bcdfglmnprst", 1) + run("aeiou", 1) for _ in range(2 + x.bits() % 3)), 0), ("called", noun(), 0),
+        (named, "$(" + noun().upper() + ")", 0), (named, "[" + run(low, 4, 10).upper() + "]", 0), (named, "${" + run(low, 4, 10).upper() + "}", 0), (named, "<" + word() + "_" + run(low, 3, 8) + ">", 0),
+        (named, "%(" + noun() + ")s", 0), (named, "*" * (4 + x.bits() % 9), 0), (named, "x" * (4 + x.bits() % 9), 0), (named, "{{" + noun() + "}}", 0),
+    ]
+
+
+#: What stands before a finding, by kind.
+_BEFORE = {
+    "named": ("with password=", 'see token = "', "api_key: ", "the secret = '", "auth_token=", "pwd=", "passwd: ", "DB_PASSWORD=", 'set "secret_key": "', "access_key = ", "password: ", "secret: ",
+              "export API_TOKEN=", "credential: ", "the passphrase: "),
+    "said": ("my password is ", "the secret is ", "the key is ", "his token is "),
+    "called": ("the key: ", "The secret: ", "a token: "),
+    "bare": ("and some other words ", "the key was ", "we saw ", "", "then came\n"),
+    "others": ("in commit ", "md5: ", "sha256 ", "checksum: ", "build ", "version: ", "uuid ", "order id: ", "invoice ", "page "),
+    "counted": ("and paid by card ", "some other words ", "call phone ", "order ", "isbn ", "account ", "tel: ", "id "),
+    "places": ("https://www.site.org/", "read /", "the file ", "and then ", "see http://host/a/", "import ", "in "),
+}
+_ENDS, _MORE = ("\n", "", '"', " and", ".", "'", ", then"), (" and", " of the", "", ".", " to all", "\n")
+_SECRET_PATHS, _OTHER_PATHS = ("", "", "src/app.py", "config/settings.yml", ".env"), ("", "", "src/app.py", "docs/readme.md", "tests/test_login.py")
+
+
+def example_findings(spark: SparkSession, each: int = 100) -> DataFrame:
+    """Labelled findings (shape, value, before, after, path, y): ``each`` of every shape, drawn by digests.
 
     A shape fixes how a value is built; what stands around it, and its path, are drawn from lists.  Keys come after
     naming words, known keys anywhere; what scanners mistake for keys comes after other words (numbers, checksums,
     identifiers, page and file names) and after naming words too (prose, placeholders, references, masks).
     """
-    df = spark.range(0, rows, 1, 1).withColumn("d", F.sha2(F.col("id").cast("string"), 256)).withColumn("e", F.sha2(F.concat("d", F.lit("e")), 256))
-    df = df.withColumn("u", F.upper(F.translate(F.col("d"), "0123456789", "GHJKLMN234")))
-    df = df.withColumn("m", F.regexp_replace(F.base64(F.unhex(F.concat("d", "e"))), "[+/=]", ""))
-    df = df.withColumn("l", F.concat(F.translate("d", "0123456789", "ghijklmnop"), F.translate("e", "0123456789", "qrstuvwxyz")))
-    pick = lambda choices, salt: F.element_at(F.array(*map(F.lit, choices)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(choices))) + 1).cast("int"))
-    cut = lambda column, least, most, salt=0, first=1: F.substring(column, F.lit(first), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(most - least + 1)) + least).cast("int"))
-    n, number = F.col("id").cast("string"), F.conv(F.substring("e", 1, 12), 16, 10)
-    few = F.substring(number, 1, 2)
-    word, prose, noun = (lambda salt: pick(DICTIONARY, salt)), (lambda salt: pick(PROSE, salt)), (lambda salt: pick(NOUNS, salt))
-    uuid = F.concat_ws("-", F.substring("d", 1, 8), F.substring("d", 9, 4), F.substring("d", 13, 4), F.substring("d", 17, 12))
-    named = ["with password=", 'see token = "', "api_key: ", "the secret = '", "auth_token=", "pwd=", "passwd: ", "DB_PASSWORD=", 'set "secret_key": "', "access_key = ", "password: ", "secret: ", "export API_TOKEN=", "credential: ", "the passphrase: "]
-    said = ["my password is ", "the secret is ", "the key is ", "his token is "]
-    bare = ["and some other words ", "the key was ", "we saw ", "", "then came\n"]
-    others = ["in commit ", "md5: ", "sha256 ", "checksum: ", "build ", "version: ", "uuid ", "order id: ", "invoice ", "page "]
-    counted = ["and paid by card ", "some other words ", "call phone ", "order ", "isbn ", "account ", "tel: ", "id "]
-    places = ["https://www.site.org/", "read /", "the file ", "and then ", "see http://host/a/", "import ", "in "]
-    ends, more = ["\n", "", '"', " and", ".", "'", ", then"], [" and", " of the", "", ".", " to all", "\n"]
-    real, unreal = ["", "", "src/app.py", "config/settings.yml", ".env"], ["", "", "src/app.py", "docs/readme.md", "tests/test_login.py"]
-    kinds = [
-        (named, cut("d", 16, 20), 1), (named, F.substring("d", 1, 32), 1), (named, F.substring("e", 1, 40), 1), (named, F.col("d"), 1),
-        (named, cut("m", 20, 28), 1), (named, cut("m", 30, 44), 1), (named, F.concat(cut("m", 40, 42), F.lit("==")), 1),
-        (named, F.concat(cut("l", 4, 10), few), 1), (named, cut("l", 8, 14), 1), (named, cut("l", 16, 32), 1), (named, cut("m", 8, 12), 1),
-        (named, F.concat(F.initcap(noun(1)), F.initcap(noun(2)), F.initcap(noun(3)), F.initcap(noun(4))), 1), (named, F.concat(noun(1), noun(2), noun(3)), 1),
-        (named, F.concat_ws("-", noun(1), noun(2), noun(3), few), 1), (named, F.concat(noun(1), F.substring(number, 1, 1)), 1), (named, F.concat(F.initcap(noun(1)), few, F.lit("!")), 1),
-        (named, F.concat(F.lit("P@"), cut("l", 4, 9), F.lit("!"), few), 1), (named, F.concat(cut("m", 4, 8), F.lit("#$"), cut("l", 3, 8, 1, 20)), 1), (named, F.concat(F.lit("Tr0ub"), cut("l", 2, 5), F.lit("&"), few), 1),
-        (named, F.concat(F.lit("eyJ"), cut("m", 8, 30), F.lit("."), cut("m", 8, 30, 1, 20), F.lit("."), cut("m", 8, 20, 2, 40)), 1), (named, F.concat_ws(".", cut("m", 3, 6), cut("m", 3, 6, 1, 9), cut("m", 3, 6, 2, 15)), 1),
-        (named, F.initcap(cut("l", 7, 12)), 1), (named, F.concat_ws("_", cut("l", 4, 7), cut("l", 4, 7, 1, 20)), 1), (named, F.concat_ws("_", noun(1), noun(2), few), 1), (named, F.concat_ws(".", noun(1), noun(2), few), 1),
-        (named, uuid, 1), (named, cut("u", 16, 32), 1), (named, F.concat(F.lit("sk_live_"), cut("m", 20, 24)), 1), (named, F.concat_ws("-", cut("u", 4, 4), cut("u", 4, 4, 1, 9), cut("u", 4, 4, 2, 15)), 1),
-        (said, F.concat(cut("l", 4, 9), few), 1), (said, F.concat(noun(1), few), 1),
-        (bare + named, F.concat(F.lit("AKIA"), F.substring("u", 1, 16)), 1), (bare + others, F.concat(F.lit("AKIA"), F.translate(F.substring("u", 1, 16), "234", "XYZ")), 1),
-        (bare + said, F.concat(F.lit("ghp_"), F.substring("m", 1, 36)), 1), (bare + ["Bearer "], F.concat(F.lit("sk-"), F.substring("m", 1, 32)), 1), (bare, F.concat(F.lit("xoxb-"), F.substring(number, 1, 11), F.lit("-"), cut("m", 20, 24)), 1),
-        (counted, F.rpad(number, 16, "7"), 0), (counted, F.concat(F.lit("+1-555-"), F.rpad(number, 8, "1")), 0), (bare[:1] + counted, F.rpad(number, 13, "4"), 0), (counted, F.concat_ws("-", F.lit("978"), F.substring(number, 1, 9), F.lit("1")), 0),
-        (others, F.substring("d", 1, 40), 0), (others, F.substring("d", 1, 32), 0), (others, F.col("d"), 0), (others, uuid, 0), (bare[:1] + others, F.concat(F.lit("2024-"), F.substring(number, 1, 2), F.lit("-"), cut("d", 6, 8)), 0),
-        (places, F.concat_ws("-", word(1), n, F.lit("section")), 0), (places, F.concat(F.lit("image_"), F.lpad(n, 8, "0")), 0), (places, F.concat(word(1), F.lit("/page"), n, F.lit("/"), word(2)), 0),
-        (places, F.concat(F.lit("release-version-"), n), 0), (places, F.concat_ws("-", noun(1), noun(2), noun(3), n), 0), (places, F.concat_ws("_", noun(1), word(2), few, F.lit("final")), 0),
-        (named, F.concat(F.lit("example_token_"), n), 0), (named, F.concat(F.lit("your_password_"), n), 0), (named, F.concat(F.lit("changeme"), F.substring(n, 1, 3)), 0), (named, F.concat(word(1), F.lit("_"), word(2)), 0), (named, word(1), 0),
-        (said, prose(1), 0), (named, prose(1), 0), (said, noun(1), 0), (said, cut("l", 4, 10), 0), (["the key: ", "The secret: ", "a token: "], noun(1), 0),
-        (named, F.concat(F.lit("$("), F.upper(noun(1)), F.lit(")")), 0), (named, F.concat(F.lit("["), F.upper(cut("l", 4, 10)), F.lit("]")), 0),
-        (named, F.concat(F.lit("${"), F.upper(cut("l", 4, 10)), F.lit("}")), 0), (named, F.concat(F.lit("<"), word(1), F.lit("_"), cut("l", 3, 8), F.lit(">")), 0), (named, F.concat(F.lit("%("), noun(1), F.lit(")s")), 0),
-        (named, F.expr("repeat('*', cast(id % 9 + 4 as int))"), 0), (named, F.expr("repeat('x', cast(id % 9 + 4 as int))"), 0), (named, F.concat(F.lit("{{"), noun(1), F.lit("}}")), 0),
-    ]
-    row = F.lit(None)
-    for i, (before, value, y) in enumerate(kinds):
-        part = F.struct(
-            F.lit(i).alias("shape"), value.alias("value"), pick(before, 11).alias("before"), pick(ends if y or before is named else more, 12).alias("after"),
-            pick(real if y else unreal, 13).alias("path"), F.lit(y).alias("y"),
-        )
-        row = F.when(F.col("id") % len(kinds) == i, part).otherwise(row)
-    return df.select(row.alias("x")).select("x.*")
+    rows = []
+    for i in range(each):
+        x = _Draw(f"finding {i}")
+        for shape, (kind, value, y) in enumerate(_shapes(x)):
+            ends = _ENDS if y or kind == "named" else _MORE
+            rows.append((shape, value, x.pick(_BEFORE[kind]), x.pick(ends), x.pick(_SECRET_PATHS if y else _OTHER_PATHS), y))
+    return spark.createDataFrame(rows, "shape int, value string, before string, after string, path string, y int")
 
 
-def train(findings: DataFrame, trees: int = 20, depth: int = 7, seed: int = 7) -> Forest:
+def train(findings: DataFrame, trees: int = 16, depth: int = 7, seed: int = 7) -> Forest:
     """Transitions' log odds and the forest, whose value is the mean of its trees' shares of true secrets."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
