@@ -15,9 +15,13 @@ once per id and code.  Empty tables give empty results; other columns are not re
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.sources.folders import Cuts
+
 #: Bits of a segment: near the logarithm of the number of codes, and a divisor of 64.
 WIDE, NARROW, FEW_CODES = 16, 8, 4096
 
@@ -63,8 +67,9 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "ve
 
     asked = coded(queries)
     pending = asked.select("code").distinct().select(F.col("code").alias("q"), F.lit(None).cast("int").alias("bound")).checkpoint()
-    found = ids.sparkSession.createDataFrame([], "q array<bigint>, code array<bigint>, far int")
-    done = found
+    spark = ids.sparkSession
+    found, done = spark.createDataFrame([], "q array<bigint>, code array<bigint>, far int"), []
+    near_, state_, done_ = Cuts(spark, "near"), Cuts(spark, "state"), Cuts(spark, "done")
     for radius in range(bits + 1):
         probe = pending.select("q", "bound", F.explode(segments_of("q", segments, bits)).alias("x"))
         probe = probe.select("q", "bound", F.col("x.segment").alias("segment"), F.explode(F.transform(F.lit(masks(radius, bits)), lambda m: F.col("x.value").bitwiseXOR(m))).alias("value"))
@@ -77,17 +82,20 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "ve
         # The codes up to the distance at which k + 1 ids are reached.
         reached = Window.partitionBy("q")
         sized = sized.withColumn("kth", F.min(F.when(F.col("upto") >= k + 1, F.col("far"))).over(reached))
-        found = sized.where("kth is null or far <= kth").select("q", "code", "far", "kth").checkpoint()
+        found = sized.where("kth is null or far <= kth").select("q", "code", "far", "kth")
+        found = near_(found)
         state = pending.join(found.groupBy("q").agg(F.max("kth").alias("kth")), "q", "left")
         last = radius == bits
         covered = F.lit(True) if last else F.coalesce(F.col("kth") < segments * (radius + 1), F.lit(False))
-        settled = state.withColumn("over", covered).select("q", "kth", "over").checkpoint()
-        done = done.unionByName(found.join(settled.where("over").select("q"), "q").select("q", "code", "far")).checkpoint()
-        pending = settled.where("not over").select("q", F.col("kth").alias("bound")).checkpoint()
+        settled = state_(state.withColumn("over", covered).select("q", "kth", "over"))
+        done.append(done_(found.join(settled.where("over").select("q"), "q").select("q", "code", "far")))
+        pending = settled.where("not over").select("q", F.col("kth").alias("bound"))
+        near_.keep(1)
+        state_.keep(1)
         found = found.join(pending.select("q"), "q").select("q", "code", "far")
         if pending.isEmpty():
             break
-    rows = asked.select(F.col("id").alias("query_id"), F.col("code").alias("q")).distinct().join(done, "q").join(ids.select("code", "id"), "code").where("id <> query_id")
+    rows = asked.select(F.col("id").alias("query_id"), F.col("code").alias("q")).distinct().join(reduce(DataFrame.unionByName, done), "q").join(ids.select("code", "id"), "code").where("id <> query_id")
     ranked = Window.partitionBy("query_id").orderBy("far", "id")
     rows = rows.select("query_id", "id", "far").distinct().withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     return rows.select("query_id", "rank", F.col("id").alias("neighbour_id"), F.col("far").cast("long").alias("distance"))

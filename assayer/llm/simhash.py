@@ -33,12 +33,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.common import BLANK_RUN, BLANKS, BROADCAST_ROWS, rows_of, small
+from assayer.sources.folders import Cuts
 
 SEED, RADIUS = 42, 2
 #: Rows of a shard of buckets, and of a bucket before it is divided once more.
 SHARD_ROWS, BUCKET_ROWS = 100_000, 20_000
 #: Copies of a component's smallest id where components are too many to be broadcast.
 SALTS = 16
+#: Nodes that may be joined by a broadcast because their rows are very many.
+MOST_HOT = 1000
 #: Jaccard similarity that links texts, words of its shingles, bands of minima and minima of a band.
 SIMILAR, WORDS, BANDS, BAND = 0.8, 5, 20, 3
 #: Members of a bucket that are all compared, members ahead that each is compared with in larger ones, and the share
@@ -168,16 +171,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(a, b): each linked node but the smallest of its component, and that smallest node.
 
     Large-star then small-star steps until nothing changes; every step is two grouped minima and joins, and
-    each round is cut off by a checkpoint.
+    each round is cut off by a written table.
     """
-    now, before = edges.where("a <> b").checkpoint(), None
+    cut = Cuts(edges.sparkSession, "stars")
+    now, before = cut(edges.where("a <> b")), None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         close = large.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        now = close.unionByName(least.select("a", F.col("low").alias("b"))).distinct().checkpoint()
+        now = cut(close.unionByName(least.select("a", F.col("low").alias("b"))).distinct())
+        cut.keep(1)
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sums == before:
             return now
@@ -261,7 +266,15 @@ def _classes(docs: DataFrame, firsts: DataFrame, edges: DataFrame) -> DataFrame:
     else:
         copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         named = named.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(copies, ["root", "salt"], "left")
-    return docs.join(named.select("node", "root", F.coalesce("least", "first").alias("component_id")).checkpoint(), "node")
+    named = named.select("node", "root", F.coalesce("least", "first").alias("component_id")).checkpoint()
+    # Nodes of more than a thousandth of all rows, a thousand at most, are joined by a broadcast, the others by a shuffle.
+    counts = docs.groupBy("node").agg(F.count("*").alias("n"))
+    hot = counts.where(F.col("n") > docs.count() / MOST_HOT).select("node").checkpoint()
+    if hot.isEmpty():
+        return docs.join(named, "node")
+    there = docs.join(F.broadcast(named.join(F.broadcast(hot), "node", "left_semi")), "node")
+    rest = docs.join(F.broadcast(hot), "node", "left_anti").join(named, "node")
+    return there.unionByName(rest)
 
 
 def _similar(df: DataFrame, id_column: str, text: str, similarity: float, *more: Column) -> DataFrame:
