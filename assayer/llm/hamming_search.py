@@ -74,7 +74,8 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "ve
         probe = pending.select("q", "bound", F.explode(segments_of("q", segments, bits)).alias("x"))
         probe = probe.select("q", "bound", F.col("x.segment").alias("segment"), F.explode(F.transform(F.lit(masks(radius, bits)), lambda m: F.col("x.value").bitwiseXOR(m))).alias("value"))
         near = F.expr(f"bound is null or {distance('q', 'code', words)} <= bound")
-        new = probe.join(index, ["segment", "value"]).where(near).select("q", "code", F.expr(distance("q", "code", words)).cast("int").alias("far"))
+        # A few queries make very many probes, so they are never the side to broadcast.
+        new = probe.hint("merge").join(index, ["segment", "value"]).where(near).select("q", "code", F.expr(distance("q", "code", words)).cast("int").alias("far"))
         found = found.unionByName(new).distinct()
         sized = found.join(sizes, "code")
         running = Window.partitionBy("q").orderBy("far").rangeBetween(Window.unboundedPreceding, Window.currentRow)
