@@ -34,9 +34,9 @@ RULES = (
     Rule("symbols", "n_symbols * 10 > n_words * 3"),
     Rule("duplicate_lines", "n_dup_lines * 10 > n_lines * 5", (("n_lines", "size(split(text, '\\n'))"),)),
     Rule("word_length", "word_chars > 24 * n_words or word_chars < 2 * n_words"),
-    Rule("exclamations", "n_bangs * 10 > n_words * 5", (("n_bangs", "length(text) - length(translate(text, '!', ''))"),)),
-    Rule("digits", "n_digits * 2 > word_chars", (("n_digits", "length(text) - length(translate(text, '0123456789', ''))"),)),
-    Rule("capitals", "n_upper * 2 > word_chars", (("n_upper", "length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))"),)),
+    Rule("exclamations", "n_bangs * 10 > n_words * 5", (("n_bangs", "regexp_count(text, '!')"),)),
+    Rule("digits", "n_digits * 2 > word_chars", (("n_digits", "regexp_count(text, '[0-9]')"),)),
+    Rule("capitals", "n_upper * 2 > word_chars", (("n_upper", "regexp_count(text, '[A-Z]')"),)),
     Rule("variety", "n_words > 200 and n_distinct * 20 < n_words", (("n_distinct", "size(array_distinct(_words))"),)),
 )
 
@@ -45,18 +45,18 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``_words`` and n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long).
 
     Three-word windows are compared by a 64-bit hash.  Positions of windows whose hash occurs again are
-    found by sorting (hash, position); each covers up to three words not covered by the one before it.
-    All steps are linear or n log n in the words of one text.
+    found by sorting; each covers up to three words not covered by the one before it.  What is sorted are plain
+    numbers, the position in the lowest bits and the hash, as far as it fits, above them; neighbours that agree there
+    are compared by their whole hashes.  All steps are linear or n log n in the words of one text.
     """
     df = df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     df = df.withColumn("_words", words(F.col(text)))
-    symbols = "#*$%&|<>"
     lines = F.filter(F.split(F.col(text), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     df = df.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.translate(F.col(text), BLANKS, "")).cast("long"),
-            "n_symbols": (F.length(F.col(text)) - F.length(F.translate(F.col(text), symbols, ""))).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_symbols": F.regexp_count(F.col(text), F.lit("[#*$%&|<>]")).cast("long"),
             "_lines": lines,
             "_windows": F.expr(
                 "case when size(_words) < 3 then cast(array() as array<bigint>)"
@@ -67,22 +67,25 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumns(
         {
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_sorted": F.expr(
-                "case when size(array_distinct(_windows)) < size(_windows)"
-                " then sort_array(transform(_windows, (h, i) -> struct(h as h, i as i))) end"
-            ),
+            "_bits": F.expr("length(bin(size(_windows)))"),
         }
     )
+    df = df.withColumn(
+        "_sorted",
+        F.expr("case when size(array_distinct(_windows)) < size(_windows) then sort_array(transform(_windows, (h, i) -> shiftleft(h, _bits) | cast(i as bigint))) end"),
+    )
+    place = "cast({} & (shiftleft(1L, _bits) - 1) as int)"
+    same = "(k {0} and shiftrightunsigned(_sorted[k {1} 1], _bits) = shiftrightunsigned(s, _bits) and _windows[" + place.format("_sorted[k {1} 1]") + "] = _windows[" + place.format("s") + "])"
     df = df.withColumn(
         "_again",
         F.expr(
-            "case when _sorted is not null then sort_array(filter(transform(_sorted, (s, k) ->"
-            " if((k > 0 and _sorted[k - 1].h = s.h) or (k < size(_sorted) - 1 and _sorted[k + 1].h = s.h), s.i, -1)), p -> p >= 0)) end"
+            f"case when _sorted is not null then sort_array(filter(transform(_sorted, (s, k) -> if({same.format('> 0', '-')} or {same.format('< size(_sorted) - 1', '+')},"
+            f" {place.format('s')}, -1)), p -> p >= 0)) end"
         ),
     )
     covered = "aggregate(transform(_again, (p, k) -> if(k = 0, 3, least(3, p - _again[k - 1]))), 0L, (a, x) -> a + x)"
     df = df.withColumn("n_repeat_words", F.expr(f"case when _again is null then 0L else {covered} end"))
-    df = df.drop("_lines", "_windows", "_sorted", "_again")
+    df = df.drop("_lines", "_windows", "_bits", "_sorted", "_again")
     return settled(df, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
 
