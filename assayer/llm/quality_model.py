@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import BLANKS, by_hash, rows_of, small, words
+from assayer.llm.common import by_hash, rows_of, small, words
 
 #: Labelled rows of each label on which the document model is fitted, at most.
 FIT_ROWS = 5000
@@ -33,18 +33,19 @@ def measures(df: DataFrame, text: Column, prefix: str = "_m_") -> DataFrame:
     t = F.coalesce(text, F.lit(""))
     df = df.withColumn(f"{prefix}w", words(t))
     n = F.greatest(F.size(f"{prefix}w"), F.lit(1))
-    chars = F.greatest(F.length(F.translate(t, BLANKS, "")), F.lit(1))
+    chars = F.greatest(F.length(F.array_join(f"{prefix}w", "")), F.lit(1))
     lines = F.split(t, "\n")
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
     found = {
         "log_words": F.log1p(F.size(f"{prefix}w")) / 10,
-        "symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))) / n,
-        "upper": (F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))) / chars,
-        "bangs": (F.length(t) - F.length(F.translate(t, "!", ""))) / n,
-        "digits": (F.length(t) - F.length(F.translate(t, "0123456789", ""))) / chars,
+        "symbols": count("[#*$%&|<>]") / n,
+        "upper": count("[A-Z]") / chars,
+        "bangs": count("!") / n,
+        "digits": count("[0-9]") / chars,
         "variety": F.size(F.array_distinct(f"{prefix}w")) / n * F.log1p(n) / 10,
         "dup_lines": 1 - F.size(F.array_distinct(lines)) / F.size(lines),
         "word_length": chars / n / 10,
-        "bars": (F.length(t) - F.length(F.translate(t, "|", ""))) / n,
+        "bars": count("[|]") / n,
     }
     caps = {"symbols": 3.0, "bangs": 3.0, "bars": 3.0, "word_length": 5.0}
     df = df.withColumns({f"{prefix}{k}": F.least(v.cast("double"), F.lit(caps.get(k, 1e9))) for k, v in found.items()})
