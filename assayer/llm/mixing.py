@@ -198,7 +198,7 @@ def sharded(df: DataFrame, shards: int | None = None, seed: int = SEED, name: st
     rows, parts = _dealt(df, "doc_id", "text", "source", shards, BLOCK_WORDS, MOST_BLOCKS, seed)
     rows = rows.select("row", "order", F.posexplode("shards").alias("copy", "shard"))
     rows = rows.select("row", "shard", F.xxhash64("order", "copy").alias("order"))
-    rows = rows.repartition(parts, "shard").sortWithinPartitions("shard", "order")
+    rows = rows.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard", "order")
     return rows.select("row.*", F.col("shard").alias(name))
 
 
