@@ -27,6 +27,19 @@ def fold(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()).casefold())
 
 
+@F.pandas_udf(StringType())
+def title_fold(titles: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The exact title key: NFKD, lower case, what is neither word character nor blank to a space, blanks collapsed."""
+    import re
+    import unicodedata
+
+    def key(x: str | None) -> str | None:
+        return " ".join(re.sub(r"[^\w\s]", " ", unicodedata.normalize("NFKD", x or "").lower()).split()) or None
+
+    for batch in titles:
+        yield batch.map(key)
+
+
 def alphanumeric(text: Column) -> Column:
     """Lower case with everything but a-z and 0-9 taken out."""
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")

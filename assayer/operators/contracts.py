@@ -256,3 +256,85 @@ def cards(rows: DataFrame, key: str, validated: str, corrected: str) -> DataFram
     origin = F.when(F.col(corrected).isNotNull(), "corrected").when(F.col(validated).isNotNull(), "validated").otherwise("none")
     card = F.concat(F.lit('<article class="'), origin, F.lit('"><h2>'), safe(F.col(key).cast("string")), F.lit("</h2><p>"), safe(shown), F.lit("</p></article>"))
     return rows.select(key, origin.alias("origin"), card.alias("card"))
+
+
+# Reason codes of eligibility decisions.
+POSITIVE = ("ORIGINAL_EXPERIMENT", "IDENTIFIABLE_LNP", "SUPPORTED_PAYLOAD", "TARGET_CELL_EVIDENCE", "USABLE_FORMULATION_OUTCOME_LINKAGE")
+EXCLUSIONS = (
+    "NOT_ORIGINAL_RESEARCH", "NOT_ELIGIBLE_LNP", "UNSUPPORTED_PAYLOAD", "NO_TARGET_CELL_EVIDENCE", "NO_FORMULATION_OUTCOME_LINKAGE", "DUPLICATE_SCIENTIFIC_REPORT", "RETRACTED_OR_INVALID",
+)
+OPEN_QUESTIONS = (
+    "FULL_TEXT_REQUIRED", "PUBLICATION_TYPE_AMBIGUOUS", "LNP_IDENTITY_AMBIGUOUS", "PAYLOAD_AMBIGUOUS", "TARGET_CELL_AMBIGUOUS", "FORMULATION_INCOMPLETE", "OUTCOME_LINKAGE_AMBIGUOUS",
+    "CHEMISTRY_AMBIGUOUS",
+)
+
+
+def eligibility_findings(rows: DataFrame) -> DataFrame:
+    """(paper, code, record): decisions whose reasons or evidence don't bear them out.
+
+    rows: paper, decision, reason_codes, evidence_ids, explanation.
+    """
+    c = F.col
+    empty = F.expr("cast(array() as array<string>)")
+    why, cited = F.coalesce(c("reason_codes"), empty), F.coalesce(c("evidence_ids"), empty)
+    listed = lambda names: F.array(*map(F.lit, names))
+    rules = {
+        "no_reason": F.size(why) == 0,
+        "repeated_reason": F.size(F.array_distinct(why)) < F.size(why),
+        "unknown_reason": F.size(F.array_except(why, listed((*POSITIVE, *EXCLUSIONS, *OPEN_QUESTIONS)))) > 0,
+        "unknown_decision": ~F.coalesce(c("decision").isin("eligible", "ineligible", "uncertain"), F.lit(False)),
+        "eligible_without_all_reasons": (c("decision") == "eligible") & (F.size(F.array_except(listed(POSITIVE), why)) > 0),
+        "ineligible_without_exclusion": (c("decision") == "ineligible") & ~F.arrays_overlap(why, listed(EXCLUSIONS)),
+        "uncertain_without_question": (c("decision") == "uncertain") & ~F.arrays_overlap(why, listed(OPEN_QUESTIONS)),
+        "decided_without_evidence": c("decision").isin("eligible", "ineligible") & (F.size(cited) == 0),
+        "explanation_length": ~F.coalesce(F.length("explanation").between(1, 500), F.lit(False)),
+    }
+    codes = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(code)) for code, rule in rules.items()]))
+    return rows.select("paper", F.explode(codes).alias("code"), F.coalesce("decision", F.lit("")).alias("record"))
+
+
+def evidence_gate(hits: DataFrame, queries: DataFrame, least: int = 2) -> DataFrame:
+    """(query_id, passed, needs_review, reasons) of retrieved hits.
+
+    queries: query_id, paper, field_group, required; hits: query_id, block_id, paper, text, entity_types.  Too few hits,
+    hits of another paper, required types that none has, formulation questions without formulation types, and repeated
+    blocks keep a query from passing; mixed polarity only asks for review.
+    """
+    empty = F.expr("cast(array() as array<string>)")
+    rows = hits.join(queries.select("query_id", F.col("paper").alias("_p")), "query_id").groupBy("query_id").agg(
+        F.count("*").alias("n"), F.count_distinct("block_id").alias("d"), F.bool_or(~F.col("paper").eqNullSafe(F.col("_p"))).alias("leak"),
+        F.array_distinct(F.flatten(F.collect_set(F.coalesce("entity_types", empty)))).alias("types"), F.count_distinct(S.has(F.col("text"), S.NEGATION)).alias("signs"),
+    )
+    rows = queries.join(rows, "query_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "types": F.coalesce("types", empty), "required": F.coalesce("required", empty)})
+    lacking = F.size(F.array_except("required", "types")) > 0
+    unsure = (F.col("field_group") == "formulation") & ~F.arrays_overlap("types", F.array(*map(F.lit, S.FORMULATION_TYPES)))
+    bad = [(F.col("n") < least, "few_hits"), (F.col("leak"), "other_paper"), (lacking, "types"), (unsure, "formulation_signal"), (F.col("d") < F.col("n"), "duplicates")]
+    reasons = F.concat_ws(",", *[F.when(F.coalesce(c, F.lit(False)), name) for c, name in bad])
+    return rows.select("query_id", (reasons == "").alias("passed"), F.coalesce(F.col("signs") > 1, F.lit(False)).alias("needs_review"), reasons.alias("reasons"))
+
+
+def caption_candidate(text: Column) -> Column:
+    """A block that begins with a figure or table label is its caption if a point follows the label, or if it is long
+    and names no other figure or table near its start; null if it begins with no label."""
+    label = r"(?i)^\s*(?:fig(?:ure)?|table)\s*\.?\s*[A-Za-z0-9][A-Za-z0-9.-]*"
+    head = F.regexp_extract(text, label, 0)
+    rest = F.ltrim(F.substr(text, F.length(head) + 1))
+    another = F.substring(rest, 1, 90).rlike(r"(?i)\b(?:fig(?:ure)?|table)\s*\.?\s*[A-Za-z0-9]")
+    found = head.endswith(".") | rest.startswith(".") | ((F.length(text) >= 120) & ~another)
+    return F.when(head != "", found)
+
+
+def main_article(files: DataFrame) -> DataFrame:
+    """(paper, file): the file of fewest pages that isn't named like a supplement, or of all if every file is.
+
+    files: paper, file, pages; ties go to the smaller name.
+    """
+    supplement = F.lower("file").rlike("supp|sapp|mmc|moesm|esm")
+    best = F.min(F.struct(supplement.alias("s"), "pages", "file"))
+    return files.groupBy("paper").agg(best["file"].alias("file"))
+
+
+def safe_member(name: Column) -> Column:
+    """Whether an archive's member stays inside the folder it is unpacked to."""
+    parts = F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/")
+    return F.coalesce((F.trim(name) != "") & ~name.rlike(r"^(?:[/\\]|[A-Za-z]:)") & ~F.array_contains(parts, ".."), F.lit(False))

@@ -84,5 +84,8 @@ def unique_or_reason(rows: DataFrame, group: list[str], value: str) -> DataFrame
     return found.select(*group, F.when(F.col("n") == 1, F.col("v")).alias(value), reason.alias("reason"))
 
 
-def matched(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
+def token_cost(input_: str, cached: str, written: str, output: str, prices: dict[str, float]) -> Column:
+    """Cost of one call at prices per million tokens: input that was neither cached nor written, cached, written, output."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    regular = F.greatest(F.lit(0), n(input_) - n(cached) - n(written))
+    return (regular * prices["input"] + n(cached) * prices["cached"] + n(written) * prices["written"] + n(output) * prices["output"]) / 1e6

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,3 +209,33 @@ def fuse(lists: Sequence[DataFrame], query: str, key: str, k: int, c: int = 60)
         part = x.select(query, key, (1.0 / (c + F.col("rank"))).alias("part"))
         rows = part if rows is None else rows.unionByName(part)
     return ranked(rows.groupBy(query, key).agg(F.round(F.sum("part"), 8).alias("score")), query, key, k)
+
+
+def neighbour_rounds(fused: DataFrame, known: DataFrame, query: str, key: str, k: int, seeds: int = 4, share: float = 0.18) -> DataFrame:
+    """(query, key, score, rank): the neighbours (key - 1 and key + 1, if known) of a query's first ``seeds`` hits get a
+    share of their score, hit after hit, so that a bonus counts for the hits after it.
+
+    A query's list is short, and its walk is one small grouped task.
+    """
+    kinds = dict(fused.dtypes)
+    near = fused.where(F.col("rank") <= seeds).select(F.explode(F.array(F.col(key) - 1, F.col(key) + 1)).alias(key)).distinct()
+    there = near.join(known.select(key), key, "left_semi").select(F.col(key).alias("_near"))
+    rows = fused.select(query, key, "score", "rank")
+    sides = rows.select(query, F.explode(F.array(F.col(key) - 1, F.col(key) + 1)).alias("_near")).distinct().join(checked(_cut(there)), "_near", "left_semi")
+    lists = rows.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(key).alias("k"), "score"))).alias("hits"))
+    lists = lists.join(sides.groupBy(query).agg(F.collect_set("_near").alias("near")), query, "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for q, hits, near in zip(batch[query], batch["hits"], batch["near"]):
+                scores, allowed = {h["k"]: h["score"] for h in hits}, set(near) if near is not None else set()
+                for h in hits[:seeds]:
+                    for side in (h["k"] - 1, h["k"] + 1):
+                        if side in allowed:
+                            scores[side] = scores.get(side, 0.0) + scores[h["k"]] * share
+                out += [(q, i, s) for i, s in scores.items()]
+            yield pd.DataFrame(out, columns=[query, key, "score"])
+
+    scored = lists.mapInPandas(run, f"{query} {kinds[query]}, {key} {kinds[key]}, score double")
+    return ranked(scored.withColumn("score", F.round("score", 8)), query, key, k)

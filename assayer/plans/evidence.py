@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from assayer.functions import signals as S
 from assayer.functions import text as T
+from assayer.functions import atoms
+from assayer.operators import candidates as found_by
 from assayer.operators import contracts, coverage, dedup, match, merge, pack, relate, similarity
 from assayer.registry import query
-from assayer.sources import corpus
+from assayer.sources import corpus, sinks
 from assayer.sources.tables import read
 
 BLOCKS = ("paragraph", "table_row", "figure_caption", "table")
@@ -584,7 +586,15 @@ def multi_key_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.ordered_groups(rows, ["k1", "k2"], "n").drop("_block")
 
 
-@query()
+@query(
+    """WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3)) AS t FROM conversations),
+w AS (SELECT conv_id, list([struct_pack(place := turn, held := t, took := [turn])] ORDER BY turn) AS items FROM t GROUP BY conv_id),
+f AS (SELECT conv_id, list_reduce(list_prepend([]::STRUCT(place BIGINT, held VARCHAR[], took BIGINT[])[], items), lambda a, x:
+  CASE WHEN len(list_filter(a, lambda y: least(len(y.held), len(x[1].held)) > 0 AND len(list_intersect(y.held, x[1].held)) / least(len(y.held), len(x[1].held)) >= 0.72)) = 0 THEN list_concat(a, x)
+  ELSE list_transform(a, lambda y: CASE WHEN y.place = list_min(list_transform(list_filter(a, lambda z: least(len(z.held), len(x[1].held)) > 0 AND len(list_intersect(z.held, x[1].held)) / least(len(z.held), len(x[1].held)) >= 0.72), lambda z: z.place))
+    THEN struct_pack(place := y.place, held := list_distinct(list_concat(y.held, x[1].held)), took := list_concat(y.took, x[1].took)) ELSE y END) END) AS s FROM w)
+SELECT conv_id::VARCHAR AS block, unnest(r.took) AS turn, r.place AS survivor FROM (SELECT conv_id, unnest(s) AS r FROM f)"""
+)
 def near_duplicate_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy first-match merge of similar turns within a conversation."""
     rows = read(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("block"), "turn", T.tokens(F.col("text"), 3).alias("terms"))
@@ -603,3 +613,187 @@ def co_support(spark: SparkSession, sf: str) -> DataFrame:
     a, b = F.col("s_nationkey"), F.col("c_nationkey")
     state = F.when(a.isNull(), "no_subject").when(a == b, "co_supported").when(a % 5 == b % 5, "same_block").otherwise("unsupported")
     return rows.select("l_orderkey", "l_linenumber", state.alias("audit"))
+
+
+STATED = (
+    " Uptake increased to 12.5 % in hepatocytes after LNP mRNA.", " Editing was observed, see Table S2: insertion frequency 5 % in liver.", " Cells were seeded by protocol; no increase was found.",
+    " GFP expression was reduced in macrophages (Figure 3), while activity improved 2 fold versus controls.", " Few Kupffer cells expressed eGFP.", " Knockdown reached 7 fold and 80 ± 5 % with siRNA in HSCs.",
+    " The deletion frequency is shown in Table S1 and Table S2.", " HepG2 and JS-1 cells were purchased from a cell bank.", " Expression in LSECs was higher compared with HSCs; no detectable uptake.",
+)
+SECTIONS = ("Results", "Introduction", "Materials and Methods", "Results > Uptake", "Key resources")
+
+
+def stated_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """(paper, evidence_id, ord, text, tags, source_ids, block_type): passages that state results, methods or neither."""
+    rows, n = passages(spark, sf), F.col("pos")
+    tags = F.when(n % 3 == 0, F.array(F.lit("outcomes"))).when(n % 3 == 1, F.array(F.lit("full_corpus"))).otherwise(F.array(F.lit("full_corpus"), F.lit("methods")))
+    own = F.concat(F.lit("S"), "evidence_id")
+    cites = F.when(n % 2 == 1, F.array(own, F.concat(F.lit("S"), _id(-1)))).otherwise(F.array(own))
+    text = F.concat(F.col("text"), _pick(STATED, F.pmod(n + F.col("paper"), F.lit(len(STATED)))))
+    return rows.select("paper", "evidence_id", n.alias("ord"), text.alias("text"), tags.alias("tags"), cites.alias("source_ids"), "block_type")
+
+
+def stated_sources(spark: SparkSession, sf: str) -> DataFrame:
+    rows, n = passages(spark, sf), F.col("pos")
+    return rows.select("paper", F.concat(F.lit("S"), "evidence_id").alias("source_id"), _pick(SECTIONS, n % 5).alias("section"), F.when(n % 7 == 0, "Table 2").when(n % 7 == 1, "").alias("location"))
+
+
+@query()
+def outcome_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcome candidates grouped by family, signature, figure or table, and source."""
+    rows = found_by.build(stated_evidence(spark, sf), stated_sources(spark, sf))
+    return rows.withColumns({c: F.array_join(c, "|") for c in ("evidence_ids", "source_ids", "signals", "reasons")})
+
+
+@query()
+def complexity_census(spark: SparkSession, sf: str) -> DataFrame:
+    """The census of signals under the thresholds of both views."""
+    rows, places = stated_evidence(spark, sf), stated_sources(spark, sf)
+    views = [found_by.census(rows, places, limits).withColumn("view", F.lit(name)) for name, limits in (("compact", found_by.COMPACT), ("full_corpus", found_by.FULL))]
+    return views[0].unionByName(views[1])
+
+
+@query()
+def identity_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence of what an entity is: the first 260 of each paper by score, then id."""
+    rows = stated_evidence(spark, sf).withColumn("source_id", F.get("source_ids", 0)).join(stated_sources(spark, sf), ["paper", "source_id"])
+    score, reasons = S.identity_score(F.col("text"), F.array("block_type"), F.col("section"))
+    rows = rows.select("paper", "evidence_id", score.alias("score"), reasons.alias("reasons")).where("score > 0")
+    return pack.top(rows, ["paper"], [F.desc("score"), "evidence_id"], 260)
+
+
+def stated_clauses(spark: SparkSession, sf: str) -> DataFrame:
+    rows = stated_evidence(spark, sf).select("paper", "ord", "evidence_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "text"))
+    return rows.select("paper", "ord", "i", F.concat_ws("-", "evidence_id", T.numbered("C", F.col("i") + 1)).alias("clause_id"), "text")
+
+
+@query()
+def result_atoms(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each value that a clause states, with its type, polarity, detection, comparison and population."""
+    return atoms.atoms(stated_clauses(spark, sf), "paper", ["ord", "i"], "clause_id", "text")
+
+
+@query()
+def atom_cardinality(spark: SparkSession, sf: str) -> DataFrame:
+    """Clauses with more numbers than numeric statements, where those of every fourth paper were lost."""
+    stated = result_atoms(spark, sf).where("paper % 4 > 0")
+    return atoms.cardinality(stated_clauses(spark, sf), stated, "clause_id", "text")
+
+
+@query()
+def title_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact title keys of the first lines of documents, for whose folding there is no built-in function."""
+    first = F.element_at(F.split("text", "\n"), 1)
+    return read(spark, sf, "documents").select("doc_id", F.sha2(T.title_fold(first), 256).alias("key"))
+
+
+QUESTIONS = (*S.EXPANSIONS, "Composition and manufacturing", "dose")
+
+
+@query(
+    f"""WITH q AS (SELECT event_id, {list(QUESTIONS)}[(event_id % {len(QUESTIONS)} + 1)::INT] || ' of ' || event_type AS question FROM events)
+SELECT event_id, concat_ws(' ', question, {', '.join(f"CASE WHEN contains(lower(question), '{k}') THEN '{v}' END" for k, v in S.EXPANSIONS.items())}) AS expanded FROM q"""
+)
+def question_expansion(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions with the fixed expansions of their triggers."""
+    question = F.concat_ws(" of ", _pick(QUESTIONS, F.col("event_id") % len(QUESTIONS)), F.col("event_type"))
+    return read(spark, sf, "events").select("event_id", S.expanded(question).alias("expanded"))
+
+
+@query(
+    f"""WITH {P}, h AS (SELECT paper AS query_id, CASE WHEN pos % 9 = 8 THEN '0' ELSE evidence_id END AS block_id, CASE WHEN paper % 6 = 0 AND pos = 1 THEN -1 ELSE paper END AS paper, text, CASE pos % 4 WHEN 0 THEN ['lipid_or_material'] WHEN 1 THEN ['cell', 'assay'] ELSE [] END AS types FROM p WHERE paper % 5 > 0 OR pos = 0),
+g AS (SELECT query_id, count(*) AS n, count(DISTINCT block_id) AS d, bool_or(paper <> query_id) AS leak, list_distinct(flatten(list(types))) AS types, count(DISTINCT regexp_matches(text, '{S.NEGATION}')) AS signs FROM h GROUP BY query_id),
+q AS (SELECT DISTINCT conv_id AS query_id, CASE WHEN conv_id % 2 = 0 THEN 'formulation' ELSE 'outcome' END AS field_group, CASE WHEN conv_id % 3 = 0 THEN ['cell'] ELSE [] END AS required FROM conversations),
+r AS (SELECT q.query_id, coalesce(signs > 1, false) AS needs_review, concat_ws(',', CASE WHEN coalesce(n, 0) < 2 THEN 'few_hits' END, CASE WHEN leak THEN 'other_paper' END, CASE WHEN NOT list_has_all(coalesce(types, []), required) THEN 'types' END,
+  CASE WHEN field_group = 'formulation' AND NOT list_contains(coalesce(types, []), 'lipid_or_material') THEN 'formulation_signal' END, CASE WHEN d < n THEN 'duplicates' END) AS reasons FROM q LEFT JOIN g USING (query_id))
+SELECT query_id, reasons = '' AS passed, needs_review, reasons FROM r"""
+)
+def evidence_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Gate over retrieved hits: enough, of the paper, all types, formulation signal, no repeats; mixed polarity for review."""
+    rows, n, paper = passages(spark, sf), F.col("pos"), F.col("paper")
+    hits = rows.where((paper % 5 > 0) | (n == 0)).select(
+        paper.alias("query_id"), F.when(n % 9 == 8, "0").otherwise(F.col("evidence_id")).alias("block_id"), F.when((paper % 6 == 0) & (n == 1), -1).otherwise(paper).alias("paper"), "text",
+        F.when(n % 4 == 0, F.array(F.lit("lipid_or_material"))).when(n % 4 == 1, F.array(F.lit("cell"), F.lit("assay"))).otherwise(_none()).alias("entity_types"),
+    )
+    asked = rows.select("paper").distinct().select(
+        paper.alias("query_id"), "paper", F.when(paper % 2 == 0, "formulation").otherwise("outcome").alias("field_group"), F.when(paper % 3 == 0, F.array(F.lit("cell"))).otherwise(_none()).alias("required")
+    )
+    return contracts.evidence_gate(hits, asked)
+
+
+@query(
+    f"""WITH r AS (SELECT event_id, ['eligible', 'ineligible', 'uncertain', 'maybe'][(event_id % 4 + 1)::INT] AS d, CASE event_id % 5 WHEN 0 THEN {list(contracts.POSITIVE)} WHEN 1 THEN ['RETRACTED_OR_INVALID'] WHEN 2 THEN ['PAYLOAD_AMBIGUOUS', 'PAYLOAD_AMBIGUOUS'] WHEN 3 THEN [] ELSE ['NEW_REASON'] END AS w,
+  event_id % 3 > 0 AS cited, event_id % 7 AS x FROM events),
+f AS (SELECT event_id, d, unnest(list_filter([CASE WHEN len(w) = 0 THEN 'no_reason' END, CASE WHEN len(list_distinct(w)) < len(w) THEN 'repeated_reason' END, CASE WHEN list_contains(w, 'NEW_REASON') THEN 'unknown_reason' END, CASE WHEN d = 'maybe' THEN 'unknown_decision' END,
+  CASE WHEN d = 'eligible' AND len(w) < 5 THEN 'eligible_without_all_reasons' END, CASE WHEN d = 'ineligible' AND NOT list_contains(w, 'RETRACTED_OR_INVALID') THEN 'ineligible_without_exclusion' END, CASE WHEN d = 'uncertain' AND NOT list_contains(w, 'PAYLOAD_AMBIGUOUS') THEN 'uncertain_without_question' END,
+  CASE WHEN d IN ('eligible', 'ineligible') AND NOT cited THEN 'decided_without_evidence' END, CASE WHEN x IN (0, 1) THEN 'explanation_length' END], lambda c: c IS NOT NULL)) AS code FROM r)
+SELECT event_id AS paper, code, d AS record FROM f"""
+)
+def eligibility(spark: SparkSession, sf: str) -> DataFrame:
+    """Eligibility decisions whose reasons or evidence don't bear them out."""
+    n = F.col("event_id")
+    five, listed = n % 5, lambda *names: F.array(*map(F.lit, names))
+    why = F.when(five == 0, listed(*contracts.POSITIVE)).when(five == 1, listed("RETRACTED_OR_INVALID")).when(five == 2, listed("PAYLOAD_AMBIGUOUS", "PAYLOAD_AMBIGUOUS")).when(five == 3, _none()).otherwise(listed("NEW_REASON"))
+    told = F.when(n % 7 == 0, "").when(n % 7 == 1, F.repeat(F.lit("x"), F.lit(501))).otherwise("because")
+    rows = read(spark, sf, "events").select(
+        n.alias("paper"), _pick(("eligible", "ineligible", "uncertain", "maybe"), n % 4).alias("decision"), why.alias("reason_codes"), F.when(n % 3 > 0, listed("e1")).otherwise(_none()).alias("evidence_ids"), told.alias("explanation")
+    )
+    return contracts.eligibility_findings(rows)
+
+
+@query(
+    """WITH u AS (SELECT user_id, event_type, 1000 + event_id % 500 AS i, event_id % 300 AS c, event_id % 90 AS w, event_id % 41 AS o FROM events)
+SELECT user_id, round(sum(greatest(0, i - c - w) * 3.0 + c * 0.3 + w * 3.75 + o * 15.0) / 1e6, 6) AS cost, sum(i + o)::BIGINT AS tokens, count(*) FILTER (event_type = 'purchase')::BIGINT AS accepted,
+round(sum(greatest(0, i - c - w) * 3.0 + c * 0.3 + w * 3.75 + o * 15.0) / 1e6 / nullif(count(*) FILTER (event_type = 'purchase'), 0), 6) AS cost_per_accepted FROM u GROUP BY user_id"""
+)
+def cost_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices of regular, cached and written input tokens and of output, per paper and per accepted outcome, null-safe."""
+    n = F.col("event_id")
+    usage = read(spark, sf, "events").select("user_id", "event_type", (1000 + n % 500).alias("input"), (n % 300).alias("cached"), (n % 90).alias("written"), (n % 41).alias("output"))
+    price = relate.token_cost("input", "cached", "written", "output", {"input": 3.0, "cached": 0.3, "written": 3.75, "output": 15.0})
+    accepted = F.count_if(F.col("event_type") == "purchase")
+    return usage.groupBy("user_id").agg(
+        F.round(F.sum(price), 6).alias("cost"), F.sum(F.col("input") + F.col("output")).alias("tokens"), accepted.alias("accepted"), F.round(F.sum(price) / F.nullif(accepted, F.lit(0)), 6).alias("cost_per_accepted")
+    )
+
+
+@query(
+    """SELECT line_no, line FROM (SELECT 0 AS line_no, '| p_partkey | p_name | p_type |' AS line UNION ALL SELECT 1, '| --- | --- | --- |' UNION ALL SELECT 1 + row_number() OVER (ORDER BY p_partkey), '| ' || p_partkey || ' | ' || p_name || ' | ' || p_type || '\\|x |' FROM part)"""
+)
+def markdown_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a table as numbered lines of a Markdown report."""
+    rows = read(spark, sf, "part").withColumn("p_type", F.concat("p_type", F.lit("|x")))
+    return sinks.report(rows, ["p_partkey", "p_name", "p_type"], ["p_partkey"])
+
+
+@query(
+    r"""WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Figure ' || turn || '. ' || text WHEN 1 THEN 'fig.S' || turn || ' ' || text WHEN 2 THEN 'Table 2 shows, as Table 3 does, ' || text ELSE text END AS text FROM conversations),
+h AS (SELECT *, regexp_extract(text, '(?i)^\s*(?:fig(?:ure)?|table)\s*\.?\s*[A-Za-z0-9][A-Za-z0-9.-]*') AS head FROM t), r AS (SELECT *, ltrim(substr(text, length(head) + 1), ' ') AS rest FROM h)
+SELECT conv_id, turn, CASE WHEN head <> '' THEN ends_with(head, '.') OR starts_with(rest, '.') OR (length(text) >= 120 AND NOT regexp_matches(substr(rest, 1, 90), '(?i)\b(?:fig(?:ure)?|table)\s*\.?\s*[A-Za-z0-9]')) END AS caption FROM r"""
+)
+def caption_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks that begin with a figure or table label: captions, or texts that only refer to one."""
+    turn, text = F.col("turn"), F.col("text")
+    four = turn % 4
+    shown = F.when(four == 0, F.concat(F.lit("Figure "), turn, F.lit(". "), text)).when(four == 1, F.concat(F.lit("fig.S"), turn, F.lit(" "), text)).when(four == 2, F.concat(F.lit("Table 2 shows, as Table 3 does, "), text)).otherwise(text)
+    return read(spark, sf, "conversations").select("conv_id", "turn", contracts.caption_candidate(shown).alias("caption"))
+
+
+@query(
+    """WITH f AS (SELECT o_custkey AS paper, CASE o_orderkey % 3 WHEN 0 THEN 'Supp_' WHEN 1 THEN 'mmc' ELSE 'paper' END || o_orderkey || '.pdf' AS file, o_orderkey % 3 < 2 AS s, floor(o_totalprice / 10000)::BIGINT AS pages FROM orders)
+SELECT paper, arg_min(file, (s, pages, file)) AS file FROM f GROUP BY paper"""
+)
+def main_article(spark: SparkSession, sf: str) -> DataFrame:
+    """The shortest file of a paper that isn't a supplement, if there is one."""
+    three = F.col("o_orderkey") % 3
+    name = F.concat(F.when(three == 0, "Supp_").when(three == 1, "mmc").otherwise("paper"), "o_orderkey", F.lit(".pdf"))
+    return contracts.main_article(read(spark, sf, "orders").select(F.col("o_custkey").alias("paper"), name.alias("file"), F.floor(F.col("o_totalprice") / 10000).alias("pages")))
+
+
+@query()
+def neighbour_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The neighbour bonus as a sequence: an earlier seed's bonus raises a later seed before its own turn."""
+    from assayer.operators import retrieve
+    from assayer.plans.matching import _fused
+
+    return retrieve.neighbour_rounds(_fused(spark, sf), read(spark, sf, "embeddings").select("vec_id"), "query_id", "vec_id", 8)

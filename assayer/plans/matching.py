@@ -184,19 +184,6 @@ def query_fan_out(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("source", "field", F.concat_ws("-", F.lit("Q"), "source", "field").alias("query_id"), question.alias("question"))
 
 
-@query(
-    """WITH g AS (SELECT conv_id, count(*) AS hits, count(DISTINCT text) AS texts, count(DISTINCT role) AS roles, bool_or(contains(text, 'the')) AS signal FROM conversations GROUP BY conv_id)
-SELECT conv_id, hits >= 2 AND texts = hits AND roles >= 2 AND signal AS passes, concat_ws(',', CASE WHEN hits < 2 THEN 'few_hits' END, CASE WHEN texts < hits THEN 'duplicates' END, CASE WHEN roles < 2 THEN 'types' END, CASE WHEN NOT signal THEN 'signal' END) AS reasons FROM g"""
-)
-def evidence_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Gate over retrieved hits: enough, distinct, all types, signal; with reasons."""
-    g = read(spark, sf, "conversations").groupBy("conv_id").agg(
-        F.count("*").alias("hits"), F.count_distinct("text").alias("texts"), F.count_distinct("role").alias("roles"), F.bool_or(F.col("text").contains("the")).alias("signal")
-    )
-    bad = [(F.col("hits") < 2, "few_hits"), (F.col("texts") < F.col("hits"), "duplicates"), (F.col("roles") < 2, "types"), (~F.col("signal"), "signal")]
-    return g.select("conv_id", ~(bad[0][0] | bad[1][0] | bad[2][0] | bad[3][0]).alias("x"), F.concat_ws(",", *[F.when(c, n) for c, n in bad]).alias("reasons")).toDF("conv_id", "passes", "reasons")
-
-
 @query("""SELECT conv_id, sha256(string_agg('[' || role || '] ' || text, chr(10) ORDER BY turn)) AS prompt_digest, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id""")
 def prompt_serialisation(spark: SparkSession, sf: str) -> DataFrame:
     """Gated evidence as one ordered text."""

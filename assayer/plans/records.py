@@ -36,20 +36,6 @@ def descriptive_labels(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "part").select("p_partkey", F.array_join(F.filter(labels, lambda x: ~x.rlike("^[0-9]+$")), "; ").alias("labels"))
 
 
-@query("""SELECT conv_id, turn, length(text) >= 120 OR (contains(text, ':') AND NOT contains(substr(text, 1, 40), '?')) AS caption FROM conversations""")
-def caption_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Caption test by separator or length."""
-    text = F.col("text")
-    return read(spark, sf, "conversations").select("conv_id", "turn", ((F.length(text) >= 120) | (text.contains(":") & ~F.substring(text, 1, 40).contains("?"))).alias("caption"))
-
-
-@query("""SELECT source, coalesce(arg_min(doc_id, (n_chars, doc_id)) FILTER (lang = 'en'), min(doc_id))::BIGINT AS main FROM documents GROUP BY source""")
-def main_article(spark: SparkSession, sf: str) -> DataFrame:
-    """The smallest suitable file of a group, with a fallback."""
-    small = F.min(F.when(F.col("lang") == "en", F.struct("n_chars", "doc_id")))["doc_id"]
-    return read(spark, sf, "documents").groupBy("source").agg(F.coalesce(small, F.min("doc_id")).alias("main"))
-
-
 @query("""SELECT user_id, arg_min(event_type, r) AS strategy, min(r)::BIGINT AS rank FROM (SELECT user_id, event_type, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 9 END AS r, value FROM events) WHERE r < 9 GROUP BY user_id""")
 def first_successful_strategy(spark: SparkSession, sf: str) -> DataFrame:
     """The first of ordered fallback strategies that worked."""
@@ -170,18 +156,6 @@ def boundary_freeze(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "orders").join(chosen, "o_custkey", "left_semi").select("o_orderkey", T.numbered("E", n).alias("frozen_id"))
 
 
-@query(
-    """WITH f AS (SELECT user_id, date_trunc('hour', ts) AS h, list(DISTINCT event_type) AS t FROM events GROUP BY ALL)
-SELECT user_id, strftime(h, '%Y-%m-%d %H') AS hour, CASE WHEN list_has_all(t, ['click', 'view', 'purchase']) AND NOT list_contains(t, 'error') THEN 'eligible' WHEN list_contains(t, 'error') THEN 'excluded' ELSE 'uncertain' END AS eligibility FROM f"""
-)
-def eligibility(spark: SparkSession, sf: str) -> DataFrame:
-    """All criteria positive, an exclusion, or uncertain."""
-    f = read(spark, sf, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).agg(F.collect_set("event_type").alias("t"))
-    all_ = F.size(F.array_except(F.array(*map(F.lit, ("click", "view", "purchase"))), "t")) == 0
-    bad = F.array_contains("t", "error")
-    return f.select("user_id", "hour", F.when(all_ & ~bad, "eligible").when(bad, "excluded").otherwise("uncertain").alias("eligibility"))
-
-
 @query("""SELECT conv_id, 'V' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS outcome_id, turn FROM conversations WHERE role = 'assistant' AND NOT contains(text, '?')""")
 def observation_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Resolved observations become rows with fresh ids."""
@@ -232,14 +206,6 @@ def focused_pages(spark: SparkSession, sf: str) -> DataFrame:
     return missed.select(F.explode(F.sequence(F.col("p") - 1, F.col("p") + 1)).alias("page")).where("page >= 0").distinct()
 
 
-@query("""SELECT string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS report FROM nation""")
-def markdown_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of a small dimension as a Markdown table."""
-    line = F.concat(F.lit("| "), F.col("n_nationkey"), F.lit(" | "), F.col("n_name"), F.lit(" |"))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", line.alias("line")))), lambda x: x["line"])
-    return read(spark, sf, "nation").agg(F.array_join(lines, "\n").alias("report"))
-
-
 @query("""SELECT source, list_aggregate(list_sort(list(doc_id)), 'string_agg', ',') AS closest FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(n_chars - 1000), doc_id) AS n FROM documents) WHERE n <= 5 GROUP BY source""")
 def capped_lists(spark: SparkSession, sf: str) -> DataFrame:
     """The five closest rows of a group as one list."""

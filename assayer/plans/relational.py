@@ -124,17 +124,6 @@ def composition_totals(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "lineitem").groupBy("l_orderkey").agg(passes.alias("passes"), F.round(total, 4).alias("total"))
 
 
-@query(
-    """WITH c AS (SELECT user_id, event_type, value * 3.0 / 1e6 + (event_id % 7) * 15.0 / 1e6 AS cost FROM events)
-SELECT user_id, round(sum(cost), 6) AS cost, count(*) FILTER (event_type = 'purchase')::BIGINT AS accepted, round(sum(cost) / nullif(count(*) FILTER (event_type = 'purchase'), 0), 6) AS cost_per_accepted FROM c GROUP BY user_id"""
-)
-def cost_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    """Token prices rolled up per paper and per accepted outcome, null-safe."""
-    cost = F.col("value") * 3.0 / 1e6 + (F.col("event_id") % 7) * 15.0 / 1e6
-    accepted = F.count_if(F.col("event_type") == "purchase")
-    return read(spark, sf, "events").groupBy("user_id").agg(F.round(F.sum(cost), 6).alias("cost"), accepted.alias("accepted"), F.round(F.sum(cost) / F.nullif(accepted, F.lit(0)), 6).alias("cost_per_accepted"))
-
-
 @query("""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) SELECT token, count(*)::BIGINT AS documents, count(*) <= 2 AS rare FROM t GROUP BY token""")
 def token_document_frequency(spark: SparkSession, sf: str) -> DataFrame:
     """Documents per token; tokens of one or two documents are rare."""
@@ -261,7 +250,17 @@ def greedy_budget(spark: SparkSession, sf: str) -> DataFrame:
     return pack.greedy_budget(rows, "source", "doc_id", "n_chars", "cost", 16000)
 
 
-@query()
+@query(
+    """WITH c AS (SELECT conv_id, turn, length(text) AS n, ceil(length(text) / 4.0)::BIGINT AS cost FROM conversations),
+i AS (SELECT c.conv_id, c.turn, c.n, CASE WHEN b.turn IS NULL THEN [struct_pack(k := c.turn, v := c.cost)] ELSE [struct_pack(k := c.turn, v := c.cost), struct_pack(k := b.turn, v := b.cost)] END AS parts FROM c LEFT JOIN c b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1),
+w AS (SELECT conv_id, list(struct_pack(used := 0::BIGINT, paid := parts) ORDER BY n DESC, turn) AS items FROM i GROUP BY conv_id),
+f AS (SELECT conv_id, list_reduce(list_prepend(struct_pack(used := 0::BIGINT, paid := []::STRUCT(k BIGINT, v BIGINT)[]), items), lambda a, x:
+  CASE WHEN len(list_filter(x.paid, lambda y: NOT list_contains(list_transform(a.paid, lambda z: z.k), y.k))) > 0
+        AND a.used + list_sum(list_transform(list_filter(x.paid, lambda y: NOT list_contains(list_transform(a.paid, lambda z: z.k), y.k)), lambda y: y.v)) <= 400
+    THEN struct_pack(used := (a.used + list_sum(list_transform(list_filter(x.paid, lambda y: NOT list_contains(list_transform(a.paid, lambda z: z.k), y.k)), lambda y: y.v)))::BIGINT, paid := list_concat(a.paid, list_filter(x.paid, lambda y: NOT list_contains(list_transform(a.paid, lambda z: z.k), y.k))))
+    ELSE a END) AS s FROM w)
+SELECT conv_id, unnest(list_transform(s.paid, lambda z: z.k)) AS turn FROM f"""
+)
 def closure_budget(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy selection whose cost includes shared context rows, paid once."""
     rows = read(spark, sf, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("n"), F.ceil(F.length("text") / 4).cast("long").alias("cost"), (F.col("turn") - 1).alias("parent"))

@@ -2,10 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from assayer.functions import text as T
-from assayer.operators import dedup, pack
+from assayer.operators import dedup
 from assayer.registry import query
 from assayer.sources import parse
 from assayer.sources.tables import read
@@ -50,16 +49,21 @@ def dedup_summary(spark: SparkSession, sf: str) -> DataFrame:
     return found.agg(F.sum("members").alias("passages"), F.count("*").alias("kept"), F.sum(F.col("members") - 1).alias("removed"))
 
 
+#: A clause that is nothing but a label (fixed value).
+LABEL = r"(?i)^(?:Table|Fig(?:ure)?\.?)\s+[A-Za-z0-9.-]+\.$"
+
+
 @query(
-    "WITH " + SENT + """
+    "WITH " + SENT.replace("trim(regexp_replace(text,", "trim(regexp_replace('Table S' || (doc_id % 9) || '. ' || text,") + """
 SELECT doc_id, position::BIGINT AS position, 'C' || lpad(position::VARCHAR, greatest(3, length(position::VARCHAR))::INT, '0') AS clause_no,
-       CASE WHEN lag(clause) OVER w IS NOT NULL AND length(lag(clause) OVER w) <= 12 THEN lag(clause) OVER w || ' ' || clause ELSE clause END AS carried
+       CASE WHEN regexp_full_match(lag(clause) OVER w, '(?i)(?:Table|Fig(?:ure)?\\.?)\\s+[A-Za-z0-9.-]+\\.') THEN lag(clause) OVER w || ' ' || clause ELSE clause END AS carried
 FROM clauses WINDOW w AS (PARTITION BY doc_id ORDER BY position)"""
 )
 def caption_carry(spark: SparkSession, sf: str) -> DataFrame:
-    """Clause numbers; a clause that is only a short label is carried into the next one, all inside the row."""
-    rows = read(spark, sf, "documents").select("doc_id", F.inline(F.array(F.struct(T.sentences(F.col("text")).alias("s")))))
-    carried = F.expr("transform(s, (x, i) -> if(i > 0 and length(get(s, i - 1)) <= 12, concat(s[i - 1], ' ', x), x))")
+    """Clause numbers; a clause that is only the label of a table or figure is carried into the next one, inside the row."""
+    labelled = F.concat(F.lit("Table S"), F.col("doc_id") % 9, F.lit(". "), "text")
+    rows = read(spark, sf, "documents").select("doc_id", F.inline(F.array(F.struct(T.sentences(labelled).alias("s")))))
+    carried = F.transform("s", lambda x, i: F.when((i > 0) & F.get("s", i - 1).rlike(LABEL), F.concat_ws(" ", F.get("s", i - 1), x)).otherwise(x))
     rows = rows.select("doc_id", F.posexplode(carried).alias("i", "carried")).withColumn("position", (F.col("i") + 1).cast("long"))
     return rows.select("doc_id", "position", T.numbered("C", F.col("position")).alias("clause_no"), "carried")
 
@@ -112,51 +116,6 @@ def signal_census(spark: SparkSession, sf: str) -> DataFrame:
     return _signals(read(spark, sf, "documents")).groupBy("source").agg(F.count("*").alias("passages"), *counts, families.alias("families"), F.when(score >= 4, "complex").otherwise("simple").alias("route"))
 
 
-@query(
-    f"""WITH s AS (SELECT doc_id, source, lang, n_chars, {_signals_sql()} FROM documents)
-SELECT doc_id, (60 * license::INT + 120 * (quantity AND (contact OR license))::INT + 30 * contact::INT + 20 * (lang IN ('en', 'de'))::INT + 15 * (n_chars < 400)::INT
-       - 25 * (junk AND NOT license)::INT)::BIGINT AS priority,
-       coalesce(nullif(concat_ws(',', CASE WHEN license THEN 'direct' END, CASE WHEN quantity AND (contact OR license) THEN 'quantitative' END, CASE WHEN contact THEN 'anchor' END,
-       CASE WHEN lang IN ('en', 'de') THEN 'group' END, CASE WHEN n_chars < 400 THEN 'structured' END, CASE WHEN junk AND NOT license THEN 'background' END), ''), 'retrieval_candidate') AS reasons
-FROM s"""
-)
-def evidence_priority(spark: SparkSession, sf: str) -> DataFrame:
-    """Weighted evidence score with its reasons."""
-    c = F.col
-    rules = [
-        (c("license"), 60, "direct"), (c("quantity") & (c("contact") | c("license")), 120, "quantitative"), (c("contact"), 30, "anchor"),
-        (c("lang").isin("en", "de"), 20, "group"), (c("n_chars") < 400, 15, "structured"), (c("junk") & ~c("license"), -25, "background"),
-    ]
-    score = sum((F.when(r, w).otherwise(0) for r, w, _ in rules), F.lit(0)).cast("long")
-    reasons = F.concat_ws(",", *[F.when(r, n) for r, _, n in rules])
-    return _signals(read(spark, sf, "documents")).select("doc_id", score.alias("priority"), F.coalesce(F.nullif(reasons, F.lit("")), F.lit("retrieval_candidate")).alias("reasons"))
-
-
-@query(
-    f"""WITH s AS (SELECT doc_id, lang, n_chars, {_signals_sql()} FROM documents)
-SELECT doc_id FROM s WHERE (quantity OR license) AND NOT (junk AND NOT quantity) AND lang IS NOT NULL AND (contact OR (quantity AND n_chars > 200) OR license)"""
-)
-def signal_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Boolean gate that admits candidate passages."""
-    c = F.col
-    gate = (c("quantity") | c("license")) & ~(c("junk") & ~c("quantity")) & c("lang").isNotNull() & (c("contact") | (c("quantity") & (c("n_chars") > 200)) | c("license"))
-    return _signals(read(spark, sf, "documents")).where(gate).select("doc_id")
-
-
-@query(
-    """WITH s AS (SELECT doc_id, source, 40 * regexp_matches(text, '[0-9]')::INT + 30 * contains(text, '@')::INT + 20 * regexp_matches(text, 'licen[sc]e')::INT + 15 * (n_chars < 500)::INT AS score FROM documents),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
-SELECT source, doc_id, score::BIGINT AS score, rank::BIGINT AS rank FROM r WHERE rank <= 10"""
-)
-def identity_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Additive identity score, non-positive rows dropped, first rows per source."""
-    text = F.col("text")
-    parts = [(text.rlike("[0-9]"), 40), (text.contains("@"), 30), (text.rlike("licen[sc]e"), 20), (F.col("n_chars") < 500, 15)]
-    score = sum((F.when(c, w).otherwise(0) for c, w in parts), F.lit(0)).cast("long")
-    rows = read(spark, sf, "documents").select("source", "doc_id", score.alias("score")).where("score > 0")
-    return pack.top(rows, ["source"], [F.desc("score"), "doc_id"], 10)
-
-
 @query(
     """WITH v AS (SELECT o_orderkey, o_custkey, [' https://doi.org/10.1/', 'doi:10.2/', 'HTTP://DOI.ORG/', 'https://doi.org/doi:10.3/', ''][(o_orderkey % 5 + 1)::INT] AS p FROM orders)
 , w AS (SELECT o_orderkey, CASE WHEN p = '' THEN ' ' ELSE p || o_custkey END AS raw, CASE o_orderkey % 3 WHEN 0 THEN o_custkey::VARCHAR WHEN 1 THEN ' pmc' || o_custkey ELSE '' END AS pm FROM v)
@@ -184,32 +143,6 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "part").select("p_partkey", title.alias("title_key"), T.section_head(path).alias("head"), T.section_rest(path).alias("rest"))
 
 
-@query(
-    """WITH s AS (SELECT doc_id, list_transform(regexp_extract_all(text, '-?[0-9]+(?:[.][0-9]+)?'), lambda x: x::DOUBLE) AS n FROM documents)
-SELECT doc_id, len(n)::BIGINT AS mentions, len(list_distinct(n))::BIGINT AS candidates, round(list_max(n), 3) AS largest, round(n[-1], 3) AS last, len(n) > len(list_distinct(n)) AS more_mentions FROM s WHERE len(n) > 0"""
-)
-def numeric_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbers in text; more mentions than distinct candidates is a finding."""
-    rows = read(spark, sf, "documents").select("doc_id", T.numbers(F.col("text")).alias("n")).where(F.size("n") > 0)
-    candidates = F.size(F.array_distinct("n"))
-    return rows.select(
-        "doc_id", F.size("n").cast("long").alias("mentions"), candidates.cast("long").alias("candidates"), F.round(F.array_max("n"), 3).alias("largest"),
-        F.round(F.element_at("n", -1), 3).alias("last"), (F.size("n") > candidates).alias("more_mentions"),
-    )
-
-
-@query(
-    "WITH " + SENT + """, n AS (SELECT doc_id, position, regexp_extract_all(clause, '[0-9]+(?:[.][0-9]+)?') AS v, clause FROM clauses)
-SELECT doc_id, position::BIGINT AS position, unnest(v) AS value, CASE WHEN contains(clause, ' not ') OR contains(clause, ' no ') THEN 'negative' ELSE 'positive' END AS polarity FROM n"""
-)
-def result_atoms(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per value mentioned in a clause, with the clause's polarity."""
-    rows = dedup.clauses(read(spark, sf, "documents"), "doc_id", "text")
-    polarity = F.when(F.col("clause").contains(" not ") | F.col("clause").contains(" no "), "negative").otherwise("positive")
-    values = F.regexp_extract_all("clause", F.lit("[0-9]+(?:[.][0-9]+)?"), F.lit(0))
-    return rows.select("doc_id", F.col("position").cast("long").alias("position"), F.explode(values).alias("value"), polarity.alias("polarity"))
-
-
 @query("""SELECT doc_id, ceil(strlen(text) / 4.0)::BIGINT AS token_estimate, CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '…' ELSE text END AS shown, sha256(text) AS digest FROM documents""")
 def token_estimates(spark: SparkSession, sf: str) -> DataFrame:
     """Budget estimate, shortened display text and content digest."""

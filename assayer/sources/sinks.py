@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.sources.folders import Cuts
+
 
 def fingerprint(columns: list[str]) -> Column:
     """SHA-256 of the canonical JSON (keys in order, nulls left out) of a frozen list of columns."""
@@ -62,3 +64,20 @@ def converge_or_refuse(existing: DataFrame, proposed: DataFrame, keys: list[str]
     table = existing.join(gone, keys, "left_anti").unionByName(written.select(*existing.columns))
     ledger = existing.join(written.where("status = 'versioned'").select(*keys), keys, "left_semi").withColumn("superseded", F.lit(True))
     return table, ledger
+
+
+def report(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """(line_no, line): a Markdown table, header first; bars in cells are escaped, nulls are empty.
+
+    Lines are numbered by a sort over ranges, so a report of any size is written by many tasks.
+    """
+    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    lines = rows.select(*order, F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |")).alias("line")).orderBy(*order)
+    lines = lines.withColumns({"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id()}).select("_part", "_n", "line")
+    lines = Cuts(rows.sparkSession, "report")(lines)
+    sizes = lines.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_n"))
+    body = lines.join(F.broadcast(before), "_part").select((place + F.col("_before") + 1).cast("long").alias("line_no"), "line")
+    head = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
+    return rows.sparkSession.createDataFrame(list(enumerate(head)), "line_no long, line string").unionByName(body)

@@ -522,3 +522,168 @@ def test_progress_listener(spark, sf):
     finally:
         spark.streams.removeListener(listener)
     assert sum(b["rows"] for b in listener.batches if b["name"] == "told") == read(spark, sf, "events").count() and set(listener.ended.values()) == {None}
+
+
+def hit(pattern, text):
+    return re.search(pattern, text or "") is not None
+
+
+def visual_label(signature, text):
+    found = [m.group(1) for m in re.finditer(signals.VISUAL_REFERENCE, text)]
+    end = signals.PREFERRED_LABEL.get(signature)
+    return next((x for x in found if end and re.sub("[^a-z0-9]", "", x.lower()).endswith(end)), found[0] if found else "")
+
+
+def test_outcome_candidates_equal_brute_force(spark, sf):
+    place = {(r["paper"], r["source_id"]): r for r in E.stated_sources(spark, sf).collect()}
+    groups = defaultdict(list)
+    for r in sorted(E.stated_evidence(spark, sf).collect(), key=lambda r: (r["paper"], r["ord"])):
+        t = r["text"]
+        families = [n for n, p in signals.ENDPOINTS.items() if hit(p, t)]
+        if not hit(signals.DIRECT_SIGNAL, t) or not families or (hit(signals.METHOD_ONLY, t) and not hit(signals.OUTCOME_VALUE, t) and not hit(signals.RESULT_SIGNAL, t)):
+            continue
+        if "outcomes" not in r["tags"] and not (hit(signals.TARGET_CONTEXT, t) and (hit(signals.QUANTITATIVE_RESULT, t) or hit(signals.QUALITATIVE_RESULT, t))):
+            continue
+        for source_id in r["source_ids"]:
+            source = place.get((r["paper"], source_id))
+            if source and source["section"].lower() in ("introduction", "background"):
+                continue
+            for signature in [n for n, p in signals.SIGNATURES.items() if hit(p, t)] or ["general"]:
+                family = signals.SIGNATURE_FAMILY.get(signature)
+                visual = (source["location"] if source else None) or visual_label(signature, t)
+                groups[r["paper"], family if family in families else families[0], signature, visual.lower(), source_id].append(r)
+    want = {}
+    for key, rows in groups.items():
+        once = lambda xs: list(dict.fromkeys(xs))
+        t = " ".join(once(r["text"].strip(" ") for r in rows))
+        labels = [m.group(1) for m in re.finditer(signals.VISUAL_REFERENCE, t)]
+        figure = key[3] or (labels[0] if labels else None)
+        route = "vision" if figure and not hit(signals.EXPLICIT_VALUE, t) else "text"
+        near, acted = hit(signals.TARGET_CONTEXT, t) or key[1] in ("gene_editing", "therapeutic_function"), hit(signals.INTERVENTION, t)
+        why = ["explicit_numeric_result"] * (hit(signals.QUANTITATIVE_RESULT, t) and near) + ["explicit_result_language"] * (hit(signals.RESULT_SIGNAL, t) and acted and near)
+        why += ["visual_result_location"] * (route == "vision" and hit(signals.VISUAL_OUTCOME, t) and (acted or key[1] == "gene_editing") and near)
+        found = once(m.group(0) for m in re.finditer(signals.DIRECT_SIGNAL, t))[:12]
+        want[key[0], key[1], key[2], key[4], figure] = (
+            "|".join(once(r["evidence_id"] for r in rows)), "|".join(once(s for r in rows for s in r["source_ids"])), t, "|".join(found), route, "high" if why else "medium", "|".join(why),
+        )
+    rows = got(spark, sf, "outcome_candidates")
+    assert len({r["candidate_id"] for r in rows}) == len(rows) == len(groups)
+    have = {(r["paper"], r["family"], r["signature"], r["source_id"], r["figure"]): tuple(r[c] for c in ("evidence_ids", "source_ids", "text", "signals", "route_hint", "confidence", "reasons")) for r in rows}
+    assert have == want and {w[4] for w in want.values()} == {"text", "vision"} and {w[5] for w in want.values()} == {"high", "medium"}
+
+
+def test_complexity_census_equals_brute_force(spark, sf):
+    from assayer.operators import candidates as found_by
+
+    place = {(r["paper"], r["source_id"]): r["location"] for r in E.stated_sources(spark, sf).collect()}
+    papers = defaultdict(list)
+    for r in E.stated_evidence(spark, sf).collect():
+        papers[r["paper"]].append(r)
+    want = set()
+    for view, x in (("compact", found_by.COMPACT), ("full_corpus", found_by.FULL)):
+        for paper, rows in papers.items():
+            groups, volume, families, visuals, contextual, kinds, tagged = 0, 0.0, set(), set(), 0.0, set(), 0
+            for r in rows:
+                t = r["text"]
+                has = lambda name, t=t: hit(getattr(signals, name), t)
+                is_tagged = "outcomes" in r["tags"]
+                tagged += is_tagged
+                label = re.search(signals.VISUAL_REFERENCE, t)
+                shown = label and has("VISUAL_OUTCOME")
+                if not (is_tagged or has("QUANTITATIVE_RESULT") or (has("RESULT_SIGNAL") and has("INTERVENTION") and has("TARGET_CONTEXT")) or shown) or not has("DIRECT_SIGNAL"):
+                    continue
+                own = {n for n, p in signals.ENDPOINTS.items() if hit(p, t)}
+                if not own:
+                    continue
+                weight = x.corpus_weight if set(r["tags"]) == {"full_corpus"} else 1.0
+                if has("INTERVENTION"):
+                    contextual += weight
+                    kinds |= own
+                if has("OUTCOME_VALUE") or (has("RESULT_SIGNAL") and has("INTERVENTION")) or (shown and (has("INTERVENTION") or "gene_editing" in own)):
+                    groups, volume, families = groups + 1, volume + weight, families | own
+                    visuals |= ({label.group(1).lower()} if label else set()) | {place[paper, s].lower() for s in r["source_ids"] if place.get((paper, s))}
+            step = lambda n, many, some: 2 if n >= many else 1 if n >= some else 0
+            score = step(volume, x.many_groups, x.some_groups) + step(len(families), x.many_families, x.some_families) + 2 * bool(visuals) + (len(visuals) >= x.visuals)
+            score += 2 * (contextual >= x.many_contextual) + 2 * (len(kinds) >= x.contextual_families) + 2 * (tagged >= x.many_tagged)
+            want.add((paper, groups, len(families), len(visuals), score, "complex" if score >= 4 else "simple", view))
+    assert {tuple(r) for r in got(spark, sf, "complexity_census")} == want and len({w[4] for w in want}) > 3
+
+
+def test_identity_ranks_equal_brute_force(spark, sf):
+    section = {(r["paper"], r["source_id"]): r["section"] for r in E.stated_sources(spark, sf).collect()}
+    want = {}
+    for r in E.stated_evidence(spark, sf).collect():
+        t = r["text"]
+        near = any(re.search(signals.CELL_WORD, t[max(0, m.start() - 60) : m.end() + 60]) for m in re.finditer(signals.LINE_SHAPED, t))
+        score = 40 * near + 30 * hit(signals.PROVENANCE, t) + 20 * (r["block_type"] in signals.IDENTITY_BLOCKS) + 15 * hit(signals.RESOURCE_SECTION, section[r["paper"], r["source_ids"][0]])
+        if score:
+            want[r["paper"], r["evidence_id"]] = score
+    rows = got(spark, sf, "identity_ranks")
+    assert {(r["paper"], r["evidence_id"]): r["score"] for r in rows} == want and len(set(want.values())) > 4
+    by = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["paper"], r["rank"])):
+        by[r["paper"]].append((-r["score"], r["evidence_id"]))
+    assert all(x == sorted(x) for x in by.values())
+
+
+def test_result_atoms_equal_brute_force(spark, sf):
+    from assayer.functions import atoms
+
+    clauses = sorted(E.stated_clauses(spark, sf).collect(), key=lambda r: (r["paper"], r["ord"], r["i"]))
+    want, number, short = set(), Counter(), set()
+    for c in clauses:
+        t, numeric = c["text"], 0
+        if hit(atoms.CUE, t) or hit(atoms.NUMERIC, t):
+            for segment in [s.strip(" ,.") for s in re.split(atoms.SPLIT, t) if s.strip(" ")]:
+                numbers = [m.group(0) for m in re.finditer(atoms.NUMERIC, segment)]
+                told = next((p for p in atoms.PHRASES if p in segment.lower()), segment.strip(" "))
+                for value in numbers or ([told] if hit(atoms.CUE, segment) else []):
+                    number[c["paper"]] += 1
+                    numeric += bool(numbers)
+                    kind = "numeric" if numbers else "comparative" if hit(atoms.COMPARISON, segment) else "qualitative"
+                    seen = "below_detection" if hit(atoms.BELOW_DETECTION, segment) else "not_detected" if hit(atoms.NOT_DETECTED, segment) else "detected"
+                    population = [m.group(0) for p in atoms.POPULATIONS for m in re.finditer(p, segment)]
+                    first = lambda p, s=segment: m.group(0) if (m := re.search(p, s)) else None
+                    ident = f"RC-{c['clause_id']}-{number[c['paper']]:02d}-{hashlib.sha1((segment + value).encode()).hexdigest()[:8]}"
+                    want.add((c["paper"], c["clause_id"], ident, segment, value, kind, "negative" if hit(atoms.NEGATIVE, segment) else "positive", seen, first(atoms.COMPARISON), population[-1] if population else None, first(atoms.CUE)))
+        expected = len(re.findall(atoms.NUMERIC, t))
+        if expected > (numeric if c["paper"] % 4 else 0):
+            short.add((c["clause_id"], expected, numeric if c["paper"] % 4 else 0))
+    rows = got(spark, sf, "result_atoms")
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want) and {w[5] for w in want} == {"numeric", "comparative", "qualitative"}
+    assert {tuple(r) for r in got(spark, sf, "atom_cardinality")} == short and short
+
+
+def test_title_keys_equal_the_rule(spark, sf):
+    def key(text):
+        folded = unicodedata.normalize("NFKD", text.split("\n")[0]).lower()
+        return " ".join(re.sub(r"[^\w\s]", " ", folded).split())
+
+    want = {r["doc_id"]: key(r["text"]) for r in read(spark, sf, "documents").collect() if r["text"] is not None}
+    have = {r["doc_id"]: r["key"] for r in got(spark, sf, "title_keys") if r["key"]}
+    assert have == {i: hashlib.sha256(k.encode()).hexdigest() for i, k in want.items() if k}
+
+
+def test_neighbour_rounds_equal_a_sequence(spark, sf):
+    from assayer.plans.matching import _fused
+
+    known = {r["vec_id"] for r in read(spark, sf, "embeddings").collect()}
+    lists = defaultdict(list)
+    for r in sorted(_fused(spark, sf).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        lists[r["query_id"]].append((r["vec_id"], r["score"]))
+    want = set()
+    for q, hits in lists.items():
+        scores = dict(hits)
+        for k, _ in hits[:4]:
+            for side in (k - 1, k + 1):
+                if side in known:
+                    scores[side] = scores.get(side, 0.0) + scores[k] * 0.18
+        ordered = sorted(scores, key=lambda k: (-round(scores[k], 8), k))[:8]
+        want |= {(q, k, n + 1) for n, k in enumerate(ordered)}
+    assert {(r["query_id"], r["vec_id"], r["rank"]) for r in got(spark, sf, "neighbour_rounds")} == want
+
+
+def test_archive_members_stay_inside(spark):
+    names = ["a/b.xml", "../x", "a/../../x", "/etc/x", "C:\\x", "a\\..\\b", "", None, "..x/y"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(contracts.safe_member(F.col("n"))).collect()
+    assert [r[0] for r in rows] == [True, False, False, False, False, False, False, False, True]
