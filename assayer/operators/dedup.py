@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,11 +60,35 @@ def canonical_first(df: DataFrame, digest: list[str], order: str, name: str = "c
     return df.join(checked(_cut(least)), digest, "left").withColumn(name, F.coalesce("_least", order)).drop("_least")
 
 
+#: Edges that one task joins by itself; more are joined in rounds.
+SMALL_EDGES = 500_000
+
+
+def _joined(edges: pd.DataFrame) -> pd.DataFrame:
+    """Components of edges between numbers, by minima and shortcuts over arrays."""
+    nodes, places = np.unique(edges[["a", "b"]].to_numpy().ravel(), return_inverse=True)
+    a, b = places.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+        if np.array_equal(label, before):
+            return pd.DataFrame({"node": nodes, "component": nodes[label]})
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): smallest node reachable, by repeated minima and shortcuts over edges (a, b).
+    """(node, component): smallest node reachable over edges (a, b) between numbers.
 
-    Rounds go on until no label changes, so chains of any length settle; a shortcut halves what is left of a chain.
+    Up to ``SMALL_EDGES`` edges, counted, are joined in one task.  More are joined by repeated minima and shortcuts in
+    rounds that go on until no label changes, so chains of any length settle; a shortcut halves what is left of a chain.
     """
+    edges = _cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct())
+    if edges.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES:
+        return edges.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(_joined, "node long, component long")
     cut = Cuts(edges.sparkSession, "components")
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))

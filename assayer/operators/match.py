@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators.dedup import _cut, components
+from assayer.operators.pack import walked
 from assayer.operators.relate import checked
 from assayer.sources.folders import Cuts
 
@@ -31,27 +33,29 @@ def _sized(pairs: DataFrame, group: str) -> tuple[DataFrame, DataFrame | None]:
 def greedy(pairs: DataFrame, group: str, left: str, right: str, score: str, least: float) -> DataFrame:
     """(group, left, right, score): pairs by descending score, then left and right, whose sides are both free.
 
-    Groups of up to ``SMALL`` pairs are walked in one task each.  In larger ones, rounds take every pair that comes
-    first among the pairs of its left side and among those of its right side, which the walk would take as well, and
-    drop what touches them, until no pair is left.
+    Groups of up to ``SMALL`` pairs are streamed through in that order; a task holds the sides that one group has used.
+    In larger ones, rounds take every pair that comes first among the pairs of its left side and among those of its
+    right side, which the walk would take as well, and drop what touches them, until no pair is left.
     """
     kinds = dict(pairs.dtypes)
     schema = f"{group} {kinds[group]}, {left} {kinds[left]}, {right} {kinds[right]}, {score} double"
     rows = pairs.where(F.col(score) >= least).select(group, left, right, F.col(score).cast("double").alias(score))
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        used: tuple[set, set] = (set(), set())
-        taken = []
-        part = part.sort_values([score, left, right], ascending=[False, True, True])
-        for row in part[[group, left, right, score]].itertuples(index=False):
-            if row[1] not in used[0] and row[2] not in used[1]:
-                used[0].add(row[1])
-                used[1].add(row[2])
-                taken.append(row)
-        return pd.DataFrame(taken, columns=[group, left, right, score])
+    def step() -> Callable:
+        lefts: set = set()
+        rights: set = set()
+
+        def take(a: object, b: object, _score: float) -> bool:
+            if a in lefts or b in rights:
+                return False
+            lefts.add(a)
+            rights.add(b)
+            return True
+
+        return take
 
     small, large = _sized(rows, group)
-    found = small.groupBy(group).applyInPandas(walk, schema)
+    found = walked(small, group, [F.desc(score), left, right], [left, right, score], schema, step)
     return found if large is None else found.unionByName(_rounds(large, group, left, right, score))
 
 

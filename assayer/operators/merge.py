@@ -6,6 +6,8 @@ experiments: paper, experiment_id, ord and further columns.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,30 +24,27 @@ def _plain(column: str) -> Column:
 def rename_collisions(rows: DataFrame, group: str, name: str, order: list[str]) -> DataFrame:
     """Adds ``new_id``: a name that an earlier row of the group has gets -2, -3 and so on, passing over taken ones.
 
-    What a row is called depends on the names given before it, so groups with a repeated name are walked in order;
-    all others keep their names.
+    What a row is called depends on the names given before it, so groups are streamed through in order; a task holds
+    the names of one group.
     """
-    repeated = rows.groupBy(group, name).count().where("count > 1").select(F.col(group).alias("_g")).distinct()
-    here = F.col(group).eqNullSafe(F.col("_g"))
-    kept = rows.join(relate.checked(repeated), here, "left_anti").withColumn("new_id", F.col(name).cast("string"))
-    schema = ", ".join(f"`{n}` {k}" for n, k in kept.dtypes)
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        given: set[str] = set()
-        following: dict[str, int] = {}
-        out = []
-        for old in part[name]:
-            new = old
-            while new in given:
-                following[old] = n = following.get(old, 1) + 1
-                new = f"{old}-{n}"
-            given.add(new)
-            out.append(new)
-        return part.assign(new_id=out)
-
-    walked = rows.join(relate.checked(repeated), here, "left_semi").groupBy(group).applyInPandas(walk, schema)
-    return kept.unionByName(walked)
+    dealt = rows.withColumn("new_id", F.col(name).cast("string")).repartition(group).sortWithinPartitions(group, *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, given, following = object(), set(), {}
+        for batch in batches:
+            out = []
+            for key, old in zip(batch[group], batch["new_id"]):
+                if key != now:
+                    now, given, following = key, set(), {}
+                new = old
+                while new in given:
+                    following[old] = n = following.get(old, 1) + 1
+                    new = f"{old}-{n}"
+                given.add(new)
+                out.append(new)
+            yield batch.assign(new_id=out)
+
+    return dealt.mapInPandas(run, dealt.schema)
 
 
 def union_runs(runs: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -21,7 +21,7 @@ def prefix_budget(df: DataFrame, group: list[str], order: list, cost: str, budge
     return rows.withColumn("granted", F.least(F.col(cost), F.lit(budget) - F.col("_before"))).drop("_before")
 
 
-def _walked(rows: DataFrame, group: str, order: list, columns: list[str], schema: str, step: Callable[[], Callable]) -> DataFrame:
+def walked(rows: DataFrame, group: str, order: list, columns: list[str], schema: str, step: Callable[[], Callable]) -> DataFrame:
     """Rows that a walk takes: groups are dealt to tasks, sorted there and streamed through, one row at a time.
 
     A task holds the state of one group and one Arrow batch, whatever the group's size.  ``step()`` starts a group and
@@ -64,7 +64,7 @@ def greedy_budget(df: DataFrame, group: str, key: str, priority: str, cost: str,
         return take
 
     schema = f"{group} {kinds[group]}, {key} {kinds[key]}, {cost} long, _kept boolean"
-    return _walked(rows, group, [F.desc("_kept"), F.desc("_p"), key], [key, cost, "_kept"], schema, step).drop("_kept")
+    return walked(rows, group, [F.desc("_kept"), F.desc("_p"), key], [key, cost, "_kept"], schema, step).drop("_kept")
 
 
 def payload_budget(df: DataFrame, group: str, key: str, priority: str, parts: str, budget: int, base: int = 0) -> DataFrame:
@@ -94,7 +94,7 @@ def payload_budget(df: DataFrame, group: str, key: str, priority: str, parts: st
         return take
 
     schema = f"{group} {kinds[group]}, {key} {kinds[key]}, _parts {kinds[parts]}"
-    return _walked(rows, group, [F.desc("_p"), key], [key, "_parts"], schema, step).drop("_parts")
+    return walked(rows, group, [F.desc("_p"), key], [key, "_parts"], schema, step).drop("_parts")
 
 
 def closure_budget(df: DataFrame, group: str, key: str, priority: str, cost: str, parent: str, budget: int) -> DataFrame:

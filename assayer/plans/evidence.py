@@ -743,8 +743,8 @@ def eligibility(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """WITH u AS (SELECT user_id, event_type, 1000 + event_id % 500 AS i, event_id % 300 AS c, event_id % 90 AS w, event_id % 41 AS o FROM events)
-SELECT user_id, round(sum(greatest(0, i - c - w) * 3.0 + c * 0.3 + w * 3.75 + o * 15.0) / 1e6, 6) AS cost, sum(i + o)::BIGINT AS tokens, count(*) FILTER (event_type = 'purchase')::BIGINT AS accepted,
-round(sum(greatest(0, i - c - w) * 3.0 + c * 0.3 + w * 3.75 + o * 15.0) / 1e6 / nullif(count(*) FILTER (event_type = 'purchase'), 0), 6) AS cost_per_accepted FROM u GROUP BY user_id"""
+SELECT user_id, round(sum(greatest(0, i - c - w) * 3.0 + c * 0.3 + w * 3.75 + o * 15.0) / 1e6, 9) AS cost, sum(i + o)::BIGINT AS tokens, count(*) FILTER (event_type = 'purchase')::BIGINT AS accepted,
+round(sum(greatest(0, i - c - w) * 3.0 + c * 0.3 + w * 3.75 + o * 15.0) / 1e6 / nullif(count(*) FILTER (event_type = 'purchase'), 0), 12) AS cost_per_accepted FROM u GROUP BY user_id"""
 )
 def cost_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Prices of regular, cached and written input tokens and of output, per paper and per accepted outcome, null-safe."""
@@ -753,7 +753,7 @@ def cost_rollup(spark: SparkSession, sf: str) -> DataFrame:
     price = relate.token_cost("input", "cached", "written", "output", {"input": 3.0, "cached": 0.3, "written": 3.75, "output": 15.0})
     accepted = F.count_if(F.col("event_type") == "purchase")
     return usage.groupBy("user_id").agg(
-        F.round(F.sum(price), 6).alias("cost"), F.sum(F.col("input") + F.col("output")).alias("tokens"), accepted.alias("accepted"), F.round(F.sum(price) / F.nullif(accepted, F.lit(0)), 6).alias("cost_per_accepted")
+        F.round(F.sum(price), 9).alias("cost"), F.sum(F.col("input") + F.col("output")).alias("tokens"), accepted.alias("accepted"), F.round(F.sum(price) / F.nullif(accepted, F.lit(0)), 12).alias("cost_per_accepted")
     )
 
 

@@ -367,7 +367,9 @@ def test_containment_equals_brute_force(spark, monkeypatch, inline):
     assert contain.containing(t, "doc", "body", a.limit(0), "a", "anchor").count() == 0
 
 
-def test_long_chains_are_one_component(spark):
+@pytest.mark.parametrize("small", [dedup.SMALL_EDGES, 0])
+def test_long_chains_are_one_component(spark, monkeypatch, small):
+    monkeypatch.setattr(dedup, "SMALL_EDGES", small)
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 300)] + [(1000, 1001)], "a long, b long")
     found = dict(map(tuple, dedup.components(edges).collect()))
     assert {found[i] for i in range(301)} == {0} and found[1001] == 1000
