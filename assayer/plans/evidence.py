@@ -12,7 +12,7 @@ from assayer.functions import signals as S
 from assayer.functions import text as T
 from assayer.functions import atoms
 from assayer.operators import candidates as found_by
-from assayer.operators import contracts, coverage, dedup, match, merge, pack, relate, similarity
+from assayer.operators import contracts, coverage, dedup, graph, match, merge, pack, relate, similarity
 from assayer.registry import query
 from assayer.sources import corpus, sinks
 from assayer.sources.tables import read
@@ -797,3 +797,56 @@ def neighbour_rounds(spark: SparkSession, sf: str) -> DataFrame:
     from assayer.plans.matching import _fused
 
     return retrieve.neighbour_rounds(_fused(spark, sf), read(spark, sf, "embeddings").select("vec_id"), "query_id", "vec_id", 8)
+
+
+TYPES, NAMES = ("cell", "lnp_component", "disease", "outcome"), ("hepatocytes", "ionizable lipid", "fibrosis", "uptake", "T and B cells", "mRNA lipid", "Healthy liver ", "a, b")
+ALLOWED = (("expresses", "cell", "lnp_component"), ("treats", "lnp_component", "disease"), ("expresses", "disease", "outcome"), ("shows", "outcome", "cell"))
+GRAPH = f"""{P}, e AS (SELECT paper, pos, 'N' || pos AS id, {list(TYPES)}[(pos % 4 + 1)::INT] AS type, {list(NAMES)}[(pos % 8 + 1)::INT] AS name FROM p),
+k AS (SELECT paper, pos, 'K' || pos AS id, 'N' || (pos - 1) AS s, 'N' || pos AS o, ['expresses', 'treats', 'shows'][(pos % 3 + 1)::INT] AS predicate, CASE WHEN pos % 5 = 0 THEN 'SHARED' ELSE 'E' || (pos // 4) END AS x FROM p WHERE pos > 0),
+s AS (SELECT paper, 'N' || pos AS owner, CASE WHEN pos % 11 = 10 THEN 'ghost' ELSE evidence_id END AS c, CASE WHEN pos % 7 = 6 THEN 'zq zq' ELSE '  ' || substr(text, 1, 12) END AS quote FROM p
+  UNION ALL SELECT paper, 'N' || pos, paper || '-' || (pos + 1), '' FROM p WHERE pos % 2 = 0 AND (paper, pos + 1) IN (SELECT (paper, pos) FROM p) UNION ALL SELECT paper, 'K' || pos, evidence_id, '' FROM p WHERE pos > 0)"""
+
+
+@query(
+    f"""WITH {GRAPH}, t AS (SELECT s.*, p.text FROM s LEFT JOIN p ON p.paper = s.paper AND p.evidence_id = s.c),
+u AS (SELECT k.*, a.type AS st, b.type AS ot FROM k LEFT JOIN e a ON a.paper = k.paper AND a.id = k.s LEFT JOIN e b ON b.paper = k.paper AND b.id = k.o)
+SELECT DISTINCT * FROM (SELECT paper, owner, 'unknown_clause' AS issue FROM t WHERE text IS NULL UNION ALL SELECT paper, owner, 'non_verbatim_quote' FROM t WHERE NOT contains({NORM.format('text')}, {NORM.format('quote')})
+UNION ALL SELECT paper, id, 'payload_as_component' FROM e WHERE type = 'lnp_component' AND name = 'mRNA lipid' UNION ALL SELECT paper, id, 'physiology_as_disease' FROM e WHERE type = 'disease' AND name = 'Healthy liver '
+UNION ALL SELECT paper, id, 'merged_cell_entity' FROM e WHERE type = 'cell' AND name = 'T and B cells' UNION ALL SELECT paper, id, 'predicate_type_violation' FROM u WHERE coalesce((predicate, st, ot) NOT IN {ALLOWED}, true)
+UNION ALL SELECT k.paper, k.id, 'evidence_outside_experiment_scope' FROM k WHERE x <> 'SHARED' AND pos % 4 = 3
+UNION ALL SELECT k.paper, k.id, 'relation_entities_not_co_supported' FROM k WHERE NOT EXISTS (SELECT 1 FROM s a JOIN s b ON a.paper = b.paper AND a.c = b.c JOIN s d ON d.paper = a.paper AND d.c = a.c WHERE a.paper = k.paper AND a.owner = k.id AND b.owner = k.s AND d.owner = k.o)
+UNION ALL SELECT DISTINCT paper, 'SHARED', 'reserved_shared_id_used_as_experiment' FROM p WHERE paper % 9 = 0)"""
+)
+def graph_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence graphs against the clauses that they cite."""
+    rows, n = passages(spark, sf), F.col("pos")
+    tag = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    entities = rows.select("paper", tag("N", n).alias("entity_id"), _pick(TYPES, n % 4).alias("entity_type"), _pick(NAMES, n % 8).alias("name"))
+    claims = rows.where("pos > 0").select(
+        "paper", tag("K", n).alias("claim_id"), tag("N", n - 1).alias("subject_id"), _pick(("expresses", "treats", "shows"), n % 3).alias("predicate"), tag("N", n).alias("object_id"),
+        F.when(n % 5 == 0, "SHARED").otherwise(tag("E", F.floor(n / 4))).alias("experiment_id"),
+    )
+    quote = F.when(n % 7 == 6, "zq zq").otherwise(F.concat(F.lit("  "), F.substring("text", 1, 12)))
+    own = rows.select("paper", tag("N", n).alias("owner"), F.when(n % 11 == 10, "ghost").otherwise(F.col("evidence_id")).alias("clause_id"), quote.alias("quote"))
+    after = rows.select("paper", (n - 1).alias("pos"), "evidence_id").where("pos % 2 = 0").select("paper", tag("N", n).alias("owner"), F.col("evidence_id").alias("clause_id"), F.lit("").alias("quote"))
+    said = rows.where("pos > 0").select("paper", tag("K", n).alias("owner"), F.col("evidence_id").alias("clause_id"), F.lit("").alias("quote"))
+    scopes = rows.where("pos % 4 < 3").groupBy("paper", tag("E", F.floor(n / 4)).alias("experiment_id")).agg(F.collect_set("evidence_id").alias("clause_ids"))
+    stray = rows.where("paper % 9 = 0").select("paper", F.lit("SHARED").alias("experiment_id"), _none().alias("clause_ids")).distinct()
+    types = spark.createDataFrame(list(ALLOWED), "predicate string, subject_type string, object_type string")
+    return graph.audit(entities, claims, own.unionByName(after).unionByName(said), rows.select("paper", F.col("evidence_id").alias("clause_id"), "text"), scopes.unionByName(stray), types)
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey AS paper, CASE WHEN l_orderkey % 5 = 0 THEN 'O1' ELSE 'N' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) END AS k, l_orderkey % 3 = 0 AS stale FROM lineitem)
+SELECT o_orderkey AS paper, 'O1' AS k FROM orders UNION ALL SELECT paper, k FROM f WHERE NOT stale AND paper % 5 > 0 AND paper IN (SELECT o_orderkey FROM orders)"""
+)
+def appended_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Recovered records appended to the results that they were made for."""
+    from pyspark.sql import Window
+
+    base = read(spark, sf, "orders").select(F.col("o_orderkey").alias("paper"), F.lit("O1").alias("k"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("digest"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    paper = F.col("l_orderkey")
+    rows = read(spark, sf, "lineitem").withColumn("n", F.row_number().over(order))
+    rows = rows.select(paper.alias("paper"), F.when(paper % 5 == 0, "O1").otherwise(F.concat(F.lit("N"), "n")).alias("k"), F.when(paper % 3 == 0, "old").otherwise(F.sha2(paper.cast("string"), 256)).alias("digest"))
+    return graph.appended(base, rows, "k", "digest")[0].select("paper", "k")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assayer.functions import text as T
-from assayer.operators import contain, dedup, pack, relate
+from assayer.operators import contain, dedup, merge, pack, relate
 from assayer.registry import query
 from assayer.sources import sinks
 from assayer.sources.tables import read
@@ -291,8 +291,8 @@ SELECT CASE WHEN n = 1 THEN id ELSE id || '-' || n END AS new_id, o_orderkey, p:
 def collision_rename(spark: SparkSession, sf: str) -> DataFrame:
     """Ids that collide get -2, -3 and so on, in run order."""
     part = lambda m, p: read(spark, sf, "orders").where(f"o_orderkey % {m} = 0").select(F.concat_ws(":", "o_custkey", "o_orderpriority").alias("id"), F.lit(p).cast("long").alias("run"), "o_orderkey")
-    rows = part(2, 0).unionByName(part(3, 1)).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("run", "o_orderkey")))
-    return rows.select(F.when(F.col("n") == 1, F.col("id")).otherwise(F.concat_ws("-", "id", "n")).alias("new_id"), "o_orderkey", "run")
+    rows = part(2, 0).unionByName(part(3, 1)).withColumn("paper", F.substring_index("id", ":", 1))
+    return merge.rename_collisions(rows, "paper", "id", ["run", "o_orderkey"]).select("new_id", "o_orderkey", "run")
 
 
 @query("""(SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL (SELECT c_custkey FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT o_custkey FROM orders)""")

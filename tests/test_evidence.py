@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assayer import registry
 from assayer.functions import signals, stem
-from assayer.operators import contain, contracts, coverage, dedup, match, merge, pack, plugins, retrieve
+from assayer.operators import contain, contracts, coverage, dedup, graph, match, merge, pack, plugins, retrieve
 from assayer.plans import evidence as E
 from assayer.sources import corpus, folders, parse, sinks
 from assayer.sources.tables import read
@@ -689,3 +689,12 @@ def test_archive_members_stay_inside(spark):
     names = ["a/b.xml", "../x", "a/../../x", "/etc/x", "C:\\x", "a\\..\\b", "", None, "..x/y"]
     rows = spark.createDataFrame([(n,) for n in names], "n string").select(contracts.safe_member(F.col("n"))).collect()
     assert [r[0] for r in rows] == [True, False, False, False, False, False, False, False, True]
+
+
+def test_hierarchy_keeps_to_files_pages_and_sections(spark):
+    blocks = [("a", "p", "x.xml", "xml", "S1", None, 0), ("b", "p", "x.xml", "xml", "S1", None, 1), ("c", "p", "x.xml", "xml", "S2", None, 2), ("d", "p", "y.pdf", "pdf", "T", 1, 3), ("e", "p", "y.pdf", "pdf", "U", 2, 4), ("f", "p", "y.pdf", "pdf", "U", 9, 5), ("g", "q", "y.pdf", "pdf", "U", 2, 3)]
+    b = spark.createDataFrame(blocks, "block_id string, paper string, path string, kind string, section string, page int, ord int")
+    hits = spark.createDataFrame([("k", "b", 1, 1.0), ("k", "e", 2, 0.5), ("k", "c", 3, 0.4), ("k", "f", 4, 0.1)], "query_id string, block_id string, rank int, score double")
+    found = graph.hierarchy(hits, b).orderBy("place").collect()
+    assert [(r["block_id"], r["score"]) for r in found] == [("b", 1.0), ("e", 0.5), ("c", 0.4), ("f", 0.1), ("a", 0.18), ("d", 0.09)]
+    assert [r["block_id"] for r in graph.hierarchy(hits, b, most=5).orderBy("place").collect()] == ["b", "e", "c", "f", "a"]
