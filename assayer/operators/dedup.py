@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -129,27 +131,29 @@ def ordered_groups(df: DataFrame, keys: list[str], order: str, block: str | None
 
     A record joins the earliest group that one of its keys points to, and its keys then point to that group; bridged
     groups stay apart.  A group is named by the ``order`` of its first record.  Records that share no key, directly or
-    through others, can't meet, so each connected part is walked by itself; a part is the unit that is sequential by
-    definition.  Records without any key are groups of their own.
+    through others, can't meet, so parts are dealt to tasks and streamed through in order; a task holds the keys of one
+    part, which is the unit that is sequential by definition.  Records without any key are groups of their own.
     """
     name = block or "_block"
     rows = df.withColumn("_block", F.lit("")) if block is None else df
     rows = _blocked(rows.select(F.col(name).cast("string").alias(name), F.col(order).cast("long").alias(order), *keys), keys, name)
     alone = rows.where("part is null").select(name, order, F.col(order).alias("group_id"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        owner: dict[tuple, int] = {}
-        groups = []
-        part = part.sort_values(order)
-        for place, *values in part[[order, *keys]].itertuples(index=False):
-            marks = [(k, v) for k, v in zip(keys, values) if v is not None and v == v]
-            group = min((owner[m] for m in marks if m in owner), default=place)
-            owner.update(dict.fromkeys(marks, group))
-            groups.append(group)
-        return pd.DataFrame({name: part[name], order: part[order], "group_id": groups})
-
-    walked = rows.where("part is not null").groupBy("part").applyInPandas(run, f"{name} string, {order} long, group_id long")
-    return walked.unionByName(alone)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, owner = object(), {}
+        for batch in batches:
+            groups = []
+            for part, place, *values in batch[["part", order, *keys]].itertuples(index=False):
+                if part != now:
+                    now, owner = part, {}
+                marks = [(k, v) for k, v in zip(keys, values) if v is not None and v == v]
+                group = min((owner[m] for m in marks if m in owner), default=place)
+                owner.update(dict.fromkeys(marks, group))
+                groups.append(group)
+            yield pd.DataFrame({name: batch[name], order: batch[order], "group_id": groups})
+
+    dealt = rows.where("part is not null").repartition("part").sortWithinPartitions("part", order)
+    return dealt.mapInPandas(run, f"{name} string, {order} long, group_id long").unionByName(alone)
 
 
 def greedy_near(df: DataFrame, block: str, order: str, terms: str, threshold: float = 0.92) -> DataFrame:
