@@ -303,7 +303,7 @@ def evidence_gate(hits: DataFrame, queries: DataFrame, least: int = 2) -> DataFr
     empty = F.expr("cast(array() as array<string>)")
     rows = hits.join(queries.select("query_id", F.col("paper").alias("_p")), "query_id").groupBy("query_id").agg(
         F.count("*").alias("n"), F.count_distinct("block_id").alias("d"), F.bool_or(~F.col("paper").eqNullSafe(F.col("_p"))).alias("leak"),
-        F.array_distinct(F.flatten(F.collect_set(F.coalesce("entity_types", empty)))).alias("types"), F.count_distinct(S.has(F.col("text"), S.NEGATION)).alias("signs"),
+        F.array_distinct(F.flatten(F.collect_set(F.coalesce("entity_types", empty)))).alias("types"), F.count_distinct(F.col("text").rlike(S.bounded(S.NEGATION))).alias("signs"),
     )
     rows = queries.join(rows, "query_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "types": F.coalesce("types", empty), "required": F.coalesce("required", empty)})
     lacking = F.size(F.array_except("required", "types")) > 0

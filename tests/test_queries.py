@@ -53,3 +53,15 @@ def test_folded_keys_read_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     key = {r["doc_id"]: r["key"] for r in QUERIES["folded_keys"](spark, str(tmp_path)).collect()}
     assert key[0] != key[1]
+
+
+def test_evidence_gate_on_letters_beyond_ascii_and_null_texts(spark, tmp_path):
+    """A negation beside a letter beyond ASCII counts, as in the SQL's \\b; a null text has no polarity."""
+    texts = {1: "noítaga cimita", 2: "éno", 3: "le chatnon", 4: "uñnot_", 6: None, 7: "not here"}
+    rows = [(conv, turn, "user", said) for conv, text in texts.items() for turn, said in ((0, "plain"), (2, text))]
+    rows += [(9, 0, "user", None), (9, 2, "user", "not here")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got, want = QUERIES["evidence_gate"](spark, str(tmp_path)).toPandas(), c.sql(SQL["evidence_gate"]).df()
+    assert canonical(got) == canonical(want) and set(want[want["needs_review"]]["query_id"]) == {1, 2, 7}
