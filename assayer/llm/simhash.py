@@ -11,11 +11,13 @@ trees would grow with the corpus.  A bucket's links come back as a star to its s
 large-star and small-star steps join the stars to components.
 
 That is the contract of the op8 query (``similarity=None``).  By default texts are linked whose sets of five-word
-shingles have a Jaccard similarity of 0.8 at least, which is about ten bits and beyond any radius that buckets
-of bits can serve.  Twenty bands of three minima of the sets propose pairs (all pairs of buckets of up to ``ALL_PAIRS``
-texts, the next ``AHEAD`` in hashed order in larger ones, so pairs grow with the rows); minima that agree in too few
-places drop a pair, and what remains is decided by the whole sets.  Texts equal but for blanks and the case of
-ASCII letters are one node.
+shingles have a Jaccard similarity of 0.8 at least.  Two fingerprints then differ in about a bit in seven, too many for
+blocks of bits, so each text has ``CODES`` fingerprints of its set under different mixes.  Tables deal the nodes to
+buckets by some of all bits (more bits and more tables the more nodes there are, so that buckets stay small and a pair at
+the limit misses them all with ``MISSED``), and a BK-tree on a fingerprint of the table is searched in each bucket.
+All fingerprints, then the whole sets decide.  A first pass proposes each node's ``NEAREST`` in its bucket;
+a second one proposes all others that the trees find, but for pairs that the first has joined to one component, and so
+loses no link whatever a group's size.  Texts equal but for blanks and the case of ASCII letters are one node.
 
 Null or blank texts have fingerprint 0 and link like any other.  Rows with a null id take part and never name
 a component unless all its ids are null.  Repeated rows keep one row each in ``near_duplicates``;
@@ -24,6 +26,7 @@ a component unless all its ids are null.  Repeated rows keep one row each in ``n
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +45,14 @@ SHARD_ROWS, BUCKET_ROWS = 100_000, 20_000
 SALTS = 16
 #: Nodes that may be joined by a broadcast because their rows are very many.
 MOST_HOT = 1000
-#: Jaccard similarity that links texts, words of its shingles, bands of minima and minima of a band.
-SIMILAR, WORDS, BANDS, BAND = 0.8, 5, 20, 3
-#: Members of a bucket that are all compared, members ahead that each is compared with in larger ones, and the share
-#: of equal minima under which a pair is dropped: five standard deviations below SIMILAR.
-ALL_PAIRS, AHEAD, LEAST_SHARE = 16, 3, 0.55
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Jaccard similarity that links texts, words of its shingles, 64-bit fingerprints of a text.
+SIMILAR, WORDS, CODES = 0.8, 5, 16
+#: Nodes of a bucket, as its key's bits are chosen, and the chance that a pair at the limit meets in no bucket.
+BUCKET, MISSED = 64, 0.005
+#: Neighbours that a node proposes first, in parts of a bucket of so many nodes.
+NEAREST, PART = 2, 1000
+_RNG = np.random.default_rng(SEED)
+_ODD = _RNG.integers(0, 1 << 63, (2, CODES)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def hashes_of(text: str | None, shingle: int) -> np.ndarray:
@@ -102,10 +107,11 @@ class Trees:
         by = np.argsort(keys)
         self.keys, self.nodes = keys[by], nodes[by]
 
-    def links(self, radius: int, block: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, node) of one group within the radius, in blocks of queries."""
-        for start in range(0, len(self.codes), block):
-            query = np.arange(start, min(start + block, len(self.codes)))
+    def links(self, radius: int, block: int = 2048, queries: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, node) of one group within the radius, in blocks of queries (all nodes, if none are given)."""
+        queries = np.arange(len(self.codes)) if queries is None else queries
+        for start in range(0, len(queries), block):
+            query = queries[start : start + block]
             at = self.root[query]
             while len(query):
                 far = np.bitwise_count(self.codes[query] ^ self.codes[at]).astype(np.int64)
@@ -191,19 +197,25 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def sketch_of(text: str | None) -> bytes:
-    """The minima of a text's set of shingles under BANDS * BAND orders, four bytes each; empty for a blank text."""
+    """``CODES`` fingerprints of a text's set of shingles, eight bytes each; empty for a blank text."""
     hashes = np.unique(hashes_of(text, WORDS))
     if not len(hashes):
         return b""
-    low = np.full(BANDS * BAND, ~np.uint64(0), np.uint64)
-    for at in range(0, len(hashes), 1 << 12):
-        low = np.minimum(low, (hashes[None, at : at + (1 << 12)] * _ODD[0] + _ODD[1]).min(axis=1))
-    return (low >> np.uint64(32)).astype("<u4").tobytes()
+    counts = np.zeros(64 * CODES, np.int64)
+    for at in range(0, len(hashes), 255):
+        mixed = hashes[at : at + 255, None] * _ODD[0]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _ODD[1]
+        mixed = mixed ^ (mixed >> np.uint64(29))
+        counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
 
 
 def jaccard_of(a: str | None, b: str | None) -> float:
     """Similarity of the whole sets of two texts."""
-    a, b = np.unique(hashes_of(a, WORDS)), np.unique(hashes_of(b, WORDS))
+    return _overlap(np.unique(hashes_of(a, WORDS)), np.unique(hashes_of(b, WORDS)))
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
@@ -223,32 +235,185 @@ def content(text: Column) -> Column:
     return F.xxhash64(F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
+def differing(similarity: float, bits: int, deviations: float) -> int:
+    """Bits of ``bits`` that texts of a similarity differ in at most, but for so many standard deviations."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * share + deviations * np.sqrt(bits * share * (1 - share))))
+
+
+def tables(nodes: int, similarity: float = SIMILAR) -> list[np.ndarray]:
+    """The bits of the sketch that make each table's key."""
+    bits = max(0, int(np.ceil(np.log2(max(nodes, 1) / BUCKET))))
+    meet = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** bits
+    many = max(8, int(np.ceil(np.log(MISSED) / np.log1p(-meet)))) if meet < 1 else 8
+    rng = np.random.default_rng(SEED)
+    return [rng.choice(64 * (CODES - 1), bits, replace=False) for _ in range(many)]
+
+
+def placed(sketches: pd.Series, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket and the code of each sketch in each table; a key has no bit of its table's code."""
+    codes = np.frombuffer(b"".join(sketches), "<i8").reshape(-1, CODES)
+    bits, own = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little"), np.arange(len(keys)) % CODES
+    buckets = [(n << 48) + bits[:, k + 64 * (k >= 64 * c)].astype(np.int64) @ (np.int64(1) << np.arange(len(k))) for n, (k, c) in enumerate(zip(keys, own))]
+    return np.stack(buckets, axis=1), codes[:, own]
+
+
+def dealt(nodes: DataFrame, keys: list[np.ndarray]) -> DataFrame:
+    """``nodes`` with a sketch, a row for each table with its ``bucket`` and ``code``."""
+    names = nodes.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            buckets, codes = placed(batch["sketch"], keys)
+            for n in range(len(keys)):
+                yield batch[names].assign(bucket=buckets[:, n], code=codes[:, n])
+
+    kinds = ", ".join(f"{n} {k}" for n, k in nodes.dtypes)
+    return nodes.where("length(sketch) > 0").mapInPandas(run, f"{kinds}, bucket long, code long")
+
+
+def nearest(rows: pd.DataFrame, radius: int, most: int = NEAREST, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of (node, bucket, code): each node's nearest within the radius, in parts of its bucket in order of codes."""
+    rows = rows.sort_values(["bucket", "code", "node"])
+    _, start, group = np.unique(rows["bucket"], return_index=True, return_inverse=True)
+    group = group * (1 << 24) + (np.arange(len(rows)) - start[group]) // part
+    return _found(rows, group, radius, None, most)
+
+
+def apart(rows: pd.DataFrame, radius: int, keys: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of (node, label, sketch, bucket, code) within the radius whose labels differ and whose sketches differ in
+    ``most`` bits at most, in the first table that they meet in."""
+    rows = rows.sort_values(["bucket", "label"])
+    bucket, label = rows["bucket"].to_numpy(), rows["label"].to_numpy()
+    first = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (label[1:] != label[:-1])])
+    size = np.diff(np.r_[first, len(rows)])
+    # Nodes of a bucket's most frequent label are found, but needn't search.
+    order = np.lexsort((-size, bucket[first]))
+    major = order[np.r_[True, bucket[first][order][1:] != bucket[first][order][:-1]]]
+    asks = ~np.isin(np.repeat(np.arange(len(first)), size), major)
+    alone = np.isin(bucket, np.unique(bucket[asks]))
+    rows, bucket, asks = rows[alone], bucket[alone], asks[alone]
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    node, label = rows["node"].to_numpy(), rows["label"].to_numpy()
+    sketches, table = np.frombuffer(b"".join(rows["sketch"]), "<u8").reshape(-1, CODES), bucket >> 48
+    buckets, codes = placed(rows["sketch"], keys)
+    codes = codes.view(np.uint64)
+
+    def fits(q: np.ndarray, n: np.ndarray) -> np.ndarray:
+        # Of two that both search, the larger does.
+        ok = np.flatnonzero(asks[q] & (label[q] != label[n]) & (~asks[n] | (node[q] > node[n])))
+        ok = ok[np.bitwise_count(sketches[q[ok]] ^ sketches[n[ok]]).sum(axis=1, dtype=np.int32) <= most]
+        for t in range(len(keys) - 1):
+            x, y = q[ok], n[ok]
+            ok = ok[(table[x] <= t) | (buckets[x, t] != buckets[y, t]) | (np.bitwise_count(codes[x, t] ^ codes[y, t]) > radius)]
+        return ok
+
+    return _found(rows, bucket, radius, asks, None, fits)
+
+
+def _found(rows: pd.DataFrame, group: np.ndarray, radius: int, asks: np.ndarray | None, most: int | None, fits=None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (larger node, smaller node) within the radius, of groups' trees of distinct codes: each node's ``most``
+    nearest, or all that fit."""
+    none = np.zeros(0, np.int64)
+    if not len(rows):
+        return none, none
+    order = np.lexsort((rows["code"].to_numpy().view(np.uint64), group))
+    group, code, node = group[order], rows["code"].to_numpy().view(np.uint64)[order], rows["node"].to_numpy()[order]
+    start = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (code[1:] != code[:-1])])
+    size = np.diff(np.r_[start, len(code)])
+    trees = Trees(code[start], np.unique(group[start], return_inverse=True)[1])
+    queries = np.arange(len(start)) if asks is None else np.flatnonzero(np.add.reduceat(asks[order], start))
+    several = np.flatnonzero(size > 1)
+    held, many = [], 0
+
+    def least() -> list[tuple[np.ndarray, np.ndarray]]:
+        q, n = (np.concatenate(x) for x in zip(*held))
+        by = np.lexsort((node[n], np.bitwise_count(code[q] ^ code[n]), q))
+        q, n = q[by], n[by]
+        new = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        near = np.arange(len(q)) - np.repeat(new, np.diff(np.r_[new, len(q)])) < most
+        return [(q[near], n[near])]
+
+    for x, y in itertools.chain([(several, several)], trees.links(radius, 256, queries)):
+        each = size[x] * size[y]
+        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        wide = np.repeat(size[y], each)
+        q, n = np.repeat(start[x], each) + at // wide, np.repeat(start[y], each) + at % wide
+        ok = np.flatnonzero(q != n) if fits is None else fits(order[q], order[n])
+        if len(ok):
+            held.append((q[ok], n[ok]))
+            many += len(ok)
+        if most and many > 1 << 19:
+            held = least()
+            many = len(held[0][0])
+    if not held:
+        return none, none
+    q, n = (np.concatenate(x) for x in zip(*(least() if most else held)))
+    return np.maximum(node[q], node[n]), np.minimum(node[q], node[n])
+
+
+def _by_node(pairs: DataFrame, side: str, rows: DataFrame, column: str) -> DataFrame:
+    """``pairs`` with a column of the nodes on one side; nodes of more than a thousandth of all pairs are joined by a broadcast."""
+    rows = rows.select(F.col("node").alias(side), F.col(column).alias(f"{side}_{column}"))
+    hot = pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > max(100, pairs.count() / MOST_HOT)).select(side).checkpoint()
+    if hot.isEmpty():
+        return pairs.join(rows, side)
+    there = pairs.join(F.broadcast(rows.join(F.broadcast(hot), side, "left_semi")), side)
+    return there.unionByName(pairs.join(F.broadcast(hot), side, "left_anti").join(rows, side))
+
+
 def similar_links(texts: DataFrame, nodes: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-    """(a, b) of nodes whose texts are similar; ``texts`` has (node, text), ``nodes`` one (node, sketch) each."""
-    width = 4 * BAND
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 1 + width * i, width)) for i in range(BANDS)])
-    keyed = nodes.where("length(sketch) > 0").select("node", F.explode(bands).alias("bucket"))
-    counts = keyed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    ahead = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "node"), "node").rowsBetween(1, ALL_PAIRS - 1)
-    found = keyed.join(counts, "bucket").withColumn("others", F.collect_list("node").over(ahead))
-    found = found.select("node", F.explode(F.expr(f"if(members <= {ALL_PAIRS}, others, slice(others, 1, {AHEAD}))")).alias("other"))
-    pairs = found.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    """(a, b) of nodes whose texts are similar; ``texts`` has (node, text), ``nodes`` one (node, sketch) each.
 
-    @F.pandas_udf("double")
-    def share(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([float(np.mean(np.frombuffer(i, "<u4") == np.frombuffer(j, "<u4"))) for i, j in zip(x, y)], dtype=float)
+    Similar pairs that other links join already may be left out.
+    """
+    radius, most = differing(similarity, 64, 2.2), differing(similarity, 64 * CODES, 2.6)
+    cut = Cuts(nodes.sparkSession, "similar")
+    keys = tables(nodes.count(), similarity)
+
+    @F.pandas_udf("int")
+    def far(x: pd.Series, y: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(i), "<u8").reshape(-1, CODES) for i in (x, y))
+        return pd.Series(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32))
+
+    @F.pandas_udf("binary")
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([np.unique(hashes_of(x, WORDS)).tobytes() for x in batch], dtype=object)
 
     @F.pandas_udf("double")
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([jaccard_of(i, j) for i, j in zip(x, y)], dtype=float)
-
-    side = lambda rows, column, name: rows.select(F.col("node").alias(name), F.col(column).alias(f"{name}_{column}"))
-    pairs = pairs.join(side(nodes, "sketch", "a"), "a").join(side(nodes, "sketch", "b"), "b")
-    pairs = pairs.where(share("a_sketch", "b_sketch") >= LEAST_SHARE).select("a", "b").checkpoint()
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().checkpoint()
-    held = texts.join(small(needed), "node", "left_semi").dropDuplicates(["node"])
-    pairs = pairs.join(side(held, "text", "a"), "a").join(side(held, "text", "b"), "b")
-    return pairs.where(jaccard("a_text", "b_text") >= similarity).select("a", "b")
+        return pd.Series([_overlap(np.frombuffer(i, "<u8"), np.frombuffer(j, "<u8")) for i, j in zip(x, y)], dtype=float)
+
+    def proposed(nodes: DataFrame, shard_rows: int, search) -> DataFrame:
+        def run(x: pd.DataFrame) -> pd.DataFrame:
+            a, b = search(x)
+            return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+        shards = max(32, 1 + nodes.count() * len(keys) // shard_rows)
+        shard = F.pmod(F.xxhash64("bucket"), F.lit(shards)).alias("shard")
+        return dealt(nodes, keys).select("*", shard).groupBy("shard").applyInPandas(run, "a long, b long")
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        # Sets are made once for each text, not for each pair.
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().checkpoint()
+        held = texts.join(small(needed), "node", "left_semi").dropDuplicates(["node"])
+        held = cut(held.select("node", whole("text").alias("set")))
+        pairs = _by_node(_by_node(pairs, "a", held, "set"), "b", held, "set")
+        return cut(pairs.where(jaccard("a_set", "b_set") >= similarity).select("a", "b"))
+
+    close = cut(proposed(nodes.select("node", "sketch"), SHARD_ROWS // 4, lambda x: nearest(x, radius)).distinct())
+    first = _by_node(_by_node(close, "a", nodes, "sketch"), "b", nodes, "sketch")
+    first = cut(first.where(far("a_sketch", "b_sketch") <= most).select("a", "b"))
+    linked = decided(first)
+    # Only nodes that have a neighbour within the radius can have others.
+    labels = components(linked).select(F.col("a").alias("node"), F.col("b").alias("label"))
+    some = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left")
+    some = cut(some.select("node", F.coalesce("label", "node").alias("label")).join(nodes.select("node", "sketch"), "node"))
+    rest = proposed(some, SHARD_ROWS // 12, lambda x: apart(x, radius, keys, most))
+    rest = cut(rest.join(first, ["a", "b"], "left_anti"))
+    return linked if rest.isEmpty() else linked.unionByName(decided(rest))
 
 
 def _classes(docs: DataFrame, firsts: DataFrame, edges: DataFrame) -> DataFrame:

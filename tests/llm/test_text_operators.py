@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -268,6 +269,42 @@ def test_bk_trees_find_all_links_in_dense_groups():
     assert found == {(int(codes[i]), int(codes[j])) for i, j in np.argwhere((far <= 2) & (far > 0))}
 
 
+def test_trees_propose_every_pair_of_a_dense_group_once():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2, (5, 64 * simhash.CODES)).astype(np.uint8)
+    bits = base[rng.integers(0, 5, 600)] ^ (rng.random((600, 64 * simhash.CODES)) < 0.1)
+    bits[:40] = bits[0]
+    sketches = pd.Series([np.packbits(b, bitorder="little").tobytes() for b in bits])
+    keys, node, label = simhash.tables(600), rng.permutation(600), rng.integers(0, 4, 600)
+    buckets, codes = simhash.placed(sketches, keys)
+    rows = pd.concat([pd.DataFrame({"node": node, "label": label, "sketch": sketches, "bucket": buckets[:, t], "code": codes[:, t]}) for t in range(len(keys))])
+    got = list(zip(*(x.tolist() for x in simhash.apart(rows.sample(frac=1, random_state=1), 16, keys, 185))))
+    near = np.array([(bits ^ x).sum(axis=1, dtype=int) <= 185 for x in bits]) & (label[:, None] != label)
+    meet = sum((buckets[:, t, None] == buckets[:, t]) & (np.bitwise_count(codes.view(np.uint64)[:, t, None] ^ codes.view(np.uint64)[:, t]) <= 16) for t in range(len(keys)))
+    assert sorted(got) == sorted((node[i], node[j]) for i, j in np.argwhere(near & (meet > 0)) if node[i] > node[j])
+
+
+def test_near_copies_of_one_text_lose_no_link(llm):
+    """A group far over any bound on neighbours: similar to few others each, in components that brute force gives."""
+    rng = np.random.default_rng(11)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for i in range(400):
+        changed = list(base)
+        for at in rng.integers(0, 150, rng.integers(1, 9)):
+            changed[at] = f"c{i}x{at}"
+        texts.append(" ".join(changed))
+    sets = [set(simhash.hashes_of(t, 5).tolist()) for t in texts]
+    label = list(range(400))
+    for i in range(400):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert 1 < len(set(label)) < 300
+    docs = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == dict(enumerate(label))
+
+
 def test_components_of_long_chains_and_divided_buckets(llm):
     chain = [(i + 1, i) for i in range(40)] + [(101, 100), (102, 101)]
     got = dict(map(tuple, simhash.components(llm.createDataFrame(chain, "a long, b long")).collect()))
