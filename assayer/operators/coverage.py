@@ -171,7 +171,10 @@ def inventory_recall(gold: DataFrame, candidates: DataFrame, located: DataFrame)
     near = located.join(g, ["paper", "gold_id"]).join(c, ["paper", "candidate_id"])
     near = near.where(F.size(F.array_intersect("g", "c")) >= 2).select("paper", "gold_id", "candidate_id")
     key = F.array_max(F.transform("v", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    far = g.where(F.size("v") > 0).withColumn("t", key).join(c.withColumn("t", F.explode("c")), ["paper", "t"])
+    # Tokens meet alone: a row for each token that carried the whole list would grow with the square of the text.
+    told = g.where(F.size("v") > 0).select("paper", "gold_id", key.alias("t")).distinct()
+    met = told.join(c.select("paper", "candidate_id", F.explode("c").alias("t")), ["paper", "t"]).select("paper", "gold_id", "candidate_id").distinct()
+    far = met.join(g, ["paper", "gold_id"]).join(c, ["paper", "candidate_id"])
     far = far.where((F.size(F.array_intersect("g", "c")) >= 4) & (F.size(F.array_except("v", F.array_intersect("g", "c"))) == 0)).select("paper", "gold_id", "candidate_id")
     hits = near.unionByName(far).distinct().groupBy("paper", "gold_id").agg(F.count("*").alias("candidates"))
     rows = gold.select("paper", "gold_id").join(hits, ["paper", "gold_id"], "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)).cast("long"))

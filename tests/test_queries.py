@@ -65,3 +65,10 @@ def test_evidence_gate_on_letters_beyond_ascii_and_null_texts(spark, tmp_path):
     c.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     got, want = QUERIES["evidence_gate"](spark, str(tmp_path)).toPandas(), c.sql(SQL["evidence_gate"]).df()
     assert canonical(got) == canonical(want) and set(want[want["needs_review"]]["query_id"]) == {1, 2, 7}
+
+
+def test_inventory_recall_explodes_no_row_that_carries_its_tokens(spark, sf):
+    """A token's row holds the token alone, not the text's whole list beside it."""
+    plan = QUERIES["inventory_recall"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    exploded = [line for line in plan.splitlines() if "Generate explode(c#" in line]
+    assert exploded and all("), [2], " in line for line in exploded)
