@@ -14,14 +14,17 @@ every round leaves one window less and a partition pads one window at most.
 Tokens: the text's ids, then the end id.  Null texts count as empty.  No column but id and text is read (ids keep their
 type), repeated rows are packed each by itself, and an empty table gives an empty result.  A text's ids are those of
 the tokenizer over the whole text.  Tokenizers that lower-case, split at blanks and drop them, as ``KNOWN`` describes,
-never join across blanks: there, parts between blanks are encoded once per worker and kept in bounded tables.  Any
-other tokenizer encodes whole texts.
+never join across blanks: there, parts between blanks are encoded once per worker and kept in bounded tables, which
+are let go when a worker has packed nothing for a while.  Any other tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import re
+import threading
 from collections import deque
 from collections.abc import Iterator
 from pathlib import Path
@@ -35,6 +38,8 @@ from pyspark.sql import types as T
 WINDOW, END = 4096, 2
 #: Entries of each of two generations of a worker's tables: runs between blanks, and words, which cost more to encode.
 CHUNKS, PARTS = 320_000, 320_000
+#: Seconds after a partition's end until an idle worker's tables go; other stages' tasks run in the same workers.
+IDLE = 5.0
 
 COLUMNS = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
@@ -132,14 +137,34 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+_leaving: list[threading.Timer] = []
 
 
 def encoder(path: str) -> Encoder:
+    while _leaving:
+        _leaving.pop().cancel()
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
+def _release() -> None:
+    """Drops the worker's encoders and gives their memory back to the system where the C library can."""
+    _encoders.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def release_later(seconds: float) -> None:
+    timer = threading.Timer(seconds, _release)
+    timer.daemon = True
+    _leaving.append(timer)
+    timer.start()
+
+
 class Packer:
     """Sum-of-squares packing of one partition; ``add`` and ``close`` yield finished windows as lists of pieces."""
 
@@ -269,6 +294,7 @@ def pack(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "
                 yield flush()
         if rows:
             yield flush()
+        release_later(IDLE)
 
     return df.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 

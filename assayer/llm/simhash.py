@@ -15,9 +15,9 @@ shingles have a Jaccard similarity of 0.8 at least.  Two fingerprints then diffe
 blocks of bits, so each text has ``CODES`` fingerprints of its set under different mixes.  Tables deal the nodes to
 buckets by some of all bits (more bits and more tables the more nodes there are, so that buckets stay small and a pair at
 the limit misses them all with ``MISSED``), and a BK-tree on a fingerprint of the table is searched in each bucket.
-All fingerprints, then the whole sets decide.  A first pass proposes each node's ``NEAREST`` in its bucket;
-a second one proposes all others that the trees find, but for pairs that the first has joined to one component, and so
-loses no link whatever a group's size.  Texts equal but for blanks and the case of ASCII letters are one node.
+All fingerprints, then the whole sets decide.  A first pass proposes each node's ``FIRST`` nearest of all tables and needs
+no sketches for it; a second one proposes all others that the trees find, but for pairs that the first has joined to one
+component, and so loses no link whatever a group's size.  Texts equal but for blanks and the case of ASCII letters are one node.
 
 Null or blank texts have fingerprint 0 and link like any other.  Rows with a null id take part and never name
 a component unless all its ids are null.  Repeated rows keep one row each in ``near_duplicates``;
@@ -49,8 +49,10 @@ MOST_HOT = 1000
 SIMILAR, WORDS, CODES = 0.8, 5, 16
 #: Nodes of a bucket, as its key's bits are chosen, and the chance that a pair at the limit meets in no bucket.
 BUCKET, MISSED = 64, 0.005
-#: Neighbours that a node proposes first, in parts of a bucket of so many nodes.
-NEAREST, PART = 2, 1000
+#: Neighbours that a node proposes in a bucket and, of these, first of all tables; nodes of a part of a bucket.
+NEAREST, FIRST, PART = 2, 4, 1000
+#: Pairs that a tree's finds are expanded to at once.
+EXPANDED = 1 << 18
 _RNG = np.random.default_rng(SEED)
 _ODD = _RNG.integers(0, 1 << 63, (2, CODES)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -258,9 +260,8 @@ def placed(sketches: pd.Series, keys: list[np.ndarray]) -> tuple[np.ndarray, np.
     return np.stack(buckets, axis=1), codes[:, own]
 
 
-def dealt(nodes: DataFrame, keys: list[np.ndarray]) -> DataFrame:
-    """``nodes`` with a sketch, a row for each table with its ``bucket`` and ``code``."""
-    names = nodes.columns
+def dealt(nodes: DataFrame, keys: list[np.ndarray], names: list[str]) -> DataFrame:
+    """``names`` of ``nodes`` with a sketch, a row for each table with its ``bucket`` and ``code``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -268,16 +269,19 @@ def dealt(nodes: DataFrame, keys: list[np.ndarray]) -> DataFrame:
             for n in range(len(keys)):
                 yield batch[names].assign(bucket=buckets[:, n], code=codes[:, n])
 
-    kinds = ", ".join(f"{n} {k}" for n, k in nodes.dtypes)
+    kinds = ", ".join(f"{n} {k}" for n, k in nodes.select(names).dtypes)
     return nodes.where("length(sketch) > 0").mapInPandas(run, f"{kinds}, bucket long, code long")
 
 
-def nearest(rows: pd.DataFrame, radius: int, most: int = NEAREST, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of (node, bucket, code): each node's nearest within the radius, in parts of its bucket in order of codes."""
+def nearest(rows: pd.DataFrame, radius: int, most: int = NEAREST, part: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, neighbour, differing bits) of (node, bucket, code): each node's nearest within the radius, in parts of its
+    bucket in order of codes.  Nodes of divided buckets stand beside themselves too, since they may have others elsewhere."""
     rows = rows.sort_values(["bucket", "code", "node"])
-    _, start, group = np.unique(rows["bucket"], return_index=True, return_inverse=True)
+    _, start, group, size = np.unique(rows["bucket"], return_index=True, return_inverse=True, return_counts=True)
+    node = rows["node"].to_numpy()[size[group] > part]
     group = group * (1 << 24) + (np.arange(len(rows)) - start[group]) // part
-    return _found(rows, group, radius, None, most)
+    a, b, far = _found(rows, group, radius, None, most)
+    return np.r_[a, node], np.r_[b, node], np.r_[far, np.full(len(node), 64)]
 
 
 def apart(rows: pd.DataFrame, radius: int, keys: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -309,15 +313,16 @@ def apart(rows: pd.DataFrame, radius: int, keys: list[np.ndarray], most: int) ->
             ok = ok[(table[x] <= t) | (buckets[x, t] != buckets[y, t]) | (np.bitwise_count(codes[x, t] ^ codes[y, t]) > radius)]
         return ok
 
-    return _found(rows, bucket, radius, asks, None, fits)
+    a, b, _ = _found(rows, bucket, radius, asks, None, fits)
+    return np.maximum(a, b), np.minimum(a, b)
 
 
-def _found(rows: pd.DataFrame, group: np.ndarray, radius: int, asks: np.ndarray | None, most: int | None, fits=None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (larger node, smaller node) within the radius, of groups' trees of distinct codes: each node's ``most``
+def _found(rows: pd.DataFrame, group: np.ndarray, radius: int, asks: np.ndarray | None, most: int | None, fits=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, node found, differing bits) within the radius, of groups' trees of distinct codes: each node's ``most``
     nearest, or all that fit."""
     none = np.zeros(0, np.int64)
     if not len(rows):
-        return none, none
+        return none, none, none
     order = np.lexsort((rows["code"].to_numpy().view(np.uint64), group))
     group, code, node = group[order], rows["code"].to_numpy().view(np.uint64)[order], rows["node"].to_numpy()[order]
     start = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (code[1:] != code[:-1])])
@@ -336,21 +341,25 @@ def _found(rows: pd.DataFrame, group: np.ndarray, radius: int, asks: np.ndarray
         return [(q[near], n[near])]
 
     for x, y in itertools.chain([(several, several)], trees.links(radius, 256, queries)):
-        each = size[x] * size[y]
-        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        wide = np.repeat(size[y], each)
-        q, n = np.repeat(start[x], each) + at // wide, np.repeat(start[y], each) + at % wide
-        ok = np.flatnonzero(q != n) if fits is None else fits(order[q], order[n])
-        if len(ok):
-            held.append((q[ok], n[ok]))
-            many += len(ok)
-        if most and many > 1 << 19:
-            held = least()
-            many = len(held[0][0])
+        ends = np.cumsum(size[x] * size[y])
+        # Nodes of equal codes may be very many; their pairs are made in blocks.
+        for low in range(0, int(ends[-1]) if len(ends) else 0, EXPANDED):
+            at = np.arange(low, min(low + EXPANDED, ends[-1]))
+            of = np.searchsorted(ends, at, side="right")
+            at -= ends[of] - size[x[of]] * size[y[of]]
+            wide = size[y[of]]
+            q, n = start[x[of]] + at // wide, start[y[of]] + at % wide
+            ok = np.flatnonzero(q != n) if fits is None else fits(order[q], order[n])
+            if len(ok):
+                held.append((q[ok], n[ok]))
+                many += len(ok)
+            if most and many > 1 << 19:
+                held = least()
+                many = len(held[0][0])
     if not held:
-        return none, none
+        return none, none, none
     q, n = (np.concatenate(x) for x in zip(*(least() if most else held)))
-    return np.maximum(node[q], node[n]), np.minimum(node[q], node[n])
+    return node[q], node[n], np.bitwise_count(code[q] ^ code[n]).astype(np.int64)
 
 
 def _by_node(pairs: DataFrame, side: str, rows: DataFrame, column: str) -> DataFrame:
@@ -386,14 +395,15 @@ def similar_links(texts: DataFrame, nodes: DataFrame, similarity: float = SIMILA
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([_overlap(np.frombuffer(i, "<u8"), np.frombuffer(j, "<u8")) for i, j in zip(x, y)], dtype=float)
 
-    def proposed(nodes: DataFrame, shard_rows: int, search) -> DataFrame:
+    def proposed(nodes: DataFrame, names: list[str], shard_rows: int, search, kinds: str) -> DataFrame:
+        columns = [x.split()[0] for x in kinds.split(", ")]
+
         def run(x: pd.DataFrame) -> pd.DataFrame:
-            a, b = search(x)
-            return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+            return pd.DataFrame(dict(zip(columns, search(x)))).drop_duplicates()
 
         shards = max(32, 1 + nodes.count() * len(keys) // shard_rows)
         shard = F.pmod(F.xxhash64("bucket"), F.lit(shards)).alias("shard")
-        return dealt(nodes, keys).select("*", shard).groupBy("shard").applyInPandas(run, "a long, b long")
+        return dealt(nodes, keys, names).select("*", shard).groupBy("shard").applyInPandas(run, kinds)
 
     def decided(pairs: DataFrame) -> DataFrame:
         # Sets are made once for each text, not for each pair.
@@ -403,15 +413,19 @@ def similar_links(texts: DataFrame, nodes: DataFrame, similarity: float = SIMILA
         pairs = _by_node(_by_node(pairs, "a", held, "set"), "b", held, "set")
         return cut(pairs.where(jaccard("a_set", "b_set") >= similarity).select("a", "b"))
 
-    close = cut(proposed(nodes.select("node", "sketch"), SHARD_ROWS // 4, lambda x: nearest(x, radius)).distinct())
+    near = proposed(nodes.select("node", "sketch"), ["node"], SHARD_ROWS // 4, lambda x: nearest(x, radius), "node long, other long, far long")
+    near = near.groupBy("node").agg(F.collect_set(F.struct("far", "other")).alias("found"))
+    near = cut(near.select("node", F.expr(f"slice(array_except(transform(array_sort(found), x -> x.other), array(node)), 1, {FIRST})").alias("found")))
+    close = near.select("node", F.explode("found").alias("other")).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
+    close = cut(close.distinct())
     first = _by_node(_by_node(close, "a", nodes, "sketch"), "b", nodes, "sketch")
     first = cut(first.where(far("a_sketch", "b_sketch") <= most).select("a", "b"))
     linked = decided(first)
     # Only nodes that have a neighbour within the radius can have others.
     labels = components(linked).select(F.col("a").alias("node"), F.col("b").alias("label"))
-    some = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left")
+    some = near.select("node").join(labels, "node", "left")
     some = cut(some.select("node", F.coalesce("label", "node").alias("label")).join(nodes.select("node", "sketch"), "node"))
-    rest = proposed(some, SHARD_ROWS // 12, lambda x: apart(x, radius, keys, most))
+    rest = proposed(some, some.columns, SHARD_ROWS // 12, lambda x: apart(x, radius, keys, most), "a long, b long")
     rest = cut(rest.join(first, ["a", "b"], "left_anti"))
     return linked if rest.isEmpty() else linked.unionByName(decided(rest))
 

@@ -1,6 +1,7 @@
 """Quality rules, packing, SimHash and quality model against brute force."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -305,6 +306,48 @@ def test_near_copies_of_one_text_lose_no_link(llm):
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == dict(enumerate(label))
 
 
+def test_first_pairs_are_few_for_each_near_copy(llm, monkeypatch):
+    """Tables deal no sketches for them, and each node proposes its nearest of all tables."""
+    base, proposed, by_node, dealt, names = [f"w{i}" for i in range(150)], [], simhash._by_node, simhash.dealt, []
+    texts = [" ".join([*base[: i % 140], f"c{i}", *base[i % 140 + 1 :]]) for i in range(420)]
+    monkeypatch.setattr(simhash, "_by_node", lambda pairs, *a: proposed.append(pairs.count()) or by_node(pairs, *a))
+    monkeypatch.setattr(simhash, "dealt", lambda *a: names.append((found := dealt(*a)).columns) or found)
+    docs = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {0}
+    assert names[0] == ["node", "bucket", "code"] and 0 < proposed[0] <= simhash.FIRST * 420
+
+
+def test_nodes_of_divided_buckets_are_not_left_out():
+    rows = pd.DataFrame({"node": [1, 2, 3, 4], "bucket": [0, 0, 0, 5], "code": [0, 0x7FFFFFFF << 20, 1 + (0x7FFFFFFF << 20), 9]})
+    a, b, far = simhash.nearest(rows, 16, 2, part=2)
+    assert set(zip(a.tolist(), b.tolist(), far.tolist())) == {(1, 1, 64), (2, 2, 64), (3, 3, 64)}
+    a, b, far = simhash.nearest(rows, 16, 2, part=3)
+    assert sorted(zip(a.tolist(), b.tolist(), far.tolist())) == [(2, 3, 1), (3, 2, 1)]
+
+
+def test_pairs_of_equal_codes_are_made_in_blocks():
+    n, rng = 3000, np.random.default_rng(6)
+    rows = pd.DataFrame({"node": np.arange(n), "bucket": np.zeros(n, np.int64), "label": np.arange(n) % 2, "code": np.zeros(n, np.int64)})
+    rows["sketch"] = [rng.bytes(8 * simhash.CODES) for _ in range(n)]
+    tracemalloc.start()
+    try:
+        a, _ = simhash.apart(rows, 16, [np.zeros(0, np.int64)], 185)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert not len(a) and peak < 150e6
+
+
+def test_idle_workers_let_tokens_go():
+    path = TOKENIZER
+    first = packing.encoder(path)
+    packing.release_later(60)
+    assert packing.encoder(path) is first and not packing._leaving
+    packing.release_later(0.01)
+    packing._leaving[0].join(30)
+    assert not packing._encoders
+
+
 def test_components_of_long_chains_and_divided_buckets(llm):
     chain = [(i + 1, i) for i in range(40)] + [(101, 100), (102, 101)]
     got = dict(map(tuple, simhash.components(llm.createDataFrame(chain, "a long, b long")).collect()))
