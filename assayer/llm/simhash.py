@@ -50,7 +50,7 @@ SIMILAR, WORDS, CODES = 0.8, 5, 16
 #: Nodes of a bucket, as its key's bits are chosen, and the chance that a pair at the limit meets in no bucket.
 BUCKET, MISSED = 64, 0.005
 #: Neighbours that a node proposes in a bucket and, of these, first of all tables; nodes of a part of a bucket.
-NEAREST, FIRST, PART = 2, 4, 1000
+NEAREST, FIRST, PART = 2, 16, 1000
 #: Pairs that a tree's finds are expanded to at once.
 EXPANDED = 1 << 18
 _RNG = np.random.default_rng(SEED)
